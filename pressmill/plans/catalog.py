@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import graphs, links, scores, texts
+
+QUERIES = links.QUERIES | texts.QUERIES | scores.QUERIES | graphs.QUERIES
+ORACLE = links.ORACLE | texts.ORACLE | scores.ORACLE | graphs.ORACLE
