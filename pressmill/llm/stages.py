@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import bpe, decontam, jaccard, langid, linedup
 
 #: A text whose best language is less sure than this is rejected.
-MIN_SCORE = 0.5
+MIN_SCORE = 0.3
 
 
 def learning_rows(docs: DataFrame) -> DataFrame:
