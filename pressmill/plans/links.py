@@ -201,7 +201,7 @@ def _scratch(spark):
 
 def stream_enrich(spark, sf):
     """Page metadata by a stream over the page files, until these are used up."""
-    at, pages = _scratch(spark), f"{sf}/pages.parquet"
+    at, pages = _scratch(spark), f"{sf}/pages.parque[t]"  # a glob may be a file or a folder
     jobs.enrich_stream(spark, pages, "page_id long, url string, html string", f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.parquet(f"{at}/out").select("page_id", "title", "section", "description", "keywords", "parse_error")
 
