@@ -9,20 +9,23 @@ from pyspark.sql.types import StringType, StructField, StructType
 CORRUPT = "_corrupt"
 
 
+def _parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Lines that aren't blank, as a struct ``j`` with what can't be parsed in ``_corrupt``."""
+    given = spark.createDataFrame([], schema).schema
+    shape = StructType([*given.fields, StructField(CORRUPT, StringType())])
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.select(F.from_json("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("j"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; a line that isn't JSON keeps its text in ``_corrupt``."""
-    given = spark.createDataFrame([], schema).schema
-    return spark.read.schema(StructType([*given.fields, StructField(CORRUPT, StringType())])).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+    return _parsed(spark, path, schema).select("j.*")
 
 
 def jsonl_stats(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """Lines that hold a key, lack it, or aren't JSON; blank lines don't count."""
-    given = spark.createDataFrame([], schema).schema
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    with_bad = StructType([*given.fields, StructField(CORRUPT, StringType())])
-    j = lines.select(F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("j"))
     bad, has = F.col(f"j.{CORRUPT}").isNotNull(), F.coalesce(F.trim(F.col(f"j.{key}").cast("string")), F.lit("")) != ""
-    return j.agg(F.count_if(~bad & has).alias("rows"), F.count_if(~bad & ~has).alias("without_key"), F.count_if(bad).alias("invalid"))
+    return _parsed(spark, path, schema).agg(F.count_if(~bad & has).alias("rows"), F.count_if(~bad & ~has).alias("without_key"), F.count_if(bad).alias("invalid"))
 
 
 def read_json_auto(spark: SparkSession, path: str, schema: str) -> DataFrame:
