@@ -62,7 +62,8 @@ def op7_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict of the rules on every page's URL."""
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("host", "path", "verdict"), r)]) for r in RULES]
+    rules = spark.range(1).select(F.inline(F.array(*rows)))
     return urlfilter.judge(_read(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
 
 
@@ -79,8 +80,6 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_warc_derivatives, op3_ppm_language, op4_template_decontamination, op5_minhash_jaccard, op6_trie_bpe, op7_line_alignment, op8_url_rules, op9_digest_index, op10_jump_shards)}
 
-_REPLACED = "coalesce({0}, '')"
-
 ORACLE = {
     "op1_chat_perspectives": """
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
