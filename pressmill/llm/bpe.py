@@ -1,23 +1,25 @@
 """Byte-level BPE encoding and decoding over a trie of distinct words.
 
-The distinct words of a batch that are not in the worker's cache go into a trie
-of bytes.  A depth-first walk gives each node the last token of the encoding of
-its prefix: the token ``t`` ending there such that the node ``len(t)`` bytes
-higher has a last token that may stand before ``t``.  Two tokens may be
-neighbours if merging their joined bytes gives back these two.  The encoding of
-a word is read off by following last tokens to the root, so whatever words have
-in common at their start is worked out once.
+The distinct words of a chunk that are not in the worker's cache go into a trie
+of bytes in sorted order, which is a depth-first walk.  Each node holds the last
+token of the encoding of its prefix: the longest token ``t`` ending there such
+that the node ``len(t)`` bytes higher has a last token that may stand before
+``t``.  Two tokens may be neighbours if no merge across their border comes up
+before theirs are done.  The encoding of a word is read off by following last
+tokens to the root, so whatever words have in common at their start is worked
+out once.  Cache, trie and table of neighbours are bounded and start anew.
 
 Token ids travel as packed little-endian unsigned 32-bit integers.
 
 Defined results: a null text counts as empty and has no tokens; a special token
 written out in a text becomes its id, as the tokenizer file says; repeated rows
-get equal results.  Nothing is shuffled, and the cache of words is bounded.
+get equal results.  Nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import json
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,14 @@ from pyspark.sql import functions as F
 
 #: Splits text before merging; a fixed value of byte-level tokenizers of this kind.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
+TRIE_NODES, FITS = 400_000, 300_000
 CACHE_WORD_BYTES = 64
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
+
 def _byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in the vocabulary file."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -51,11 +57,18 @@ class Vocabulary:
         self.rank = {(self.ids[raw(x)], self.ids[raw(y)]): (n, self.ids[raw(x) + raw(y)]) for n, (x, y) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes |= {i: s.encode() for s, i in self.special.items()}
-        self.tails = {b[k:] for b in self.ids for k in range(len(b))}
+        self.parts = {made: (n, pair) for pair, (n, made) in self.rank.items()}
+        if len(self.parts) < len(self.rank):
+            raise ValueError("two merges make the same token")
+        self.edges: tuple[dict, dict] = {}, {}
+        self.size = {i: len(b) for i, b in self.bytes.items()}
+        self.heads = {b[:k] for b in self.ids for k in range(len(b) + 1)}
+        self.tails, self.states, self.steps, self.ending = [b""], {b"": 0}, {}, [[]]
         self.words = regex.compile(WORDS)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.fits: dict[int, bool] = {}
+        self.cache: dict[str, bytes] = {}
+        self._empty_trie()
 
     def merged(self, text: bytes) -> list[int]:
         """Merges by rank until none applies; for a pair of tokens only."""
@@ -75,82 +88,131 @@ class Vocabulary:
             parts = joined
         return parts
 
+    def _edge(self, token: int, side: int) -> list[tuple[int, int, int]]:
+        """What stands at an end of ``token`` while it is merged: each token there, the
+        rank of the merge that makes it (-1: a byte) and of the one that ends it."""
+        known = self.edges[side]
+        if token not in known:
+            chain, end = [], len(self.rank)
+            while token in self.parts:
+                rank, pair = self.parts[token]
+                chain.append((token, rank, end))
+                token, end = pair[side], rank
+            chain.append((token, -1, end))
+            known[chain[0][0]] = chain
+            return chain
+        return known[token]
+
     def neighbours(self, left: int, right: int) -> bool:
-        """May ``right`` follow ``left`` in an encoding? A left of -1: the start."""
-        if (known := self.fits.get((left, right))) is None:
-            if left < 0:
-                known = self.merged(self.bytes[right]) == [right]
-            else:
-                known = self.merged(self.bytes[left] + self.bytes[right]) == [left, right]
-            self.fits[left, right] = known
-        return known
-
-    def encode_words(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        """Encodings of distinct words by one depth-first walk of their trie."""
-        children: list[dict[int, int]] = [{}]
-        ends: dict[int, list[str]] = {}
-        for word in words:
-            node = 0
-            for b in word.encode("utf-8", "surrogatepass"):
-                node = children[node].setdefault(b, len(children))
-                if node == len(children):
-                    children.append({})
-            ends.setdefault(node, []).append(word)
-        out: dict[str, tuple[int, ...]] = {}
-        prefix = bytearray()
-        last = [-1]  # the last token of each prefix on the way from the root
-        todo = [(0, 0, -1)]
-        while todo:
-            node, depth, byte = todo.pop()
-            if depth:
-                del prefix[depth - 1 :], last[depth:]
-                prefix.append(byte)
-                last.append(self._last_token(prefix, last, depth))
-            if node in ends:
-                tokens, at = [], depth
-                while at:
-                    tokens.append(last[at])
-                    at -= len(self.bytes[last[at]])
-                for word in ends[node]:
-                    out[word] = tuple(reversed(tokens))
-            todo += [(child, depth + 1, b) for b, child in children[node].items()]
+        """May ``right`` follow ``left`` in an encoding? A left of -1: the start.
+
+        It may unless a merge across the border comes up while both of its parts
+        stand there.  Of equal merges the one further left comes first."""
+        if left < 0:
+            return self.merged(self.bytes[right]) == [right]
+        rank = self.rank
+        for x, made_x, end_x in self._edge(left, 1):
+            for y, made_y, end_y in self._edge(right, 0):
+                if (x, y) in rank:
+                    at = rank[x, y][0]
+                    if made_x < at < end_x and made_y < at <= end_y:
+                        return False
+        return True
+
+    def _state(self, state: int, byte: int) -> int:
+        """The state after ``byte``: the longest end of the prefix that begins a token."""
+        tail = self.tails[state] + bytes([byte])
+        while tail not in self.heads:
+            tail = tail[1:]
+        if (new := self.states.get(tail)) is None:
+            new = self.states[tail] = len(self.tails)
+            self.tails.append(tail)
+            self.ending.append([(self.ids[tail[k:]], len(tail) - k) for k in range(len(tail)) if tail[k:] in self.ids])
+        self.steps[state << 8 | byte] = new
+        return new
+
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Packed encodings of distinct words through the worker's trie.
+
+        Words in sorted order visit the trie depth first, and the path to what two
+        neighbours share stays.  A node gets its state and last token when it is
+        made, so a prefix is worked out once, however many words begin with it."""
+        if len(self.node_last) > TRIE_NODES:
+            self._empty_trie()
+        trie, node_last, node_state, steps, ending, size, fits = self.trie, self.node_last, self.node_state, self.steps, self.ending, self.size, self.fits
+        out: dict[str, bytes] = {}
+        pack = _PACK
+        path, last, before = [0], [-1], b""
+        for word in sorted(words):  # UTF-8 sorts alike
+            raw, at = word.encode("utf-8", "surrogatepass"), 0
+            for x, y in zip(raw, before):
+                if x != y:
+                    break
+                at += 1
+            del path[at + 1 :], last[at + 1 :]
+            before, node = raw, path[at]
+            for depth in range(at, len(raw)):
+                key = node << 8 | raw[depth]
+                child = trie.get(key)
+                if child is None:
+                    step = node_state[node] << 8 | raw[depth]
+                    state = steps.get(step)
+                    if state is None:
+                        state = self._state(node_state[node], raw[depth])
+                    for token, n in ending[state]:
+                        pair = (last[depth + 1 - n] + 1) << 20 | token
+                        ok = fits.get(pair)
+                        if ok is None:
+                            ok = fits[pair] = self.neighbours(last[depth + 1 - n], token)
+                        if ok:
+                            break
+                    else:
+                        raise ValueError("the vocabulary lacks a byte")
+                    child = trie[key] = len(node_last)
+                    node_last.append(token)
+                    node_state.append(state)
+                node = child
+                path.append(node)
+                last.append(node_last[node])
+            tokens, at = [], len(raw)
+            while at:
+                token = last[at]
+                tokens.append(token)
+                at -= size[token]
+            tokens.reverse()
+            out[word] = pack[len(tokens)](*tokens) if len(tokens) < len(pack) else struct.pack(f"<{len(tokens)}I", *tokens)
         return out
 
-    def _last_token(self, prefix: bytearray, last: list[int], depth: int) -> int:
-        found, n = [], 1
-        while n <= depth and (tail := bytes(prefix[depth - n :])) in self.tails:
-            if tail in self.ids:
-                found.append((self.ids[tail], n))
-            n += 1
-        for token, n in reversed(found):
-            if self.neighbours(last[depth - n] if n < depth else -1, token):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; new words of all texts share one trie."""
-        cut, found, new = [], self.words.findall, set()
-        cache = self.cache
+    def _empty_trie(self) -> None:
+        """Node 0 is the root; a node's key is its parent and byte."""
+        self.trie: dict[int, int] = {}
+        self.node_last, self.node_state = [-1], [0]
+        if len(self.fits) > FITS:
+            self.fits.clear()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text; new words of all texts go through the trie at once."""
+        cut, found, new, cache = [], self.words.findall, set(), self.cache
         for text in texts:
-            parts = self.cut.split(text) if self.cut and any(s in text for s in self.special) else (text,)
-            words = [[p] if p in self.special else found(p) for p in parts if p]
-            words = words[0] if len(words) == 1 else [w for some in words for w in some]
+            if self.cut and any(s in text for s in self.special):
+                words = [w for p in self.cut.split(text) if p for w in ([p] if p in self.special else found(p))]
+            else:
+                words = found(text)
             cut.append(words)
-            new.update(w for w in set(words) if w not in cache)
+            new |= set(words).difference(cache)
         fresh = self.encode_words(new - self.special.keys())
-        fresh |= {s: (i,) for s, i in self.special.items()}
-        if len(cache) + len(fresh) > CACHE_WORDS:
-            needed = {w for words in cut for w in words}
-            for w in [w for w in cache if w not in needed]:
-                del cache[w]
+        fresh |= {s: struct.pack("<I", i) for s, i in self.special.items()}
+        if len(cache) + len(fresh) > CACHE_WORDS:  # words of this chunk stay
+            needed = set().union(*cut)
+            self.cache = cache = {w: cache[w] for w in needed if w in cache}
         cache.update(fresh)
-        out = [np.array([t for w in words for t in cache[w]], "<u4") for words in cut]
+        get = cache.__getitem__
+        out = [b"".join(map(get, words)) for words in cut]
         if len(cache) > CACHE_WORDS:
             cache.clear()
         else:
-            for w in fresh:
-                if len(w) > CACHE_WORD_BYTES:
-                    del cache[w]
+            for w in [w for w in fresh if len(w) > CACHE_WORD_BYTES]:
+                del cache[w]
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -168,8 +230,8 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-#: Characters that one trie covers.
-CHUNK = 4 << 20
+#: Characters whose new words go through the trie together.
+CHUNK = 1 << 20
 
 
 def encoded(text: Column, path: str) -> Column:
@@ -182,7 +244,7 @@ def encoded(text: Column, path: str) -> Column:
         vocab, out, chunk, size = vocabulary(path), [], [], 0
         for text in [*texts.to_pylist(), None]:
             if text is None or (size and size + len(text) > CHUNK):
-                out += [ids.tobytes() for ids in vocab.encode(chunk)]
+                out += vocab.encode(chunk)
                 chunk, size = [], 0
             if text is not None:
                 chunk.append(text)

@@ -86,14 +86,16 @@ def test_bpe_equals_the_library(spark):
 
 def test_bpe_trie_shares_prefixes_and_cache_is_bounded():
     vocab = bpe.Vocabulary(tokenizer_file())
-    words = {"walk", "walking", "walked", " walkway", "w"}
+    words = ["walk", "walking", "walked", " walkway", "w", "aaaaaaa", "ananananan"]
     out = vocab.encode_words(words)
-    assert all(b"".join(vocab.bytes[t] for t in out[w]).decode() == w for w in words)
-    assert all(list(out[w]) == vocab.merged(w.encode()) for w in words)
+    assert all(np.frombuffer(out[w], "<u4").tolist() == vocab.merged(w.encode()) for w in words)
+    nodes = len(vocab.node_last)
+    vocab.encode_words(["walk", "walker"])
+    assert len(vocab.node_last) == nodes + 1  # only the last letter is new
     kept, bpe.CACHE_WORDS = bpe.CACHE_WORDS, 3
     try:
         for t in ("one two three four", "five six seven eight nine", "one"):
-            assert vocab.decode(vocab.encode([t])[0]) == t
+            assert vocab.decode(np.frombuffer(vocab.encode([t])[0], "<u4")) == t
         assert len(vocab.cache) <= 3 + 1
     finally:
         bpe.CACHE_WORDS = kept
