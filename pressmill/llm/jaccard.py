@@ -230,7 +230,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         digests, found = [], []
         i, n = 0, len(offsets) - 1
         while i < n:
-            j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + (8 << 20)))))
+            j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 20)))))
             grams, first = ngrams(values[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             found.append(signatures(grams, first, bands, per_band))
             digests += [set_digest(np.unique(grams[a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
