@@ -234,6 +234,23 @@ def vocabulary(path: str) -> Vocabulary:
 CHUNK = 1 << 20
 
 
+def _packed(vocab: Vocabulary, texts: pa.Array) -> list[bytes]:
+    """Packed ids of each text, chunk by chunk."""
+    out, chunk, size = [], [], 0
+    for text in [*texts.to_pylist(), None]:
+        if text is None or (size and size + len(text) > CHUNK):
+            out += vocab.encode(chunk)
+            chunk, size = [], 0
+        if text is not None:
+            chunk.append(text)
+            size += len(text)
+    return out
+
+
+def _texts(vocab: Vocabulary, packed: list[bytes | None]) -> pa.Array:
+    return pa.array([None if b is None else vocab.decode(np.frombuffer(b, "<u4")) for b in packed], pa.string())
+
+
 def encoded(text: Column, path: str) -> Column:
     """The ids of a text column as packed little-endian unsigned 32-bit integers.
 
@@ -241,15 +258,7 @@ def encoded(text: Column, path: str) -> Column:
 
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
-        vocab, out, chunk, size = vocabulary(path), [], [], 0
-        for text in [*texts.to_pylist(), None]:
-            if text is None or (size and size + len(text) > CHUNK):
-                out += vocab.encode(chunk)
-                chunk, size = [], 0
-            if text is not None:
-                chunk.append(text)
-                size += len(text)
-        return pa.array(out, pa.binary())
+        return pa.array(_packed(vocabulary(path), texts), pa.binary())
 
     return encode(F.coalesce(text, F.lit("")))
 
@@ -259,7 +268,21 @@ def decoded(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def decode(packed: pa.Array) -> pa.Array:
-        vocab = vocabulary(path)
-        return pa.array([None if b is None else vocab.decode(np.frombuffer(b, "<u4")) for b in packed.to_pylist()], pa.string())
+        return _texts(vocabulary(path), packed.to_pylist())
 
     return decode(ids)
+
+
+def round_trip(text: Column, path: str) -> Column:
+    """A struct of the packed ``ids`` of a text column and the ``text`` decoded from them.
+
+    ``decoded(encoded(...))`` beside ``encoded(...)`` would make Spark encode twice:
+    it inlines the inner call in both.  Here one call gives both."""
+
+    @F.arrow_udf("struct<ids: binary, text: string>")
+    def both(texts: pa.Array) -> pa.Array:
+        vocab = vocabulary(path)
+        packed = _packed(vocab, texts)
+        return pa.StructArray.from_arrays([pa.array(packed, pa.binary()), _texts(vocab, packed)], ["ids", "text"])
+
+    return both(F.coalesce(text, F.lit("")))

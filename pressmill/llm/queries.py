@@ -46,11 +46,10 @@ def op5_minhash_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
-    path = tokenizer_file()
-    ids = _read(spark, sf_dir, "documents").select("doc_id", bpe.encoded(F.col("text"), path).alias("ids"))
-    return ids.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.encode(bpe.decoded(F.col("ids"), path), "UTF-8"), 256).alias("decoded_sha256"),
+    done = _read(spark, sf_dir, "documents").select("doc_id", bpe.round_trip(F.col("text"), tokenizer_file()).alias("done"))
+    return done.select(
+        "doc_id", (F.octet_length("done.ids") / 4).cast("long").alias("n_tokens"), F.sha2("done.ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("done.text", "UTF-8"), 256).alias("decoded_sha256"),
     )
 
 

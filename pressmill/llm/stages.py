@@ -59,9 +59,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed) of each document, with digests of ids and decoded text."""
-    path = tokenizer_file()
-    ids = docs.select("doc_id", "lang", "source", bpe.encoded(F.col("text"), path).alias("token_ids"))
-    return ids.select(
-        "doc_id", "lang", "source", "token_ids", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.encode(bpe.decoded(F.col("token_ids"), path), "UTF-8"), 256).alias("decoded_sha256"),
+    done = docs.select("doc_id", "lang", "source", bpe.round_trip(F.col("text"), tokenizer_file()).alias("done"))
+    return done.select(
+        "doc_id", "lang", "source", F.col("done.ids").alias("token_ids"), (F.octet_length("done.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("done.ids", 256).alias("ids_sha256"), F.sha2(F.encode("done.text", "UTF-8"), 256).alias("decoded_sha256"),
     )
