@@ -20,16 +20,19 @@ from __future__ import annotations
 
 import json
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import resident
+
 #: Splits text before merging; a fixed value of byte-level tokenizers of this kind.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS = 300_000
-TRIE_NODES, FITS = 400_000, 300_000
+CACHE_WORDS = 250_000
+TRIE_NODES, FITS = 300_000, 250_000
 CACHE_WORD_BYTES = 64
 
 
@@ -220,31 +223,26 @@ class Vocabulary:
         return b"".join(map(get, ids.tolist())).decode("utf-8", "replace")
 
 
-_loaded: dict[str, Vocabulary] = {}
-
-
 def vocabulary(path: str) -> Vocabulary:
     """The vocabulary at ``path``, read once a worker."""
-    if path not in _loaded:
-        _loaded[path] = Vocabulary(path)
-    return _loaded[path]
+    return resident(("vocabulary", path), lambda: Vocabulary(path))
 
 
 #: Characters whose new words go through the trie together.
 CHUNK = 1 << 20
 
 
-def _packed(vocab: Vocabulary, texts: pa.Array) -> list[bytes]:
-    """Packed ids of each text, chunk by chunk."""
-    out, chunk, size = [], [], 0
-    for text in [*texts.to_pylist(), None]:
-        if text is None or (size and size + len(text) > CHUNK):
-            out += vocab.encode(chunk)
+def _packed(vocab: Vocabulary, texts: pa.Array) -> Iterator[list[bytes]]:
+    """Packed ids of the texts of one chunk after another."""
+    chunk, size = [], 0
+    for text in texts:
+        text = text.as_py()
+        if size and size + len(text) > CHUNK:
+            yield vocab.encode(chunk)
             chunk, size = [], 0
-        if text is not None:
-            chunk.append(text)
-            size += len(text)
-    return out
+        chunk.append(text)
+        size += len(text)
+    yield vocab.encode(chunk)
 
 
 def _texts(vocab: Vocabulary, packed: list[bytes | None]) -> pa.Array:
@@ -258,7 +256,7 @@ def encoded(text: Column, path: str) -> Column:
 
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
-        return pa.array(_packed(vocabulary(path), texts), pa.binary())
+        return pa.concat_arrays([pa.array(packed, pa.binary()) for packed in _packed(vocabulary(path), texts)])
 
     return encode(F.coalesce(text, F.lit("")))
 
@@ -282,7 +280,6 @@ def round_trip(text: Column, path: str) -> Column:
     @F.arrow_udf("struct<ids: binary, text: string>")
     def both(texts: pa.Array) -> pa.Array:
         vocab = vocabulary(path)
-        packed = _packed(vocab, texts)
-        return pa.StructArray.from_arrays([pa.array(packed, pa.binary()), _texts(vocab, packed)], ["ids", "text"])
+        return pa.concat_arrays([pa.StructArray.from_arrays([pa.array(packed, pa.binary()), _texts(vocab, packed)], ["ids", "text"]) for packed in _packed(vocab, texts)])
 
     return both(F.coalesce(text, F.lit("")))

@@ -12,6 +12,20 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 
+_resident: dict = {}
+
+
+def resident(key, make):
+    """What ``make()`` gives, kept in this Python worker until another key is asked for.
+
+    Spark uses workers again for later stages, so a worker must not go on holding
+    the models of the stages before."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 

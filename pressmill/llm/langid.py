@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import resident
+
 ORDER = 3
 ROWS_PER_LANG = 300
 MIN_COUNT = 2
@@ -114,7 +116,7 @@ class Tree:
         contexts = [np.array([0], np.int64)] + [np.unique(counts.gram[counts.length == n] >> 8) for n in range(2, self.order + 2)]
         first = np.cumsum([1, *map(len, contexts)])
         self.child = np.zeros((first[-1], a), np.int32)
-        cost = np.full((first[-1], a, langs), 8.0)
+        cost = np.full((first[-1], a, langs), 8.0, np.float32)
         node = lambda k, gram: first[k] + np.searchsorted(contexts[k], gram)
         for k, context in enumerate(contexts):
             if k:
@@ -130,7 +132,7 @@ class Tree:
             escape = np.where(kinds > 0, -np.log2(np.where(kinds > 0, kinds, 1) / np.where(kinds > 0, total + kinds, 1)), 0)
             cost[first[k] : first[k + 1]] += escape[first[k] : first[k + 1], None, :]
             cost[at, sym, lang] = -np.log2(times / (total + kinds)[at, lang])
-        self.cost = cost.reshape(-1, langs).astype(np.float32)
+        self.cost = cost.reshape(-1, langs)
 
     def lengths(self, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length in bits of each text under each language.
@@ -164,9 +166,6 @@ class Tree:
         return bits
 
 
-_trees: dict[int, Tree] = {}
-
-
 def predictor(spark, counts: Counts):
     """A function from a text column to ``struct(lang_pred, score, bits_per_byte)``."""
     if not counts.langs:
@@ -176,12 +175,10 @@ def predictor(spark, counts: Counts):
 
     @F.arrow_udf("struct<lang_pred string, score double, bits_per_byte double>")
     def score(texts: pa.Array) -> pa.Array:
-        if shared._path not in _trees:
-            _trees.clear()
-            _trees[shared._path] = Tree(shared.value)
+        tree = resident(("tree", shared._path), lambda: Tree(shared.value))
         values, offsets = _binary(texts)
         size = np.maximum(np.diff(offsets), 1)[:, None]
-        rate = _trees[shared._path].lengths(values, offsets) / size
+        rate = tree.lengths(values, offsets) / size
         best = rate.argmin(axis=1)
         lead = rate - rate[np.arange(len(best)), best][:, None]
         sure = 1 / np.exp2(-lead * np.minimum(size, EVIDENCE)).sum(axis=1)
