@@ -278,8 +278,10 @@ def round_trip(text: Column, path: str) -> Column:
     it inlines the inner call in both.  Here one call gives both."""
 
     @F.arrow_udf("struct<ids: binary, text: string>")
-    def both(texts: pa.Array) -> pa.Array:
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab = vocabulary(path)
-        return pa.concat_arrays([pa.StructArray.from_arrays([pa.array(packed, pa.binary()), _texts(vocab, packed)], ["ids", "text"]) for packed in _packed(vocab, texts)])
+        for texts in batches:
+            for packed in _packed(vocab, texts):  # a chunk at a time, so that results stay small
+                yield pa.StructArray.from_arrays([pa.array(packed, pa.binary()), _texts(vocab, packed)], ["ids", "text"])
 
     return both(F.coalesce(text, F.lit("")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ def resident(key, make):
     the models of the stages before."""
     if key not in _resident:
         _resident.clear()
+        pa.default_memory_pool().release_unused()
         _resident[key] = make()
     return _resident[key]
 

@@ -85,6 +85,7 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sample = rows.filter(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(scale)) < F.element_at(share, F.col("lang")))
 
     def count(batches):
+        resident("counting", lambda: None)
         for batch in batches:
             langs_of = batch.column(0).to_numpy()
             for lang in np.unique(langs_of):
