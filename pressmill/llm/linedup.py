@@ -132,4 +132,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = F.array_join(F.filter(_lines(F.col("text")), lambda _, i: ~F.array_contains("cut", i)), "\n")
     left = F.when(~first, F.lit("")).when(F.col("cut").isNull(), F.col("text")).otherwise(rest)
     gone = F.when(~first, n_lines).otherwise(F.coalesce(F.size("cut"), F.lit(0)))
-    return out.select("row.*", F.struct(left.alias("text"), n_lines.alias("n_lines"), F.when(F.col("cut").isNull() & first, F.lit(0)).otherwise(gone).alias("n_deleted"), F.when(~first, F.col("k_id.id")).alias("copy_of")).alias("deduped"))
+    # The row is opened last, or its own columns could be taken for those named here.
+    out = out.select("row", F.struct(left.alias("text"), n_lines.alias("n_lines"), F.when(F.col("cut").isNull() & first, F.lit(0)).otherwise(gone).alias("n_deleted"), F.when(~first, F.col("k_id.id")).alias("copy_of")).alias("deduped"))
+    return out.select("row.*", "deduped")
