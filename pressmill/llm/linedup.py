@@ -2,10 +2,11 @@
 
 1. Texts with equal lines collapse to one, held by the smallest id; the other
    copies lose every line.
-2. A line is rare if few texts have it (``rare_share`` of them, or ``RARE_TEXTS``)
-   or if it is long: a line of ``long_words`` words isn't repeated by chance.
-   Each rare line leads every text that has it to the earliest one, so a line in
-   n texts makes n - 1 links and no pair of texts is made twice.
+2. The shortest run of adjacent lines with ``min_block_words`` words or more is
+   taken from every line on, and back from every line.  Each run, however many
+   texts have it, leads all of them to the earliest one, so a run in n texts makes
+   n - 1 links and no pair of texts is made twice.  Every line of a block that
+   could be deleted is in such a run within the block.
 3. Each linked pair is aligned with patience diff: equal ends first, then lines
    that occur once in both in their longest common order, then the gaps between.
 4. Runs of aligned lines of ``min_block_words`` words or more are deleted from
@@ -22,6 +23,7 @@ one document; texts that share an id are told apart by their lines."""
 from __future__ import annotations
 
 import bisect
+import hashlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-RARE_SHARE, RARE_TEXTS, LONG_WORDS, MIN_BLOCK_WORDS = 0.05, 50, 12, 5
+MIN_BLOCK_WORDS = 5
+#: A run that so many texts have, and one of so many parts of all runs, is joined by broadcast.
+HOT_TEXTS, HOT_PART = 10_000, 10_000
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -75,6 +79,32 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def runs(keys: list[bytes], words: list[int], least: int) -> dict[bytes, list[tuple[int, int]]]:
+    """The shortest runs of adjacent lines that have ``least`` words or more, from
+    each line with words on and back from it: key to places (start, end)."""
+    till = [0]
+    for n in words:
+        till.append(till[-1] + n)
+    places: set[tuple[int, int]] = set()
+    j = 0
+    for i, n in enumerate(words):
+        while j < len(words) and till[j] - till[i] < least:
+            j += 1
+        if n and till[j] - till[i] >= least:
+            places.add((i, j))
+    i = 0
+    for j, n in enumerate(words, 1):
+        while till[j] - till[i + 1] >= least and i + 1 < j:
+            i += 1
+        if n and till[j] - till[i] >= least:
+            places.add((i, j))
+    out: dict[bytes, list[tuple[int, int]]] = {}
+    for i, j in sorted(places):
+        key = keys[i] if j == i + 1 else hashlib.md5(b"".join(keys[i:j])).digest()
+        out.setdefault(key, []).append((i, j))
+    return out
+
+
 def blocks(a: list, b: list, words: list[int], least: int) -> list[int]:
     """Positions of ``a`` in aligned runs that have ``least`` words or more."""
     out, run, ends = [], [], None
@@ -96,7 +126,7 @@ def _keys(text):
     return F.transform(_lines(text), lambda x: F.unhex(F.md5(F.trim(x))))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_share: float = RARE_SHARE, rare_texts: int = RARE_TEXTS, long_words: int = LONG_WORDS, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """``docs`` with a struct ``deduped``: ``text`` (what is left; null stays null),
     ``n_lines``, ``n_deleted``, ``copy_of`` (the id that keeps a wholly equal text)."""
     seq = lambda t: F.unhex(F.md5(F.array_join(F.transform(_lines(t), lambda x: F.trim(x)), "\n")))
@@ -104,15 +134,22 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL AND text <> ''")
     rows = rows.select(F.struct(F.col("id").isNull().alias("none"), "id").alias("id"), seq(F.col("text")).alias("seq"), _keys(F.col("text")).alias("keys"), words.alias("words"))
     texts = stored(rows.groupBy("seq").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("words").alias("words")))
-    n = texts.count()
-    lines = texts.select("seq", "id", F.explode(F.array_distinct(F.arrays_zip("keys", "words"))).alias("line")).select("seq", "id", "line.keys", "line.words").filter("words > 0").withColumnRenamed("keys", "key")
-    rare = max(rare_texts, int(rare_share * n))
-    held = (
-        lines.groupBy("key").agg(F.count("*").alias("texts"), F.min(F.struct("id", "seq")).alias("holder"), F.max("words").alias("words"))
-        .filter((F.col("texts") > 1) & ((F.col("texts") <= rare) | (F.col("words") >= long_words)))
-        .select("key", F.col("holder.seq").alias("early"))
-    )
-    pairs = lines.select("seq", "key").join(held, "key").filter("seq <> early").groupBy("seq", "early").agg(F.count("*").alias("shared"))
+
+    def lead(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [list(runs(k, w, min_block_words)) for k, w in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                which = pa.array([n for n, own in enumerate(found) for _ in own], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(which), part.column(3).take(which), pa.array([k for own in found for k in own], pa.binary())], ["seq", "id", "key"])
+
+    lines = stored(texts.select("seq", "keys", "words", "id").mapInArrow(lead, f"seq binary, id {texts.schema['id'].dataType.simpleString()}, key binary"))
+    held = stored(lines.groupBy("key").agg(F.count("*").alias("texts"), F.min(F.struct("id", "seq")).alias("holder")).filter("texts > 1").select("key", "texts", F.col("holder.seq").alias("early")))
+    hot = F.col("texts") > max(HOT_TEXTS, lines.count() // HOT_PART)
+    many = F.broadcast(held.filter(hot).select("key", "early"))  # HOT_PART rows at most
+    pairs = lines.join(many, "key", "left_anti").select("seq", "key").join(held.filter(~hot).select("key", "early"), "key")
+    pairs = pairs.union(lines.select("seq", "key").join(many, "key").select(pairs.columns))
+    pairs = pairs.filter("seq <> early").groupBy("seq", "early").agg(F.count("*").alias("shared"))
     earlier = texts.select(F.col("seq").alias("early"), F.col("keys").alias("early_keys"))
     aligned = pairs.join(earlier, "early").join(texts.select("seq", "keys", "words"), "seq").select("seq", "keys", "words", "early_keys")
 

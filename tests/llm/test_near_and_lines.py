@@ -136,3 +136,17 @@ def test_line_dedup_deletes_what_the_first_keeps(spark):
     out = queries.op7_line_alignment(spark, "/root/testdata/sf0.001")
     assert out.filter("copy_of IS NOT NULL AND n_deleted <> n_lines").count() == 0
     assert out.filter("n_deleted > n_lines").count() == 0
+
+
+def test_frequent_short_lines_and_passages_are_cut(spark):
+    verse = "roses are red\nviolets so blue\nsugar tastes sweet"  # runs of short lines
+    rows = [(1, "own first\nroses are red"), (2, "violets so blue\nown second\nsugar tastes sweet")]
+    rows += [(i, f"page {i}\nall rights reserved by the press\n{verse}\nend {i}") for i in range(10, 90)]
+    got = {r["doc_id"]: r["deduped"]["text"] for r in linedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in (1, 2, 10)] == [t for _, t in rows[:3]]
+    assert all(got[i] == f"page {i}\nend {i}" for i in range(11, 90))
+
+
+def test_runs():
+    assert set(p for v in linedup.runs([b"a", b"b", b"", b"c", b"d"], [5, 3, 0, 2, 1], 5).values() for p in v) == {(0, 1), (1, 4), (0, 2), (1, 5)}
+    assert linedup.runs([], [], 5) == {} == linedup.runs([b"a"], [4], 5)
