@@ -10,7 +10,9 @@
 3. Each linked pair is aligned with patience diff: equal ends first, then lines
    that occur once in both in their longest common order, then the gaps between.
 4. Runs of aligned lines of ``min_block_words`` words or more are deleted from
-   the later text.  The earliest text that has a line always keeps it.
+   the later text, and then, wherever they stand, all other runs of so many words
+   that the earlier text has too, so moved and repeated blocks go as well.  The
+   earliest text that has a run always keeps it.
 
 Only keys and lengths of lines are moved, until the texts that stay are cut in
 one join by their sequence of lines.  Lines are compared without white space at
@@ -79,9 +81,9 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def runs(keys: list[bytes], words: list[int], least: int) -> dict[bytes, list[tuple[int, int]]]:
+def runs(keys: list, words: list[int], least: int) -> dict[tuple, list[tuple[int, int]]]:
     """The shortest runs of adjacent lines that have ``least`` words or more, from
-    each line with words on and back from it: key to places (start, end)."""
+    each line with words on and back from it: their lines to places (start, end)."""
     till = [0]
     for n in words:
         till.append(till[-1] + n)
@@ -98,15 +100,15 @@ def runs(keys: list[bytes], words: list[int], least: int) -> dict[bytes, list[tu
             i += 1
         if n and till[j] - till[i] >= least:
             places.add((i, j))
-    out: dict[bytes, list[tuple[int, int]]] = {}
+    out: dict[tuple, list[tuple[int, int]]] = {}
     for i, j in sorted(places):
-        key = keys[i] if j == i + 1 else hashlib.md5(b"".join(keys[i:j])).digest()
-        out.setdefault(key, []).append((i, j))
+        out.setdefault(tuple(keys[i:j]), []).append((i, j))
     return out
 
 
 def blocks(a: list, b: list, words: list[int], least: int) -> list[int]:
-    """Positions of ``a`` in aligned runs that have ``least`` words or more."""
+    """Positions of ``a`` in aligned runs that have ``least`` words or more, and then
+    in what is left in runs of so many words that ``b`` has anywhere."""
     out, run, ends = [], [], None
     for x, y in [*patience(a, b), (-1, -1)]:
         if ends != (x - 1, y - 1):
@@ -115,7 +117,20 @@ def blocks(a: list, b: list, words: list[int], least: int) -> list[int]:
             run = []
         run.append(x)
         ends = (x, y)
-    return out
+    # Shortest runs cover every common block; lines that only b has count no words.
+    size = dict(zip(a, words))
+    other = runs(b, [size.get(line, 0) for line in b], least)
+    cut = set(out)
+    i = 0
+    while i < len(a):
+        j = i
+        while j < len(a) and j not in cut:
+            j += 1
+        for key, places in runs(a[i:j], words[i:j], least).items():
+            if key in other:
+                out += [x for start, end in places for x in range(i + start, i + end)]
+        i = j + 1
+    return sorted(set(out))
 
 
 def _lines(text):
@@ -139,7 +154,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [list(runs(k, w, min_block_words)) for k, w in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                found = [[r[0] if len(r) == 1 else hashlib.md5(b"".join(r)).digest() for r in runs(k, w, min_block_words)] for k, w in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
                 which = pa.array([n for n, own in enumerate(found) for _ in own], pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(which), part.column(3).take(which), pa.array([k for own in found for k in own], pa.binary())], ["seq", "id", "key"])
 

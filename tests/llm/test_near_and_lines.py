@@ -150,3 +150,10 @@ def test_frequent_short_lines_and_passages_are_cut(spark):
 def test_runs():
     assert set(p for v in linedup.runs([b"a", b"b", b"", b"c", b"d"], [5, 3, 0, 2, 1], 5).values() for p in v) == {(0, 1), (1, 4), (0, 2), (1, 5)}
     assert linedup.runs([], [], 5) == {} == linedup.runs([b"a"], [4], 5)
+
+
+def test_moved_and_repeated_blocks_are_cut(spark):
+    a, b = "first passage of six plain words\nwith a second line", "second passage\nof other plain words here"
+    rows = [(1, f"{a}\nbetween them\n{b}"), (2, f"two\n{b}\nand then\n{a}\nend two"), (3, f"three\n{a}\nonce more\n{a}\nagain\n{a}\nend three")]
+    got = {r["doc_id"]: r["deduped"]["text"] for r in linedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "two\nand then\nend two", 3: "three\nonce more\nagain\nend three"}
