@@ -5,9 +5,14 @@ after another word or a comma, so not those that open a sentence) and units (aft
 a number) become typed placeholders; other words are lowered.  Windows of ``k``
 template tokens of documents are hash-joined with those of the benchmark, so a
 question with other numbers or names still meets its template.  Where a document
-covers enough of an item, the values in the slots must correspond one to one
-(the same benchmark value always has the same document value and the reverse),
-or it is not the same question.
+covers enough of an item, its matches are grouped by occurrence: by where the item
+would start (document position less item position), exactly, and in two rows of
+steps as wide as the item has windows, one shifted by half a step, so that words put
+in or left out don't part an occurrence and two versions are never in one step; and
+all together, for items that are dispersed.  An occurrence must cover enough, and the
+values in its slots must correspond one to one (the same benchmark value always has
+the same document value and the reverse), or it is not the same question.  A
+document is reported by its best occurrence if any passes.
 
 The windows of all documents stream past a broadcast of the benchmark's windows
 if its size allows, so documents are neither moved nor collected; a benchmark
@@ -123,7 +128,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         _detailed(items, ["item_id"], sizes, True).filter((literals >= F.least(F.lit(min_literals), F.col("size"))))
         .select("item_id", F.col("size").alias("b_size"), F.col("pos").alias("b_pos"), F.col("h").alias("b_h"), F.col("slots").alias("b_slots"))
     )
-    totals = of_items.groupBy("item_id").agg(F.countDistinct("b_pos").alias("item_windows"))
+    totals = of_items.groupBy("item_id").agg(F.countDistinct("b_pos").alias("item_windows"), (F.max("b_pos") - F.min("b_pos") + 1).alias("width"))
     size_of = of_items.agg(F.sum(F.aggregate("b_slots", F.lit(80), lambda a, x: a + 16 + F.octet_length(x)))).first()[0] or 0
     side = F.broadcast if size_of <= BROADCAST_BYTES else (lambda df: df)
 
@@ -136,7 +141,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         met = some if met is None else met.union(some)
     covered = met.groupBy("doc_id", "item_id").agg(F.countDistinct("b_pos").alias("n_windows"))
     covered = stored(
-        covered.join(totals, _same(covered, totals, "item_id")).select("doc_id", covered["item_id"], "n_windows", "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"))
+        covered.join(totals, _same(covered, totals, "item_id")).select("doc_id", covered["item_id"], "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"))
         .filter(F.col("coverage") >= min_coverage)
     )
 
@@ -145,19 +150,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     few = suspects.count() * 64 <= BROADCAST_BYTES
     texts = docs.join(F.broadcast(suspects) if few else suspects, _same(docs, suspects, "doc_id"), "left_semi")
     found = _detailed(_slotted(texts, ["doc_id"]), ["doc_id"], sizes, False).drop("words")
-    slotted = of_items.filter(F.exists("b_slots", lambda x: x != ""))
-    pairs = found.join(side(slotted), (F.col("h") == F.col("b_h")) & (F.col("size") == F.col("b_size")))
-    pairs = pairs.select("doc_id", "item_id", F.explode(F.arrays_zip(F.col("b_slots").alias("b"), F.col("slots").alias("d"))).alias("s")).filter("s.b <> ''")
-    pairs = stored(pairs.select("doc_id", "item_id", "s.b", "s.d").distinct())
-    one = pairs.groupBy("doc_id", "item_id", "b").agg(F.count("*").alias("n"), F.min("d").alias("d"))
-    back = pairs.groupBy("doc_id", "item_id", "d").agg(F.count("*").alias("m"))
+    found = found.withColumnRenamed("slots", "d_slots")
+    hits = found.join(side(of_items), (F.col("h") == F.col("b_h")) & (F.col("size") == F.col("b_size")))
+    values = F.filter(F.arrays_zip(F.col("b_slots").alias("b"), F.col("d_slots").alias("d")), lambda s: s["b"] != "")
+    hits = hits.select("doc_id", "item_id", "b_pos", (F.col("pos") - F.col("b_pos")).alias("start"), values.alias("values"))
+    wide = covered.join(totals, _same(covered, totals, "item_id")).select(covered["doc_id"], covered["item_id"], covered["item_windows"], totals["width"])
+    hits = hits.join(wide, _same(hits, wide, "doc_id", "item_id")).select(hits["doc_id"], hits["item_id"], "item_windows", "width", "b_pos", "start", "values")
+    step = lambda shift: F.floor((F.col("start") + shift) / F.col("width"))
+    ways = [F.lit(0), F.col("start"), step(F.lit(0)), step(F.floor(F.col("width") / 2))]
+    place = F.explode(F.array(*[F.struct(F.lit(n).alias("way"), at.cast("long").alias("at")) for n, at in enumerate(ways)]))
+    hits = stored(hits.select("doc_id", "item_id", "item_windows", place.alias("place"), "b_pos", "values"))
+    keys = ["doc_id", "item_id", "place"]
+    occurrences = hits.groupBy(*keys, "item_windows").agg(F.countDistinct("b_pos").alias("n_windows")).withColumn("coverage", F.col("n_windows") / F.col("item_windows")).filter(F.col("coverage") >= min_coverage)
+    pairs = stored(hits.select(*keys, F.explode("values").alias("s")).select(*keys, "s.b", "s.d").distinct())
+    one = pairs.groupBy(*keys, "b").agg(F.count("*").alias("n"), F.min("d").alias("d"))
+    back = pairs.groupBy(*keys, "d").agg(F.count("*").alias("m"))
     slots = (
-        one.join(back, _same(one, back, "doc_id", "item_id", "d"), "left")
-        .select(one["doc_id"], one["item_id"], ((F.col("n") == 1) & (F.col("m") == 1)).alias("fits"), (one["d"] != one["b"]).alias("changed"))
-        .groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"), F.count_if("changed").alias("changed_slots"), F.count_if("fits").alias("fitting"))
+        one.join(back, _same(one, back, *keys, "d"), "left")
+        .select(*[one[c] for c in keys], ((F.col("n") == 1) & (F.col("m") == 1)).alias("fits"), (one["d"] != one["b"]).alias("changed"))
+        .groupBy(*keys).agg(F.count("*").alias("n_slots"), F.count_if("changed").alias("changed_slots"), F.count_if("fits").alias("fitting"))
     )
-    out = covered.join(slots, _same(covered, slots, "doc_id", "item_id"), "left").select(
-        covered["doc_id"], covered["item_id"], "n_windows", "item_windows", "coverage", F.coalesce("n_slots", F.lit(0)).alias("n_slots"),
+    out = occurrences.join(slots, _same(occurrences, slots, *keys), "left").select(
+        *[occurrences[c] for c in keys], "n_windows", "item_windows", "coverage", F.coalesce("n_slots", F.lit(0)).alias("n_slots"),
         F.coalesce("changed_slots", F.lit(0)).alias("changed_slots"), F.coalesce(F.col("fitting") / F.col("n_slots"), F.lit(1.0)).alias("consistency"),
-    )
-    return out.filter(F.col("consistency") >= min_consistency)
+    ).filter(F.col("consistency") >= min_consistency)
+    said = ["n_windows", "item_windows", "coverage", "n_slots", "changed_slots", "consistency"]
+    rank = F.struct("n_windows", "consistency", -F.col("changed_slots"), -F.col("n_slots"))
+    return out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct(*said), rank).alias("best")).select("doc_id", "item_id", "best.*")

@@ -104,6 +104,17 @@ def test_reparameterised_question_is_found(spark):
     assert [r["item_id"] for r in decontam.leaks(short, bench).collect()] == [13]
 
 
+def test_several_versions_in_one_text_are_found(spark):
+    other = QUESTION.replace("Alice", "Zed").replace("Bob", "Yara").replace("12", "31").replace(" 7 ", " 9.5 ")
+    third = other.replace("31", "44").replace("9.5", "3").replace("in a day", "on a fine day")
+    mixed = QUESTION.replace("Alice", "Zed", 1).replace("Bob", "Zed", 1)
+    docs = spark.createDataFrame([(1, f"{QUESTION} {other} {third}"), (2, f"{other} Some words go between. {QUESTION}"), (3, f"{mixed} And then. {mixed}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, QUESTION), (11, third)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.leaks(docs, bench).collect()}
+    assert set(got) == {(1, 10), (1, 11), (2, 10), (2, 11)}
+    assert got[1, 10]["changed_slots"] == 0 == got[2, 10]["changed_slots"] and got[1, 11]["coverage"] == 1.0
+
+
 def test_planted_passages_are_found(spark):
     bench = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
