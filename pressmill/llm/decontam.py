@@ -23,7 +23,8 @@ Defined results: null and empty texts have no windows.  An item shorter than
 ``k`` tokens is one window of its own length.  Windows with fewer than
 ``min_literals`` words that aren't placeholders are left out, since they fit
 anything; an item without any other window is never found.  Repeated rows of an
-id count as one document; null ids are one document."""
+id and text count as one document; other texts of an id, or of a null id, are looked
+at on their own, and the id is reported by the best of them."""
 
 from __future__ import annotations
 
@@ -120,7 +121,7 @@ def _same(a: DataFrame, b: DataFrame, *columns: str) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = K, min_literals: int = MIN_LITERALS, min_coverage: float = MIN_COVERAGE, min_consistency: float = MIN_CONSISTENCY) -> DataFrame:
     """A row for each document and item found in it: ``doc_id, item_id, n_windows,
     item_windows, coverage, n_slots, changed_slots, consistency``."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")).alias("doc_id"), F.col(text_col).alias("text"))
     items = _slotted(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).distinct(), ["item_id"])
     sizes = [r[0] for r in items.select(F.least(F.size("codes"), F.lit(k)).alias("n")).filter("n > 0").distinct().sort("n").collect()] or [k]  # at most k
     literals = F.aggregate("words", F.lit(0), lambda a, x: a + x)
@@ -176,4 +177,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     ).filter(F.col("consistency") >= min_consistency)
     said = ["n_windows", "item_windows", "coverage", "n_slots", "changed_slots", "consistency"]
     rank = F.struct("n_windows", "consistency", -F.col("changed_slots"), -F.col("n_slots"))
-    return out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct(*said), rank).alias("best")).select("doc_id", "item_id", "best.*")
+    return out.groupBy(F.col("doc_id.id").alias("doc_id"), "item_id").agg(F.max_by(F.struct(*said), rank).alias("best")).select("doc_id", "item_id", "best.*")

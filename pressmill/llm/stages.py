@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, jaccard, langid, linedup
+from .common import stored
 
 #: A text whose best language is less sure than this is rejected.
 MIN_SCORE = 0.3
@@ -41,20 +42,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.select(*[F.when(F.col("deduped.n_deleted") > 0, new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in docs.columns])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``, which tells different texts of one id, or of null ids,
+    apart and sorts by id, nulls last."""
+    return docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")))
+
+
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    found = jaccard.similar(docs)
-    drop = found.filter((F.col("n_links") > 0) & ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("d_id")).distinct()
-    kept = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("d_id")), "left_anti")
-    if found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id"])
+    """Keeps the document with the smallest id of each group of near copies, nulls
+    last; one text, if several have that id."""
+    keyed = _keyed(docs)
+    found = stored(jaccard.similar(keyed, id_col="_key").filter("n_links > 0").select(F.col("doc_id").alias("d_key"), "class_id"))
+    drop = found.filter("d_key <> class_id").select("d_key").distinct()
+    kept = keyed.join(drop, F.col("_key") == F.col("d_key"), "left_anti")
+    again = found.filter("d_key = class_id").groupBy("d_key").count().filter("count > 1").select("d_key")
+    if not again.isEmpty():  # equal rows: one of each stays
+        one = kept.join(again, F.col("_key") == F.col("d_key"), "left_semi").dropDuplicates(["_key"])
+        kept = kept.join(again, F.col("_key") == F.col("d_key"), "left_anti").union(one)
+    return kept.select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    bad = decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("d_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("d_id")), "left_anti")
+    keyed = _keyed(docs)
+    bad = decontam.leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key").select(F.col("doc_id").alias("d_key")).distinct()
+    return keyed.join(bad, F.col("_key") == F.col("d_key"), "left_anti").select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,3 +54,15 @@ def test_near_copies_of_one_id(spark):
     docs = spark.createDataFrame([(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text + " end", "en", "s", 1), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = stages.ngram_jaccard(spark, docs, SF).select(F.col("doc_id")).collect()
     assert sorted(str(r[0]) for r in kept) == ["1", "None"]
+
+
+def test_texts_without_an_id_of_their_own_are_judged_alone(spark):
+    """Null and repeated ids: only the near copy, the repeated row and the leak go."""
+    text = " ".join(f"word{i}" for i in range(50))
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").filter("length(text) > 60").orderBy("item_id").first()["text"]
+    rows = [(None, "an unrelated text that has no id"), (None, "and another one without it, quite different"), (None, text + " end"), (1, text), (2, "one text of the second id, which stays"), (2, text + " other end"), (3, "kept, kept, kept twice"), (3, "kept, kept, kept twice"), (4, "clean, though its id has a leak"), (4, leak), (None, leak + " " + text.replace("word", "more"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = sorted(((r["doc_id"], r["text"]) for r in stages.ngram_jaccard(spark, docs, SF).collect()), key=str)
+    assert near == sorted([r for n, r in enumerate(rows) if n not in (2, 5, 7)], key=str)
+    clean = sorted(((r["doc_id"], r["text"]) for r in stages.decontaminate(spark, docs, SF).collect()), key=str)
+    assert clean == sorted(rows[:9], key=str)
