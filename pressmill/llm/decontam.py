@@ -2,14 +2,17 @@
 
 A text becomes a sequence of template tokens.  Numbers, names (capitalised words
 after another word or a comma, so not those that open a sentence) and units (after
-a number) become typed placeholders; other words are lowered.  Windows of ``k``
+a number, with or without white space) become typed placeholders; other words are
+lowered.  In a second variant all capitalised words are names, so a name that opens
+a sentence may differ as well; a window is met if it is met in either variant.  Windows of ``k``
 template tokens of documents are hash-joined with those of the benchmark, so a
 question with other numbers or names still meets its template.  Where a document
 covers enough of an item, its matches are grouped by occurrence: by where the item
 would start (document position less item position), exactly, and in two rows of
 steps as wide as the item has windows, one shifted by half a step, so that words put
 in or left out don't part an occurrence and two versions are never in one step; and
-all together, for items that are dispersed.  An occurrence must cover enough, and the
+all together, for items that are dispersed.  An occurrence must cover enough, or
+``min_run`` windows of the item one after another without a word put in, and the
 values in its slots must correspond one to one (the same benchmark value always has
 the same document value and the reverse), or it is not the same question.  A
 document is reported by its best occurrence if any passes.
@@ -37,6 +40,8 @@ K = 8
 MIN_LITERALS = 4
 MIN_COVERAGE = 0.5
 MIN_CONSISTENCY = 0.75
+#: Windows one after another that are a finding whatever they cover of a long item.
+MIN_RUN = 18
 #: Units of measure and money.
 UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "min", "h", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "meters", "metres", "miles", "feet", "inches", "dollars", "euros", "cents", "percent", "degrees", "pounds", "liters", "litres"]
 NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
@@ -50,31 +55,34 @@ def _once(df: DataFrame, keys: list[str], **columns: Column) -> DataFrame:
     return df.select(*keys, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def _marked(text: Column, values: bool) -> Column:
+def _marked(text: Column, values: bool, openers: bool) -> Column:
     """The text, lowered, with a mark for each number, name and unit; with
-    ``values`` what a mark stands for follows it, else it is left out."""
+    ``values`` what a mark stands for follows it, else it is left out.  With
+    ``openers`` any capitalised word is a name."""
     held = "$0" if values else ""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), "(?<=[\\p{L}\\p{N},;:] )\\p{Lu}[\\p{L}\\p{M}]*", NAME + held)
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), "\\s+", " ")
+    before = "(?<![\\p{L}\\p{M}\\p{N}])" if openers else "(?<=[\\p{L}\\p{N},;:] )"
+    text = F.regexp_replace(text, before + "\\p{Lu}[\\p{L}\\p{M}]*", NAME + held)
     text = F.regexp_replace(text, DIGITS, NUMBER + held)
-    after = f"({NUMBER}{DIGITS if values else ''} )({'|'.join(UNITS)})(?![{WORD}])"
-    return F.lower(F.regexp_replace(text, after, f"$1{UNIT}{'$2' if values else ''}"))
+    after = f"({NUMBER}{DIGITS if values else ''}) ?({'|'.join(UNITS)})(?![{WORD}])"
+    return F.lower(F.regexp_replace(text, after, f"$1 {UNIT}{'$2' if values else ''}"))
 
 
 def _codes(tokens: Column) -> Column:
     return F.transform(tokens, lambda x: F.xxhash64(x))
 
 
-def _templates(df: DataFrame, keys: list[str]) -> DataFrame:
+def _templates(df: DataFrame, keys: list[str], openers: bool) -> DataFrame:
     """``keys`` and ``codes``, the hashes of the template tokens of ``text``."""
-    tokens = _once(df, keys, tokens=F.split(_marked(F.col("text"), False), f"[^{WORD}]+"))
+    tokens = _once(df, keys, tokens=F.split(_marked(F.col("text"), False, openers), f"[^{WORD}]+"))
     return _once(tokens, keys, codes=_codes(F.array_remove("tokens", "")))
 
 
-def _slotted(df: DataFrame, keys: list[str]) -> DataFrame:
+def _slotted(df: DataFrame, keys: list[str], openers: bool) -> DataFrame:
     """``keys``, the ``codes`` as before, ``slots`` (a token that holds a value, else an
     empty string) and ``words`` (1 for a token without a value), all equally long."""
     cut = f"(?:[^{WORD}.,]|[.,](?!\\p{{N}}))+"
-    tokens = _once(df, keys, tokens=F.split(_marked(F.col("text"), True), cut))
+    tokens = _once(df, keys, tokens=F.split(_marked(F.col("text"), True, openers), cut))
     tokens = _once(tokens, keys, tokens=F.array_remove("tokens", ""))
     template = lambda x: F.regexp_replace(F.regexp_replace(x, NUMBER + DIGITS, NUMBER), f"([{NAME}{UNIT}])[\\p{{L}}\\p{{M}}]+", "$1")
     held = lambda x: x.rlike(f"[{NUMBER}-{UNIT}]")
@@ -118,41 +126,42 @@ def _same(a: DataFrame, b: DataFrame, *columns: str) -> Column:
     return on
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = K, min_literals: int = MIN_LITERALS, min_coverage: float = MIN_COVERAGE, min_consistency: float = MIN_CONSISTENCY) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = K, min_literals: int = MIN_LITERALS, min_coverage: float = MIN_COVERAGE, min_consistency: float = MIN_CONSISTENCY, min_run: int = MIN_RUN) -> DataFrame:
     """A row for each document and item found in it: ``doc_id, item_id, n_windows,
     item_windows, coverage, n_slots, changed_slots, consistency``."""
     docs = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")).alias("doc_id"), F.col(text_col).alias("text"))
-    items = _slotted(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).distinct(), ["item_id"])
+    both = lambda make, df, keys: make(df, keys, False).withColumn("open", F.lit(0)).union(make(df, keys, True).withColumn("open", F.lit(1)))
+    items = both(_slotted, benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).distinct(), ["item_id"])
     sizes = [r[0] for r in items.select(F.least(F.size("codes"), F.lit(k)).alias("n")).filter("n > 0").distinct().sort("n").collect()] or [k]  # at most k
     literals = F.aggregate("words", F.lit(0), lambda a, x: a + x)
     of_items = stored(
-        _detailed(items, ["item_id"], sizes, True).filter((literals >= F.least(F.lit(min_literals), F.col("size"))))
-        .select("item_id", F.col("size").alias("b_size"), F.col("pos").alias("b_pos"), F.col("h").alias("b_h"), F.col("slots").alias("b_slots"))
+        _detailed(items, ["item_id", "open"], sizes, True).filter((literals >= F.least(F.lit(min_literals), F.col("size"))))
+        .select("item_id", F.col("open").alias("b_open"), F.col("size").alias("b_size"), F.col("pos").alias("b_pos"), F.col("h").alias("b_h"), F.col("slots").alias("b_slots"))
     )
     totals = of_items.groupBy("item_id").agg(F.countDistinct("b_pos").alias("item_windows"), (F.max("b_pos") - F.min("b_pos") + 1).alias("width"))
     size_of = of_items.agg(F.sum(F.aggregate("b_slots", F.lit(80), lambda a, x: a + 16 + F.octet_length(x)))).first()[0] or 0
     side = F.broadcast if size_of <= BROADCAST_BYTES else (lambda df: df)
 
     # 1. Which documents cover enough windows of an item?
-    templates = _templates(docs, ["doc_id"])
+    templates = both(_templates, docs, ["doc_id"])
     met = None
     for size in sizes:
-        windows = _hashes(templates, ["doc_id"], size).select("doc_id", F.explode("hashes").alias("h"))
-        some = windows.join(side(of_items.filter(F.col("b_size") == size).select("item_id", "b_pos", "b_h")), F.col("h") == F.col("b_h")).select("doc_id", "item_id", "b_pos")
+        windows = _hashes(templates, ["doc_id", "open"], size).select("doc_id", "open", F.explode("hashes").alias("h"))
+        some = windows.join(side(of_items.filter(F.col("b_size") == size).select("item_id", "b_open", "b_pos", "b_h")), (F.col("h") == F.col("b_h")) & (F.col("open") == F.col("b_open"))).select("doc_id", "item_id", "b_pos")
         met = some if met is None else met.union(some)
     covered = met.groupBy("doc_id", "item_id").agg(F.countDistinct("b_pos").alias("n_windows"))
     covered = stored(
-        covered.join(totals, _same(covered, totals, "item_id")).select("doc_id", covered["item_id"], "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"))
-        .filter(F.col("coverage") >= min_coverage)
+        covered.join(totals, _same(covered, totals, "item_id")).select("doc_id", covered["item_id"], "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"), "n_windows")
+        .filter((F.col("coverage") >= min_coverage) | (F.col("n_windows") >= min_run))
     )
 
     # 2. Where the item has a value, what has the document?
     suspects = covered.select("doc_id").distinct()
     few = suspects.count() * 64 <= BROADCAST_BYTES
     texts = docs.join(F.broadcast(suspects) if few else suspects, _same(docs, suspects, "doc_id"), "left_semi")
-    found = _detailed(_slotted(texts, ["doc_id"]), ["doc_id"], sizes, False).drop("words")
+    found = _detailed(both(_slotted, texts, ["doc_id"]), ["doc_id", "open"], sizes, False).drop("words")
     found = found.withColumnRenamed("slots", "d_slots")
-    hits = found.join(side(of_items), (F.col("h") == F.col("b_h")) & (F.col("size") == F.col("b_size")))
+    hits = found.join(side(of_items), (F.col("h") == F.col("b_h")) & (F.col("open") == F.col("b_open")) & (F.col("size") == F.col("b_size")))
     values = F.filter(F.arrays_zip(F.col("b_slots").alias("b"), F.col("d_slots").alias("d")), lambda s: s["b"] != "")
     hits = hits.select("doc_id", "item_id", "b_pos", (F.col("pos") - F.col("b_pos")).alias("start"), values.alias("values"))
     wide = covered.join(totals, _same(covered, totals, "item_id")).select(covered["doc_id"], covered["item_id"], covered["item_windows"], totals["width"])
@@ -162,7 +171,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     place = F.explode(F.array(*[F.struct(F.lit(n).alias("way"), at.cast("long").alias("at")) for n, at in enumerate(ways)]))
     hits = stored(hits.select("doc_id", "item_id", "item_windows", place.alias("place"), "b_pos", "values"))
     keys = ["doc_id", "item_id", "place"]
-    occurrences = hits.groupBy(*keys, "item_windows").agg(F.countDistinct("b_pos").alias("n_windows")).withColumn("coverage", F.col("n_windows") / F.col("item_windows")).filter(F.col("coverage") >= min_coverage)
+    covers = hits.groupBy(*keys, "item_windows").agg(F.array_sort(F.collect_set("b_pos")).alias("met"))
+    # Sorted and distinct places: min_run of them in a row end min_run - 1 further on.
+    streak = F.filter("met", lambda x, i: F.get("met", i + (min_run - 1)) == x + (min_run - 1))
+    enough = (F.col("coverage") >= min_coverage) | ((F.col("place.way") == 1) & (F.size(streak) > 0))
+    occurrences = covers.withColumn("n_windows", F.size("met").cast("long")).withColumn("coverage", F.col("n_windows") / F.col("item_windows")).filter(enough).drop("met")
     pairs = stored(hits.select(*keys, F.explode("values").alias("s")).select(*keys, "s.b", "s.d").distinct())
     one = pairs.groupBy(*keys, "b").agg(F.count("*").alias("n"), F.min("d").alias("d"))
     back = pairs.groupBy(*keys, "d").agg(F.count("*").alias("m"))

@@ -115,6 +115,15 @@ def test_several_versions_in_one_text_are_found(spark):
     assert got[1, 10]["changed_slots"] == 0 == got[2, 10]["changed_slots"] and got[1, 11]["coverage"] == 1.0
 
 
+def test_opening_names_units_and_long_runs_are_found(spark):
+    names = "Tom has 5 apples. Sue gives Tom 3 apples. How many apples has Tom now?"
+    long = " ".join(f"{c}{d}" for c in ("ba", "ce", "di", "fo", "gu") for d in ("lm", "nt", "rs", "vx", "zk", "pq", "hj", "st", "kl", "mn", "wr", "tt", "ss", "ll"))
+    units = "the boat goes 5 km down,\nAnn said, and then it goes 7 km up again"
+    docs = spark.createDataFrame([(1, names.replace("Tom", "Ed").replace("Sue", "Kay")), (2, "quite other words " + " ".join(long.split()[20:48]) + " and so on"), (3, units.replace("5 km", "6km").replace("7 km", "8km").replace("\nAnn", "  Eve")), (4, " ".join(long.split()[20:34]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, names), (11, long), (12, units)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench).collect()} == {(1, 10), (2, 11), (3, 12)}
+
+
 def test_planted_passages_are_found(spark):
     bench = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
