@@ -42,15 +42,54 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables; whoever finds it after
+    the application has ended may delete it."""
+    return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+_written: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage, keeps generated ids stable and survives the loss of
-    an executor; the reread table has sizes that the planner can use."""
+    an executor; the reread table has sizes that the planner can use.  An operator
+    drops what its result doesn't read (``dropped``); the rest goes with ``clear``."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables of which no other table is still to be made."""
+    for t in tables:
+        _delete(t.sparkSession, t._stored_at)
+        _written.remove(t._stored_at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every stored table; call it when the results of the operators are written."""
+    while _written:
+        _delete(spark, _written.pop())
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, or a longer one, that is no column of ``taken``, whatever the case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -62,8 +101,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     smaller neighbours likewise (small star), so paths shrink geometrically.
     Minima are pre-aggregated before the shuffle and the joins back have one row
     a key on one side, so that AQE can split a hot node."""
-    shared_folder(edges.sparkSession)
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
+    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     before = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -80,6 +118,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .select("e.a", "e.b")
             .filter("a <> b")
         )
-        now = small.distinct().checkpoint()
+        last, now = now, stored(small.distinct())
+        dropped(last)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
