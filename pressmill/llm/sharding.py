@@ -45,8 +45,14 @@ def jump_hash(key: Column, shards: int) -> Column:
         on = F.struct(key.alias("key"), state["next"].alias("at"), step.alias("next"))
         return F.when(state["next"] < shards, on).otherwise(state)
 
+    # A key leaps about ln(shards) times, so a few steps do for nearly all; the rest go
+    # on in stretches twice as long each time, up to the ``shards`` leaps there can be.
+    stretches = [8]
+    while sum(stretches) < shards:
+        stretches.append(2 * stretches[-1])
+    on = lambda s, n: F.when(s["next"] < shards, F.aggregate(F.sequence(F.lit(1), n), s, leap)).otherwise(s)
     start = F.struct(key.cast("long").alias("key"), F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("next"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, leap, lambda s: s["at"].cast("int"))
+    return F.aggregate(F.array(*map(F.lit, stretches)), start, on, lambda s: s["at"].cast("int"))
 
 
 def stable_key(value: Column) -> Column:
