@@ -4,14 +4,16 @@
    hashes come from ``bands`` x ``rows`` minima, with band and row counts chosen for
    the target recall at the threshold.
 2. Texts with equal sets collapse to one class, so copies are never paired.
-3. Classes are shuffled on band hashes.  Every class of a bucket links to the
-   bucket's smallest one, and the components of these links hold every pair of
-   classes that share a bucket.
-4. The full sets of each component's classes are moved once, to one task a
-   component; a component of more than ``block`` classes is cut into blocks and
-   has a task a pair of blocks, so none is unbounded.  There every pair that
-   shares a band is verified on the full sets; pairs are counted and united, and
-   never leave the task.
+3. Classes are shuffled on band hashes, and buckets of one class go.  Pairs are
+   verified bucket by bucket, each in the first bucket that both are in.  Where buckets
+   overlap so much that the classes they connect are fewer rows than their members (a
+   large group of near copies meets itself again in most of its buckets), the connected
+   classes are taken as one unit instead; whichever copies fewer rows is chosen for each
+   such component, and both find the same pairs.
+4. The full sets of classes that share a bucket are moved to their units.  A unit of
+   more than ``BLOCK`` classes or ``BLOCK_BYTES`` of sets is cut into blocks and has a
+   task a pair of blocks, so none is unbounded; only one text longer than that makes a
+   larger block.  Pairs are counted and united, and never leave the task.
 
 The result has one row for each row: its class (the smallest id among the texts
 that verified links connect) and its number of links (other rows with a verified
@@ -31,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored
+from .common import BROADCAST_BYTES, connected_components, dropped, stored
 from .langid import _binary
 
-WORDS, THRESHOLD, RECALL, HASHES, BLOCK = 5, 0.8, 0.999, 320, 1024
+WORDS, THRESHOLD, RECALL, HASHES, BLOCK, BLOCK_BYTES = 5, 0.8, 0.999, 320, 1024, 8 << 20
 #: Fixed odd multipliers: of bytes in a word, and of words in an n-gram.
 BYTE_BASE, WORD_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -132,13 +134,18 @@ def _clean(text):
     return F.encode(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^\\p{L}\\p{M}\\p{N}]+", " ")), "UTF-8")
 
 
-def _links(sets: list[np.ndarray], bands: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs (i in ``left``, j in ``right``, i < j if these are the same)."""
+def _links(sets: list[np.ndarray], bands: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, bucket: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Verified pairs (i in ``left``, j in ``right``, i < j if these are the same) that
+    share a band; with ``bucket``, those whose first shared band is that bucket."""
     same = left is right
     x, y = [], []
     for n, i in enumerate(left):
         others = right[n + 1 :] if same else right
-        hit = others[(bands[others] == bands[i]).any(axis=1)]
+        shared = bands[others] == bands[i]
+        if bucket is None:
+            hit = others[shared.any(axis=1)]
+        else:
+            hit = others[shared.any(axis=1) & (bands[i][shared.argmax(axis=1)] == bucket)]
         x.append(np.full(len(hit), i))
         y.append(hit)
     x, y = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (x, y))
@@ -170,24 +177,16 @@ def _links(sets: list[np.ndarray], bands: np.ndarray, left: np.ndarray, right: n
 
 
 def _verify(threshold: float):
-    """Groups of rows with one ``task``, in order, to links counted and united."""
-
-    def group(given: list[dict]):
-        rows, sets = [], []
-        for r in given:  # in order of node; only one row of a node is its class's text
-            if rows and rows[-1]["node"] == r["node"]:
-                continue
-            b = np.frombuffer(r["words"], np.uint8)
-            own = np.unique(ngrams(b, np.array([0, len(b)]))[0])
-            if set_digest(own) == r["digest"]:
-                rows.append(r)
-                sets.append(own)
+    """Groups of rows with one ``unit`` and ``pair``, in order, to links counted and united."""
+
+    def group(rows: list[dict]):
+        sets = [np.frombuffer(r["grams"], np.uint64) for r in rows]
         bands = np.array([r["bands"] for r in rows], np.int64)
         block = np.array([r["block"] for r in rows])
-        one, two = rows[0]["pair"] // 1_000_000, rows[0]["pair"] % 1_000_000
+        one, two = rows[0]["pair"]["a"], rows[0]["pair"]["b"]
         left = np.flatnonzero(block == one)
         right = left if one == two else np.flatnonzero(block == two)
-        x, y = _links(sets, bands, left, right, threshold)
+        x, y = _links(sets, bands, left, right, threshold, rows[0]["unit"]["id"] if rows[0]["unit"]["bucket"] else None)
         weight = np.array([r["copies"] for r in rows], np.int64)
         links = np.bincount(x, weight[y], len(rows)) + np.bincount(y, weight[x], len(rows))
         node = np.array([r["node"] for r in rows])
@@ -202,71 +201,96 @@ def _verify(threshold: float):
             i, j = find(i), find(j)
             if i != j:
                 root[i if node[i] > node[j] else j] = j if node[i] > node[j] else i
-        return node, np.array([node[find(i)] for i in range(len(rows))]), links.astype(np.int64)
+        some = links > 0
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(np.array([node[find(i)] for i in range(len(rows))], np.int64)[some]), pa.array(links[some].astype(np.int64))], ["node", "root", "links"])
 
     def run(batches):
         now, rows = None, []
         for batch in batches:
-            for r in batch.to_pylist():
-                if now is not None and (r["comp"], r["pair"]) != now:
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, group(rows))), ["node", "root", "links"])
-                    rows = []
-                now = r["comp"], r["pair"]
-                rows.append(r)
+            for at in range(0, batch.num_rows, 64):
+                for r in batch.slice(at, 64).to_pylist():
+                    if now is not None and (r["unit"], r["pair"]) != now:
+                        yield group(rows)
+                        rows = []
+                    now = r["unit"], r["pair"]
+                    rows.append(r)
         if rows:
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, group(rows))), ["node", "root", "links"])
+            yield group(rows)
 
     return run
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, block: int = BLOCK) -> DataFrame:
+def _units(classes: DataFrame, block: int) -> DataFrame:
+    """``node, unit(bucket, id), size, bytes`` of the units in which each class that shares a
+    bucket is verified."""
+    buckets = classes.select("node", F.explode("bands").alias("id"))  # a band's number is part of its hash
+    heads = buckets.groupBy("id").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
+    shared = stored(buckets.join(heads, "id"))
+    comps = stored(connected_components(shared.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))))
+    sizes = comps.groupBy("root").agg((F.count("*") * F.ceil(F.count("*") / block)).alias("together"))
+    apart = shared.groupBy("id").agg(F.first("head").alias("node"), (F.first("n") * F.ceil(F.first("n") / block)).alias("rows"))
+    apart = apart.join(comps, "node").groupBy("root").agg(F.sum("rows").alias("apart"))
+    split = sizes.join(apart, "root").filter("apart < together").select("root")
+    inside = comps.join(split, "root", "left_semi").select("node")
+    whole = comps.join(split, "root", "left_anti").select("node", F.struct(F.lit(False).alias("bucket"), F.col("root").alias("id")).alias("unit"))
+    units = stored(whole.union(shared.join(inside, "node", "left_semi").select("node", F.struct(F.lit(True).alias("bucket"), "id").alias("unit"))))
+    dropped(shared, comps)
+    return units
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, class_id, n_links, n_copies`` for every row of ``docs``."""
     bands, per_band = choose_bands(threshold, recall, hashes)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
 
-    @F.arrow_udf("struct<digest binary, bands array<bigint>>")
+    @F.arrow_udf("struct<digest binary, size int, bands array<bigint>>")
     def sketch(texts: pa.Array) -> pa.Array:
         values, offsets = _binary(texts)
-        digests, found = [], []
+        digests, sizes, found = [], [], []
         i, n = 0, len(offsets) - 1
         while i < n:
             j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 20)))))
             grams, first = ngrams(values[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             found.append(signatures(grams, first, bands, per_band))
-            digests += [set_digest(np.unique(grams[a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+            own = [np.unique(grams[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+            digests += map(set_digest, own)
+            sizes += map(len, own)
             i = j
         flat = np.concatenate(found).view(np.int64) if found else np.zeros((0, bands), np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(flat.ravel()))
-        return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), lists], ["digest", "bands"])
-
-    rows = stored(docs.select("doc_id", sketch(_clean(F.col("text"))).alias("s")).select("doc_id", "s.digest", F.when(F.col("s.digest").isNotNull(), F.col("s.bands")).alias("bands")))
-    classes = stored(
-        rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
-        .withColumn("node", F.monotonically_increasing_id())
-    )
-    buckets = classes.select("node", F.explode("bands").alias("bucket"))  # a band's number is part of its hash
-    heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select("bucket", "head")
-    edges = buckets.join(heads, "bucket").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    comps = connected_components(edges)
-    sizes = comps.groupBy("root").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    members = stored(
-        comps.join(sizes, "root").select("node", F.col("root").alias("comp"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-        .join(classes, "node")
-    )
-    # The text of a class comes by its smallest id; a task checks the digest, as
-    # an id may repeat with other texts.
-    wanted = members.select(F.col("first_id").alias("w_id"), "digest", "comp", "blocks", "block", "node", "copies", "bands")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, F.col("block")).cast("long") * 1_000_000 + F.greatest(j, F.col("block")))
-    held = docs.select("doc_id", _clean(F.col("text")).alias("words")).join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("w_id")))
-    tasks = held.select("comp", F.explode(pairs).alias("pair"), "block", "node", "copies", "digest", "bands", "words")
-    tasks = tasks.repartition(F.col("comp"), F.col("pair")).sortWithinPartitions("comp", "pair", "node")
+        return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), lists], ["digest", "size", "bands"])
+
+    @F.arrow_udf("binary")
+    def gram_set(texts: pa.Array) -> pa.Array:
+        values, offsets = _binary(texts)
+        cut = zip(offsets[:-1].tolist(), offsets[1:].tolist())
+        return pa.array([np.unique(ngrams(values[a:b], np.array([0, b - a]))[0]).tobytes() for a, b in cut], pa.binary())
+
+    rows = stored(docs.select("doc_id", "hash", sketch(_clean(F.col("text"))).alias("s")).select("doc_id", "hash", "s.digest", "s.size", F.when(F.col("s.digest").isNotNull(), F.col("s.bands")).alias("bands")))
+    # A class's set is made again from one of its texts, told by id and hash.
+    kind = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "hash")).alias("from"), F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    classes = stored(kind.withColumn("node", F.monotonically_increasing_id()))
+    units = _units(classes, block)
+    wanted = units.select("node").distinct().join(classes, "node").select("node", F.col("from.doc_id").alias("w_id"), F.col("from.hash").alias("w_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("hash") == F.col("w_hash"))
+    few = units.count() * 64 <= BROADCAST_BYTES  # beyond that, texts are shuffled to meet their classes
+    held = docs.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), same).select("node", gram_set(_clean(F.col("text"))).alias("grams"))
+    sets = stored(held.groupBy("node").agg(F.first("grams").alias("grams")))
+
+    sized = units.join(classes.select("node", "size"), "node").groupBy("unit").agg(F.count("*").alias("n"), F.sum((8 * F.col("size")).cast("long")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).cast("int")
+    members = units.join(sized.select("unit", blocks.alias("blocks")), "unit").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("a"), F.greatest(j, F.col("block")).alias("b")))
+    tasks = members.join(sets, "node").join(classes.select("node", "copies", "bands"), "node").select("unit", F.explode(pairs).alias("pair"), "block", "node", "copies", "bands", "grams")
+    tasks = tasks.repartition(F.col("unit"), F.col("pair")).sortWithinPartitions("unit", "pair", "node")
     found = stored(tasks.mapInArrow(_verify(threshold), "node long, root long, links long"))
+    dropped(sets, units)
     linked = found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     labels = connected_components(linked)
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.select("node", "digest", "copies", "first_id").join(labels, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stored(named)
+    dropped(found, classes)
     ids = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
     named = named.join(ids, "root").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
     return rows.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"))

@@ -68,8 +68,11 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies among all documents, decided through an index that starts empty."""
-    index = digest_index.new_index(spark)
-    return index.add(_read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    docs = _read(spark, sf_dir, "documents")
+    index = digest_index.new_index(spark, docs.count())
+    judged = index.add(docs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    index.close(delete=True)
+    return judged
 
 
 def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,24 +83,26 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_warc_derivatives, op3_ppm_language, op4_template_decontamination, op5_minhash_jaccard, op6_trie_bpe, op7_line_alignment, op8_url_rules, op9_digest_index, op10_jump_shards)}
 
 ORACLE = {
-    "op1_chat_perspectives": """
+    "op1_chat_perspectives": r"""
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
 s AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1) // 64 AS part FROM t),
 p AS (
-  SELECT t.conv_id, s.perspective, floor(t.turn / 64) AS bucket, t.turn, t.role, t.text, t.role = s.perspective AS own,
-    CASE WHEN t.role = s.perspective THEN '<|assistant|>' || chr(10) WHEN t.role = 'system' THEN '<|system|>' || chr(10) ELSE '<|user name=' || t.role || '|>' || chr(10) END AS head,
-    t.text || '<|end|>' || chr(10) AS body
-  FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+  SELECT n.conv_id, s.perspective, n.part, n.turn, n.role, n.text, n.role = s.perspective AS own,
+    CASE WHEN n.role = s.perspective THEN '<|assistant|>' || chr(10) WHEN n.role = 'system' THEN '<|system|>' || chr(10)
+      ELSE '<|user name=' || regexp_replace(regexp_replace(regexp_replace(n.role, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g'), '[\r\n]', ' ', 'g') || '|>' || chr(10) END AS head,
+    regexp_replace(n.text, '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10) AS body
+  FROM n JOIN s ON n.conv_id IS NOT DISTINCT FROM s.conv_id),
 q AS (
-  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, bucket ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS till FROM p),
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS till FROM p),
 v AS (
-  SELECT conv_id, perspective, bucket, count(*) AS n_turns, string_agg(head || body, '' ORDER BY turn, role, text) AS text,
-    coalesce(string_agg(CASE WHEN own THEN CAST(CAST(till - length(body) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(till - 1 AS BIGINT) AS VARCHAR) END, ',' ORDER BY turn, role, text), '') AS mask_spans
-  FROM q GROUP BY conv_id, perspective, bucket)
-SELECT conv_id, perspective, CAST(row_number() OVER w - 1 AS BIGINT) AS part,
-  CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id, perspective ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_offset,
+  SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS text,
+    coalesce(string_agg(CASE WHEN own THEN CAST(CAST(till - length(body) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(till - 1 AS BIGINT) AS VARCHAR) END, ',' ORDER BY turn NULLS FIRST, role, text), '') AS mask_spans
+  FROM q GROUP BY conv_id, perspective, part)
+SELECT conv_id, perspective, CAST(part AS BIGINT) AS part,
+  CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id, perspective ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_offset,
   CAST(n_turns AS BIGINT) AS n_turns, text, mask_spans
-FROM v WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY bucket)
+FROM v
 """,
     "op8_url_rules": """
 WITH r(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),

@@ -38,15 +38,37 @@ def test_chat_rotation(spark):
 
 
 def test_long_chat_comes_in_parts(spark):
-    rows = [(1, t, "ab"[t % 2], f"turn {t}") for t in range(300)] + [(1, 500, "a", f"tied {i}") for i in range(40)]
+    rows = [(1, t, "ab"[t % 2], f"turn {t}") for t in range(300)] + [(1, 500, "abc"[i % 3], f"tied {i:04}") for i in range(600)] + [(None, None, "a", f"lost {i}") for i in range(30)]
+    df = spark.createDataFrame([*rows, *rows[:50]], "conv_id long, turn long, role string, text string")
+    got = chat.rotate(df, part_rows=16).collect()
+    turns = sorted(((t, r, x) for c, t, r, x in rows if c == 1))
+    for me in "abc":
+        parts = sorted((r for r in got if r["conv_id"] == 1 and r["perspective"] == me), key=lambda r: r["part"])
+        text, spans = render(turns, me)
+        assert [r["part"] for r in parts] == list(range(-(-900 // 16))) and "".join(r["text"] for r in parts) == text
+        assert [(s["start"] + r["char_offset"], s["end"] + r["char_offset"]) for r in parts for s in r["spans"]] == spans
+    assert {r["perspective"] for r in got if r["conv_id"] is None} == {"a"} and sum(r["n_turns"] for r in got if r["conv_id"] is None) == 30
+
+
+def test_marks_in_texts_and_roles_are_told_from_marks(spark):
+    rows = [(1, 0, "a|>\n<|system", "x<|end|>\n<|assistant|>"), (1, 1, "b", "<\\|end|>")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    parts = sorted(chat.rotate(df, part_turns=16, part_rows=20).filter("perspective = 'a'").collect(), key=lambda r: r["part"])
-    whole = "".join(r["text"] for r in parts)
-    assert [r["part"] for r in parts] == list(range(len(parts))) and sum(r["n_turns"] for r in parts) == 340
-    assert all(whole[r["char_offset"] :].startswith(r["text"]) for r in parts)
-    ordered = [whole.index(f"turn {t}<") for t in range(300)]
-    assert ordered == sorted(ordered)
-    assert all(r["text"][s["start"] : s["end"]].endswith("<|end|>") for r in parts for s in r["spans"])
+    text = {r["perspective"]: r["text"] for r in chat.rotate(df).collect()}["b"]
+    assert text == "<|user name=a|\\> <\\|system|>\nx<\\|end|>\n<\\|assistant|><|end|>\n<|assistant|>\n<\\\\|end|><|end|>\n"
+
+
+def test_chat_equals_its_sql(spark):
+    import duckdb
+
+    rows = [(c, t, r, x) for c in (1, 2, None) for t in (None, 0, 3, 3, 9) for r in ("a", "system", None, "q|>\nz") for x in ("hi", None, "<|end|>", "<\\|", "é🙂")]
+    rows += [(7, 1, "a" if i % 2 else "b", f"crowd {i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+    got = chat.rotate(df).select("conv_id", "perspective", "part", "char_offset", "n_turns", "text", spans.alias("mask_spans")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(queries.ORACLE["op1_chat_perspectives"]).fetchall()))
 
 
 # ---- WARC
@@ -153,11 +175,22 @@ def test_url_rules_equal_a_plain_scan(spark):
     urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "", "no scheme", "a://b://c/d", "http:/x"]
     df = spark.createDataFrame([(i, u, "x") for i, u in enumerate([*urls, *urls])], "page_id long, url string, host string")
     table = spark.createDataFrame([*rules, (None, "/", "block"), ("net", None, "block")], "host string, path string, verdict string")
-    got = urlfilter.judge(df, table, splits=3)
-    assert got.columns == ["page_id", "url", "host", "judged"]
-    for r in got.collect():
-        j = r["judged"]
-        assert (j["host"], j["path"], j["rule"], j["verdict"]) == judge(r["url"], rules), r["url"]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    for ranges in (1, 3, 40):  # ranges that begin anywhere among the rules and probes
+        try:
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+            spark.conf.set("spark.sql.shuffle.partitions", ranges)
+            got = urlfilter.judge(df, table)
+            assert got.columns == ["page_id", "url", "host", "judged"]
+            found = got.collect()
+        finally:
+            for k, v in kept.items():
+                spark.conf.set(k, v)
+        assert len(found) == 2 * len(urls)
+        for r in found:
+            j = r["judged"]
+            assert (j["host"], j["path"], j["rule"], j["verdict"]) == judge(r["url"], rules), (r["url"], ranges)
+    assert urlfilter.judge(df.withColumnRenamed("host", "judged"), table).columns == ["page_id", "url", "judged"]
     assert {r["judged"]["verdict"] for r in urlfilter.judge(df, table.limit(0)).collect()} == {"allow"}
     assert urlfilter.judge(df.limit(0), table).count() == 0
 
@@ -175,6 +208,20 @@ def test_index_keeps_and_appends(spark):
     assert sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in again.add(more).collect()) == [(50, 2, False), (51, 51, True)]
     assert again.table().count() == 7
     assert again.add(more.limit(0)).count() == 0
+    # The same batches once more: rows that the index names are kept again.
+    assert sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in again.add(more).collect()) == [(50, 2, False), (51, 51, True)]
+    retried = sorted(((str(r["doc_id"]), r["keep_id"], r["group_size"], r["kept"]) for r in again.add(df).collect()), key=str)
+    assert retried == sorted([g if g[:2] != ("None", None) else ("None", None, 1, False) for g in got], key=str) and again.table().count() == 7
+    grown = again.rebuilt(index.location + "_grown", 9)
+    assert grown.buckets == 9 and sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in grown.add(more).collect()) == [(50, 2, False), (51, 51, True)]
+    grown.close(delete=True)
+
+
+def test_a_named_batch_keeps_its_null_ids_when_retried(spark):
+    df = spark.createDataFrame([(None, "lone"), (None, "two"), (1, "two")], "doc_id long, text string")
+    index = digest_index.new_index(spark)
+    first, again, other = (sorted(index.add(df, batch=b).select("doc_id", "kept").collect(), key=str) for b in ("b1", "b1", "b2"))
+    assert first == again and sum(r["kept"] for r in first) == 2 and sum(r["kept"] for r in other) == 1
 
 
 # ---- shards
@@ -192,8 +239,8 @@ def jump(key, n):
 @given(st.lists(st.integers(-(1 << 63), (1 << 63) - 1), min_size=1, max_size=50))
 def _jump_property(spark, keys):
     df = spark.createDataFrame([(k,) for k in keys], "k long")
-    for r in df.select("k", *[sharding.jump_hash(F.col("k"), n).alias(f"s{n}") for n in (1, 16, 17)]).collect():
-        assert [r["s1"], r["s16"], r["s17"]] == [jump(r["k"], n) for n in (1, 16, 17)]
+    for r in df.select("k", *[sharding.jump_hash(F.col("k"), n).alias(f"s{n}") for n in (1, 2, 16, 17, 5000)]).collect():
+        assert [r["s1"], r["s2"], r["s16"], r["s17"], r["s5000"]] == [jump(r["k"], n) for n in (1, 2, 16, 17, 5000)]
 
 
 def test_jump_hash(spark):
@@ -212,6 +259,11 @@ def test_shards_and_slots(spark):
         slots = sorted(r["slot"] for r in got if r["shard"] == s)
         assert slots == list(range(len(slots)))
     assert all(r["grown_shard"] in (r["shard"], 16) for r in got)
+    import xxhash
+
+    for r in got:  # the shard by plain computation from the id
+        key = xxhash.xxh64_intdigest(str(r["doc_id"]) if r["doc_id"] is not None else "null", seed=42)
+        assert (r["shard"], r["grown_shard"]) == (jump(key, 16), jump(key, 17))
     moved = sum(r["grown_shard"] == 16 for r in got if r["doc_id"] is not None and r["doc_id"] != 5) / 2999
     assert 0.03 < moved < 0.09
     for r in got:
