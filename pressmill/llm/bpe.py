@@ -34,6 +34,8 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 CACHE_WORDS = 250_000
 TRIE_NODES, FITS = 300_000, 250_000
 CACHE_WORD_BYTES = 64
+#: Longer words share no prefix with others; so many of their bytes are kept open.
+LONG_WORD, OPEN_BYTES, SETTLE_BYTES = 4096, 1 << 16, 4096
 
 
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
@@ -65,6 +67,7 @@ class Vocabulary:
             raise ValueError("two merges make the same token")
         self.edges: tuple[dict, dict] = {}, {}
         self.size = {i: len(b) for i, b in self.bytes.items()}
+        self.longest = max(map(len, self.ids))
         self.heads = {b[:k] for b in self.ids for k in range(len(b) + 1)}
         self.tails, self.states, self.steps, self.ending = [b""], {b"": 0}, {}, [[]]
         self.words = regex.compile(WORDS)
@@ -148,6 +151,9 @@ class Vocabulary:
         path, last, before = [0], [-1], b""
         for word in sorted(words):  # UTF-8 sorts alike
             raw, at = word.encode("utf-8", "surrogatepass"), 0
+            if len(raw) > LONG_WORD:
+                out[word] = self._long_word(raw)
+                continue
             for x, y in zip(raw, before):
                 if x != y:
                     break
@@ -186,6 +192,54 @@ class Vocabulary:
             out[word] = pack[len(tokens)](*tokens) if len(tokens) < len(pack) else struct.pack(f"<{len(tokens)}I", *tokens)
         return out
 
+    def _last(self, state: int, byte: int, last: list[int], at: int) -> tuple[int, int]:
+        """The state after ``byte`` and the last token there; ``last[at]`` is the byte's own place."""
+        step = state << 8 | byte
+        state = self.steps[step] if step in self.steps else self._state(state, byte)
+        for token, n in self.ending[state]:
+            pair = (last[at + 1 - n] + 1) << 20 | token
+            ok = self.fits.get(pair)
+            if ok is None:
+                ok = self.fits[pair] = self.neighbours(last[at + 1 - n], token)
+            if ok:
+                return state, token
+        raise ValueError("the vocabulary lacks a byte")
+
+    def _back(self, last: list[int], at: int, low: int) -> list[int]:
+        """The borders of the tokens of the first ``at`` bytes, from the end down to ``low``."""
+        borders = [at]
+        while at > low:
+            at -= self.size[last[at]]
+            borders.append(at)
+        return borders
+
+    def _long_word(self, raw: bytes) -> bytes:
+        """The packed encoding of a long word.
+
+        Any later token begins at one of the last ``longest`` places, so a border that
+        the encodings up to all of these share is one for good."""
+        done, last, state, limit = [], [-1], 0, OPEN_BYTES
+
+        def give(at: int) -> None:
+            ids = [last[b] for b in self._back(last, at, 0)[:-1]]
+            done.append(np.array(ids[::-1], "<u4").tobytes())
+
+        for byte in raw:
+            state, token = self._last(state, byte, last, len(last) - 1)
+            last.append(token)
+            if len(last) > limit:
+                end, low = len(last) - 1, len(last) - SETTLE_BYTES
+                shared = set(self._back(last, end, low))
+                for at in range(end - self.longest, end):
+                    shared.intersection_update(self._back(last, at, low))
+                settled = max((b for b in shared if low < b <= end - self.longest), default=0)
+                limit = OPEN_BYTES if settled else 2 * len(last)
+                if settled:
+                    give(settled)
+                    last = last[settled:]
+        give(len(last) - 1)
+        return b"".join(done)
+
     def _empty_trie(self) -> None:
         """Node 0 is the root; a node's key is its parent and byte."""
         self.trie: dict[int, int] = {}
