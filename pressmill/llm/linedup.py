@@ -14,13 +14,15 @@
    that the earlier text has too, so moved and repeated blocks go as well.  The
    earliest text that has a run always keeps it.
 
-Only keys and lengths of lines are moved, until the texts that stay are cut in
-one join by their sequence of lines.  Lines are compared without white space at
-their ends, by 128-bit keys.
+Only keys and lengths of lines are moved, until texts meet their cuts by their
+sequence of lines: texts stay where they are if the cuts' size lets them be broadcast,
+else both are shuffled.  Lines are compared without white space at their ends, by
+128-bit keys.  In scripts that are written without spaces two letters count as a word.
 
 Defined results: a null or empty text is left as it is, and so is a text that
 shares nothing.  Order is by id, nulls last; repeated rows of an id and text are
-one document; texts that share an id are told apart by their lines."""
+one document; texts that share an id are told apart by their lines.  An input column
+with the name of the result (``out_col``) is replaced by it."""
 
 from __future__ import annotations
 
@@ -31,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import BROADCAST_BYTES, dropped, stored
 
 MIN_BLOCK_WORDS = 5
+#: Scripts that are written without spaces between words.
+SPACELESS = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}"
 #: A run that so many texts have, and one of so many parts of all runs, is joined by broadcast.
 HOT_TEXTS, HOT_PART = 10_000, 10_000
 
@@ -65,8 +69,11 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
         back: list[int] = []
         for n, (_, y) in enumerate(pairs):
             pile = bisect.bisect_left(tops, y)
-            tops[pile:] = [y, *tops[pile + 1 :]]
-            at[pile:] = [n, *at[pile + 1 :]]
+            if pile == len(tops):
+                tops.append(y)
+                at.append(n)
+            else:
+                tops[pile], at[pile] = y, n
             back.append(at[pile - 1] if pile else -1)
         n, anchors = at[-1] if at else -1, []
         while n >= 0:
@@ -141,13 +148,20 @@ def _keys(text):
     return F.transform(_lines(text), lambda x: F.unhex(F.md5(F.trim(x))))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
+def _words(text):
+    """Words of each line."""
+    count = lambda x: F.when(F.trim(x) == "", 0).otherwise(F.size(F.split(F.trim(x), "\\s+")))
+    letters = lambda x: F.char_length(x) - F.char_length(F.regexp_replace(x, f"[{SPACELESS}]", ""))
+    mixed = F.transform(_lines(text), lambda x: count(F.regexp_replace(x, f"[{SPACELESS}]+", " ")) + F.ceil(letters(x) / 2).cast("int"))
+    return F.when(text.rlike(f"[{SPACELESS}]"), mixed).otherwise(F.transform(_lines(text), count))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_block_words: int = MIN_BLOCK_WORDS, out_col: str = "deduped") -> DataFrame:
     """``docs`` with a struct ``deduped``: ``text`` (what is left; null stays null),
     ``n_lines``, ``n_deleted``, ``copy_of`` (the id that keeps a wholly equal text)."""
     seq = lambda t: F.unhex(F.md5(F.array_join(F.transform(_lines(t), lambda x: F.trim(x)), "\n")))
-    words = F.transform(_lines(F.col("text")), lambda x: F.when(F.trim(x) == "", 0).otherwise(F.size(F.split(F.trim(x), "\\s+"))))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL AND text <> ''")
-    rows = rows.select(F.struct(F.col("id").isNull().alias("none"), "id").alias("id"), seq(F.col("text")).alias("seq"), _keys(F.col("text")).alias("keys"), words.alias("words"))
+    rows = rows.select(F.struct(F.col("id").isNull().alias("none"), "id").alias("id"), seq(F.col("text")).alias("seq"), _keys(F.col("text")).alias("keys"), _words(F.col("text")).alias("words"))
     texts = stored(rows.groupBy("seq").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("words").alias("words")))
 
     def lead(batches):
@@ -170,20 +184,28 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def align(batches):
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(4)]
-            got = [(s, cut) for s, a, w, b in zip(*cols) if (cut := blocks(a, b, w, min_block_words))]
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.binary()), pa.array([c for _, c in got], pa.list_(pa.int32()))], ["seq", "cut"])
+            for at in range(0, batch.num_rows, 16):
+                cols = [c.to_pylist() for c in batch.slice(at, 16).columns]
+                got = [(s, cut) for s, a, w, b in zip(*cols) if (cut := blocks(a, b, w, min_block_words))]
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.binary()), pa.array([c for _, c in got], pa.list_(pa.int32()))], ["seq", "cut"])
 
     cuts = aligned.mapInArrow(align, "seq binary, cut array<int>").groupBy("seq").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
     known = stored(texts.select("seq", "id", "copies", F.size("keys").alias("n_lines")).join(cuts, "seq", "left").filter("copies > 1 OR cut IS NOT NULL"))
+    dropped(texts, lines, held)
+    size = known.agg(F.sum(64 + 4 * F.coalesce(F.size("cut"), F.lit(0)).cast("long"))).first()[0] or 0
     known = known.select(F.col("seq").alias("k_seq"), F.col("id").alias("k_id"), "cut")
-    out = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = out.join(known, seq(F.col("text")) == F.col("k_seq"), "left")
+    kept = [c for c in docs.columns if c.lower() != out_col.lower()]
+    out = docs.select(F.struct(*kept).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = out.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, seq(F.col("text")) == F.col("k_seq"), "left")
     first = F.col("k_id").isNull() | F.col("k_id.id").eqNullSafe(F.col("id"))
     n_lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(_lines(F.col("text"))))
-    rest = F.array_join(F.filter(_lines(F.col("text")), lambda _, i: ~F.array_contains("cut", i)), "\n")
-    left = F.when(~first, F.lit("")).when(F.col("cut").isNull(), F.col("text")).otherwise(rest)
-    gone = F.when(~first, n_lines).otherwise(F.coalesce(F.size("cut"), F.lit(0)))
+    # Behind a generator the lines are split once, not for each line that stays.
+    cut_lines = F.when(F.col("cut").isNotNull() & first, _lines(F.col("text")))
+    out = out.select("row", "id", "text", "k_id", "cut", F.inline(F.array(F.struct(cut_lines.alias("lines"), n_lines.alias("n_lines"), first.alias("first")))))
+    stay = F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), F.col("cut"))
+    rest = F.array_join(F.transform(F.when(F.col("lines").isNotNull(), stay), lambda i: F.get("lines", i)), "\n")
+    left = F.when(~F.col("first"), F.lit("")).when(F.col("cut").isNull(), F.col("text")).otherwise(rest)
+    gone = F.when(~F.col("first"), F.col("n_lines")).otherwise(F.coalesce(F.size("cut"), F.lit(0)))
+    done = F.struct(left.alias("text"), "n_lines", F.when(F.col("cut").isNull() & F.col("first"), F.lit(0)).otherwise(gone).alias("n_deleted"), F.when(~F.col("first"), F.col("k_id.id")).alias("copy_of"))
     # The row is opened last, or its own columns could be taken for those named here.
-    out = out.select("row", F.struct(left.alias("text"), n_lines.alias("n_lines"), F.when(F.col("cut").isNull() & first, F.lit(0)).otherwise(gone).alias("n_deleted"), F.when(~first, F.col("k_id.id")).alias("copy_of")).alias("deduped"))
-    return out.select("row.*", "deduped")
+    return out.select("row", done.alias("done")).select("row.*", F.col("done").alias(out_col))

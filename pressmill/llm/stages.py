@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, jaccard, langid, linedup
-from .common import stored
+from .common import fresh, stored
 
 #: A text whose best language is less sure than this is rejected.
 MIN_SCORE = 0.3
@@ -30,16 +30,19 @@ def tokenizer_file() -> str:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or a language that can be told."""
     counts = langid.fit(learning_rows(docs))
-    judged = langid.identify(docs, counts, out_col="_language")
-    return judged.filter((F.col("_language.lang_pred") != langid.UNKNOWN) & (F.col("_language.score") >= MIN_SCORE)).select(docs.columns)
+    own = fresh("_language", docs.columns)
+    judged = langid.identify(docs, counts, out_col=own)
+    return judged.filter((F.col(f"{own}.lang_pred") != langid.UNKNOWN) & (F.col(f"{own}.score") >= MIN_SCORE)).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated blocks; drops documents of which nothing is left but white space."""
-    done = linedup.deduplicate(docs)
-    done = done.filter((F.col("deduped.n_deleted") == 0) | (F.trim("deduped.text") != ""))
-    new = {"text": F.col("deduped.text"), "n_chars": F.char_length("deduped.text").cast("long")}
-    return done.select(*[F.when(F.col("deduped.n_deleted") > 0, new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in docs.columns])
+    own = fresh("_deduped", docs.columns)
+    done = linedup.deduplicate(docs, out_col=own)
+    changed = F.col(f"{own}.n_deleted") > 0
+    done = done.filter(~changed | (F.trim(f"{own}.text") != ""))
+    new = {"text": F.col(f"{own}.text"), "n_chars": F.char_length(f"{own}.text").cast("long")}
+    return done.select(*[F.when(changed, new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in docs.columns])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
