@@ -3,8 +3,9 @@
 A text becomes a sequence of template tokens.  Numbers, names (capitalised words
 after another word or a comma, so not those that open a sentence) and units (after
 a number, with or without white space) become typed placeholders; other words are
-lowered.  In a second variant all capitalised words are names, so a name that opens
-a sentence may differ as well; a window is met if it is met in either variant.  Windows of ``k``
+lowered.  Capitalised words elsewhere, which may be names that open a sentence, are
+taken as words in one variant of a text and as names in another; windows are met in
+any variant, and of the second only those that differ are looked at.  Windows of ``k``
 template tokens of documents are hash-joined with those of the benchmark, so a
 question with other numbers or names still meets its template.  Where a document
 covers enough of an item, its matches are grouped by occurrence: by where the item
@@ -44,9 +45,9 @@ MIN_CONSISTENCY = 0.75
 MIN_RUN = 18
 #: Units of measure and money.
 UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "min", "h", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "meters", "metres", "miles", "feet", "inches", "dollars", "euros", "cents", "percent", "degrees", "pounds", "liters", "litres"]
-NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
+NUMBER, NAME, UNIT, OPENER = "\u0001", "\u0002", "\u0003", "\u0004"
 DIGITS = "\\p{N}+(?:[.,]\\p{N}+)*"
-WORD = "\\p{L}\\p{M}\\p{N}\u0001-\u0003"
+WORD = "\\p{L}\\p{M}\\p{N}\u0001-\u0004"
 
 
 def _once(df: DataFrame, keys: list[str], **columns: Column) -> DataFrame:
@@ -55,35 +56,43 @@ def _once(df: DataFrame, keys: list[str], **columns: Column) -> DataFrame:
     return df.select(*keys, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def _marked(text: Column, values: bool, openers: bool) -> Column:
+def _marked(text: Column, values: bool) -> Column:
     """The text, lowered, with a mark for each number, name and unit; with
-    ``values`` what a mark stands for follows it, else it is left out.  With
-    ``openers`` any capitalised word is a name."""
+    ``values`` what a mark stands for follows it, else it is left out.  Other
+    capitalised words have a mark before them in any case."""
     held = "$0" if values else ""
     text = F.regexp_replace(F.coalesce(text, F.lit("")), "\\s+", " ")
-    before = "(?<![\\p{L}\\p{M}\\p{N}])" if openers else "(?<=[\\p{L}\\p{N},;:] )"
-    text = F.regexp_replace(text, before + "\\p{Lu}[\\p{L}\\p{M}]*", NAME + held)
+    text = F.regexp_replace(text, "(?<=[\\p{L}\\p{N},;:] )\\p{Lu}[\\p{L}\\p{M}]*", NAME + held)
+    text = F.regexp_replace(text, f"(?<![\\p{{L}}\\p{{M}}\\p{{N}}{NAME}])\\p{{Lu}}[\\p{{L}}\\p{{M}}]*", OPENER + "$0")
     text = F.regexp_replace(text, DIGITS, NUMBER + held)
     after = f"({NUMBER}{DIGITS if values else ''}) ?({'|'.join(UNITS)})(?![{WORD}])"
     return F.lower(F.regexp_replace(text, after, f"$1 {UNIT}{'$2' if values else ''}"))
 
 
-def _codes(tokens: Column) -> Column:
-    return F.transform(tokens, lambda x: F.xxhash64(x))
+def _as_word(token: Column) -> Column:
+    return F.replace(token, F.lit(OPENER), F.lit(""))
 
 
-def _templates(df: DataFrame, keys: list[str], openers: bool) -> DataFrame:
-    """``keys`` and ``codes``, the hashes of the template tokens of ``text``."""
-    tokens = _once(df, keys, tokens=F.split(_marked(F.col("text"), False, openers), f"[^{WORD}]+"))
-    return _once(tokens, keys, codes=_codes(F.array_remove("tokens", "")))
+def _templates(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and the hashes of the template tokens of ``text``, ``codes`` with openers
+    as words and ``named`` with openers as names (null if there are none)."""
+    tokens = _once(df, keys, tokens=F.split(_marked(F.col("text"), False), f"[^{WORD}]+"))
+    tokens = _once(tokens, keys, tokens=F.array_remove("tokens", ""))
+    opens = lambda x: F.startswith(x, F.lit(OPENER))
+    as_name = lambda x: F.regexp_replace(x, f"{OPENER}[\\p{{L}}\\p{{M}}]+", NAME)
+    named = F.when(F.exists("tokens", opens), F.transform("tokens", lambda x: F.xxhash64(F.when(opens(x), as_name(x)).otherwise(x))))
+    return _once(tokens, keys, codes=F.transform("tokens", lambda x: F.xxhash64(F.when(opens(x), _as_word(x)).otherwise(x))), named=named)
 
 
-def _slotted(df: DataFrame, keys: list[str], openers: bool) -> DataFrame:
-    """``keys``, the ``codes`` as before, ``slots`` (a token that holds a value, else an
-    empty string) and ``words`` (1 for a token without a value), all equally long."""
+def _slotted(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, ``codes`` as before, ``slots`` (a token that holds a value, else an empty
+    string) and ``words`` (1 for a token without a value), all equally long; a row with
+    openers as words, and if there are any, one with openers as names."""
     cut = f"(?:[^{WORD}.,]|[.,](?!\\p{{N}}))+"
-    tokens = _once(df, keys, tokens=F.split(_marked(F.col("text"), True, openers), cut))
+    tokens = _once(df, keys, tokens=F.split(_marked(F.col("text"), True), cut))
     tokens = _once(tokens, keys, tokens=F.array_remove("tokens", ""))
+    words, names = F.transform("tokens", _as_word), F.transform("tokens", lambda x: F.replace(x, F.lit(OPENER), F.lit(NAME)))
+    tokens = tokens.select(*keys, F.explode(F.array_distinct(F.array(words, names))).alias("tokens"))
     template = lambda x: F.regexp_replace(F.regexp_replace(x, NUMBER + DIGITS, NUMBER), f"([{NAME}{UNIT}])[\\p{{L}}\\p{{M}}]+", "$1")
     held = lambda x: x.rlike(f"[{NUMBER}-{UNIT}]")
     return _once(
@@ -92,17 +101,19 @@ def _slotted(df: DataFrame, keys: list[str], openers: bool) -> DataFrame:
     )
 
 
-def _hashes(df: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """``keys`` and ``hashes`` of all windows of ``size`` codes, in order.
+def _hashes(df: DataFrame, keys: list[str], codes: list[str], size: int) -> DataFrame:
+    """``keys`` and, in place of each column of ``codes``, the hashes of all its windows of
+    ``size`` codes, in order.
 
     A window's hash joins the hashes of two windows of half its size, so the work
     is a few passes over the codes whatever the size."""
-    df, reach = df.filter(F.size("codes") >= size).select(*keys, "codes", F.col("codes").alias("hashes")), 1
+    df, reach = df.select(*keys, *codes), 1
     while reach < size:
         step = min(reach, size - reach)
-        df = _once(df, [*keys, "codes"], hashes=F.transform("hashes", lambda x, i: F.xxhash64(x, F.get("hashes", i + step))))
+        joined = lambda c: F.transform(c, lambda x, i: F.xxhash64(x, F.get(c, i + step)))
+        df = _once(df, keys, **{c: joined(c) for c in codes})
         reach += step
-    return df.select(*keys, F.slice("hashes", F.lit(1), F.size("codes") - (size - 1)).alias("hashes"))
+    return df.select(*keys, *[F.slice(c, F.lit(1), F.greatest(F.size(c) - (size - 1), F.lit(0))).alias(c) for c in codes])
 
 
 def _detailed(df: DataFrame, keys: list[str], sizes: list[int], exact: bool) -> DataFrame:
@@ -111,7 +122,7 @@ def _detailed(df: DataFrame, keys: list[str], sizes: list[int], exact: bool) ->
     parts = []
     for size in sizes:
         own = df.filter((F.size("codes") == size) | F.lit(not exact or size == max(sizes)))
-        windows = _hashes(own, [*keys, "slots", "words"], size).select(*keys, "slots", "words", F.posexplode("hashes").alias("pos", "h"))
+        windows = _hashes(own, [*keys, "slots", "words"], ["codes"], size).select(*keys, "slots", "words", F.posexplode("codes").alias("pos", "h"))
         parts.append(windows.select(*keys, F.lit(size).alias("size"), "pos", "h", F.slice("slots", F.col("pos") + 1, size).alias("slots"), F.slice("words", F.col("pos") + 1, size).alias("words")))
     out = parts[0]
     for part in parts[1:]:
@@ -130,25 +141,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """A row for each document and item found in it: ``doc_id, item_id, n_windows,
     item_windows, coverage, n_slots, changed_slots, consistency``."""
     docs = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")).alias("doc_id"), F.col(text_col).alias("text"))
-    both = lambda make, df, keys: make(df, keys, False).withColumn("open", F.lit(0)).union(make(df, keys, True).withColumn("open", F.lit(1)))
-    items = both(_slotted, benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).distinct(), ["item_id"])
+    items = _slotted(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).distinct(), ["item_id"])
     sizes = [r[0] for r in items.select(F.least(F.size("codes"), F.lit(k)).alias("n")).filter("n > 0").distinct().sort("n").collect()] or [k]  # at most k
     literals = F.aggregate("words", F.lit(0), lambda a, x: a + x)
     of_items = stored(
-        _detailed(items, ["item_id", "open"], sizes, True).filter((literals >= F.least(F.lit(min_literals), F.col("size"))))
-        .select("item_id", F.col("open").alias("b_open"), F.col("size").alias("b_size"), F.col("pos").alias("b_pos"), F.col("h").alias("b_h"), F.col("slots").alias("b_slots"))
+        _detailed(items, ["item_id"], sizes, True).filter((literals >= F.least(F.lit(min_literals), F.col("size"))))
+        .select("item_id", F.col("size").alias("b_size"), F.col("pos").alias("b_pos"), F.col("h").alias("b_h"), F.col("slots").alias("b_slots")).distinct()
     )
     totals = of_items.groupBy("item_id").agg(F.countDistinct("b_pos").alias("item_windows"), (F.max("b_pos") - F.min("b_pos") + 1).alias("width"))
     size_of = of_items.agg(F.sum(F.aggregate("b_slots", F.lit(80), lambda a, x: a + 16 + F.octet_length(x)))).first()[0] or 0
     side = F.broadcast if size_of <= BROADCAST_BYTES else (lambda df: df)
 
     # 1. Which documents cover enough windows of an item?
-    templates = both(_templates, docs, ["doc_id"])
-    met = None
-    for size in sizes:
-        windows = _hashes(templates, ["doc_id", "open"], size).select("doc_id", "open", F.explode("hashes").alias("h"))
-        some = windows.join(side(of_items.filter(F.col("b_size") == size).select("item_id", "b_open", "b_pos", "b_h")), (F.col("h") == F.col("b_h")) & (F.col("open") == F.col("b_open"))).select("doc_id", "item_id", "b_pos")
-        met = some if met is None else met.union(some)
+    hashed = _templates(docs, ["doc_id"])
+    for size in sizes:  # one pass over a text for all sizes of windows
+        own = [c for c in hashed.columns if c.startswith("of_")]
+        copy = {"c": F.col("codes"), "n": F.col("named")}
+        step = _hashes(hashed.withColumns(copy), ["doc_id", "codes", "named", *own], list(copy), size)
+        other = F.filter("n", lambda x, i: x != F.get("c", i))
+        hashed = step.select("doc_id", "codes", "named", *own, F.concat("c", F.coalesce(other, F.array().cast("array<bigint>"))).alias(f"of_{size}"))
+    windows = hashed.select("doc_id", F.explode(F.concat(*[F.col(f"of_{size}") for size in sizes])).alias("h"))
+    met = windows.join(side(of_items.select("item_id", "b_pos", "b_h").distinct()), F.col("h") == F.col("b_h")).select("doc_id", "item_id", "b_pos")
     covered = met.groupBy("doc_id", "item_id").agg(F.countDistinct("b_pos").alias("n_windows"))
     covered = stored(
         covered.join(totals, _same(covered, totals, "item_id")).select("doc_id", covered["item_id"], "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"), "n_windows")
@@ -159,9 +172,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     suspects = covered.select("doc_id").distinct()
     few = suspects.count() * 64 <= BROADCAST_BYTES
     texts = docs.join(F.broadcast(suspects) if few else suspects, _same(docs, suspects, "doc_id"), "left_semi")
-    found = _detailed(both(_slotted, texts, ["doc_id"]), ["doc_id", "open"], sizes, False).drop("words")
+    found = _detailed(_slotted(texts, ["doc_id"]), ["doc_id"], sizes, False).drop("words")
     found = found.withColumnRenamed("slots", "d_slots")
-    hits = found.join(side(of_items), (F.col("h") == F.col("b_h")) & (F.col("open") == F.col("b_open")) & (F.col("size") == F.col("b_size")))
+    hits = found.join(side(of_items), (F.col("h") == F.col("b_h")) & (F.col("size") == F.col("b_size")))
     values = F.filter(F.arrays_zip(F.col("b_slots").alias("b"), F.col("d_slots").alias("d")), lambda s: s["b"] != "")
     hits = hits.select("doc_id", "item_id", "b_pos", (F.col("pos") - F.col("b_pos")).alias("start"), values.alias("values"))
     wide = covered.join(totals, _same(covered, totals, "item_id")).select(covered["doc_id"], covered["item_id"], covered["item_windows"], totals["width"])

@@ -37,7 +37,7 @@ def plain_bits(counts, lang, text: bytes) -> float:
 def test_code_lengths_match_a_plain_coder(spark):
     rows = [(i, t, "en" if "the" in (t or "") else "fr", i) for i, t in enumerate(TEXTS * 3)]
     counts = langid.fit(spark.createDataFrame(rows, SCHEMA))
-    tree = langid.Tree(counts)
+    tree = langid.Forest(counts)
     given = [t.encode() for t in TEXTS if t is not None] + ["été — ñ".encode()]
     offsets = np.concatenate([[0], np.cumsum([len(g) for g in given])])
     whole = np.frombuffer(b"".join(given), np.uint8)
@@ -112,3 +112,30 @@ def test_neighbours_agree_with_merging(text):
     vocab = bpe.vocabulary(tokenizer_file())
     ids = vocab.merged(text.encode())
     assert all(vocab.neighbours(a, b) for a, b in zip([-1, *ids], ids))
+
+
+def test_very_long_words_equal_the_library_in_bounded_space():
+    import random
+
+    from tokenizers import Tokenizer
+
+    lib, vocab, draw = Tokenizer.from_file(tokenizer_file()), bpe.vocabulary(tokenizer_file()), random.Random(5)
+    nodes = len(vocab.node_last)
+    for word in ("x" * 200_000, "".join(draw.choice("abcdehilnorst") for _ in range(150_000)), "日本語" * 30_000, "é" * 70_001, "the" * 2_000, "=" * 100_000):
+        ids = np.frombuffer(vocab.encode([word])[0], "<u4")
+        assert ids.tolist() == lib.encode(word, add_special_tokens=False).ids and vocab.decode(ids) == word
+    assert len(vocab.node_last) == nodes
+
+
+def test_many_languages(spark):
+    """More languages than a tree holds; each is told by its own letters."""
+    rows = [(i, " ".join(chr(0x4E00 + 40 * (i % 300) + j % 40) * 3 for j in range(30)), f"l{i % 300:03}", 0) for i in range(600)]
+    df = spark.createDataFrame([*rows, (900, "x" * 10, None, 0), (901, None, "null text only", 0)], SCHEMA)
+    counts = langid.fit(df)
+    assert len(counts.langs) == 300 and len(langid.Forest(counts).trees) == -(-300 // langid.GROUP_LANGS)
+    got = {r["doc_id"]: r["language"]["lang_pred"] for r in langid.identify(df, counts).collect()}
+    assert sum(got[i] == f"l{i % 300:03}" for i in range(600)) >= 590
+    small = langid.fit(df, sample_bytes=3000)
+    assert set(small.lang.tolist()) == set(range(300))  # a text of every language at least
+    replaced = langid.identify(df.withColumnRenamed("extra", "language"), counts)
+    assert replaced.columns == ["doc_id", "text", "lang", "language"] and replaced.schema["language"].dataType.typeName() == "struct"

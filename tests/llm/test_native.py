@@ -1,6 +1,7 @@
 import hashlib
 import uuid
 import zlib
+from html.parser import HTMLParser
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -73,28 +74,111 @@ def test_chat_equals_its_sql(spark):
 
 # ---- WARC
 
+class PlainPage(HTMLParser):
+    """The same rules by the parser of the standard library."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.lines, self.links, self.lang, self.charset, self.titles, self.silent, self.pre, self.in_title = [""], [], "", "", [], 0, 0, False
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in reversed(attrs)}
+        self.silent += tag in warc.SILENT
+        if self.silent:
+            return
+        if tag in warc.BLOCKS:
+            self.lines.append("")
+            self.pre += tag == "pre"
+            if tag == "title":
+                self.in_title = not self.titles
+                self.titles.append("")
+        if tag == "a" and a.get("href", "").strip():
+            self.links.append("".join(a["href"].split()))
+        if tag == "html":
+            self.lang = self.lang or a.get("lang", "").strip()
+        if tag == "meta":
+            told = a.get("content", "").lower().partition("charset=")[2]
+            self.charset = self.charset or a.get("charset", "").strip() or told.strip()
+
+    def handle_endtag(self, tag):
+        if tag in warc.SILENT:
+            self.silent = max(0, self.silent - 1)
+        elif tag in warc.BLOCKS and not self.silent:
+            self.lines.append("")
+            self.pre -= tag == "pre" and self.pre > 0
+            self.in_title = False
+
+    def handle_data(self, data):
+        if self.silent:
+            return
+        if self.in_title:
+            self.titles[0] += data
+        first, *rest = data.split("\n") if self.pre else [data]
+        self.lines[-1] += first
+        self.lines += rest
+
+
+def plain_page(page):
+    p = PlainPage()
+    p.feed(page or "")
+    p.close()
+    lines = [" ".join(x.split()) for x in p.lines]
+    return {"title": " ".join((p.titles or [""])[0].split()), "language": p.lang, "charset": p.charset, "links": p.links, "text": "\n".join(x for x in lines if x)}
+
+
+ODD_PAGES = [
+    "", "no tag", "<p>caf&eacute; &#8217; &mdash; &amp;lt; &unknown; &#x1F642;</p>", "a < b and 3 <4", "<a href='x y'>1</a><a href=z>2</a><A HREF=\"q&amp;r\">3</A><a name=n>4</a>",
+    "<title>One &ndash; <b>two</b></title><title>no</title>", "<pre>a\n  b</pre>c\nd<br/>e", "x<script>if (a<b) '</p>'</script >y<style>p{}</style>z<noscript><p>n</p></noscript>", "<html lang='de'><meta http-equiv=x content='text/html; charset=utf-8'>",
+    "<p title=\"a>b\">quoted</p>", "x<!-- y --> z <!doctype html> t", "<b> one</b>two<i>three </i>four", "<div\nclass='c'\n>in</div>", "<td>1<td>2</table>",
+]
+
+
+def test_warc_pages_equal_the_standard_parser(spark):
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    for page in [*ODD_PAGES, *pages]:
+        assert warc.read_page(page) == plain_page(page), page[:300]
+
+
+def test_long_and_broken_pages_take_one_pass():
+    import time
+
+    for part in ("<script>", "<!--", "<a <a ", "<a '", '<a "<p>', "<", "</", "&amp", "<title>", "<p>" + "word " * 20):
+        began = time.time()
+        warc.read_page(part * 200_000)
+        assert time.time() - began < 10, part
+    assert warc.read_page("one<!-- two <p>three")["text"] == "one" == warc.read_page("one<script> two")["text"] == warc.read_page("one<p two")["text"]
+
+
 def test_warc_records(spark):
     html = '<html lang="en"><head><title>A &amp; B</title><script>x="<p>"</script></head><body><p>One  two</p><p>Three<br>four</p><a href="/l">l</a></body></html>'
-    df = spark.createDataFrame([(1, "http://a/", html, 5), (2, None, None, 5)], "page_id long, url string, html string, block int")
+    rows = [(1, "http://a/", html, 5), (2, None, None, 5), (1, "http://a/", html, 5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, block int")
     source = warc.responses(df)
-    by = {(r["page_id"], r["warc_type"]): r for r in warc.derive(source).collect()}
+    out = warc.derive(source).collect()
+    assert len(out) == 6 and len({r["record_id"] for r in out}) == 4  # a repeated row gives its records again
+    by = {(r["page_id"], r["warc_type"]): r for r in out}
     ids = {r["page_id"]: r["record_id"] for r in source.collect()}
     text = by[1, "conversion"]
     assert text["block"] == "A & B\nOne two\nThree\nfour\nl" and text["refers_to"] == ids[1]
     assert text["payload_digest"] == by[1, "metadata"]["payload_digest"] == "sha256:" + hashlib.sha256(html.encode()).hexdigest()
     assert text["block_digest"] == "sha256:" + hashlib.sha256(text["block"].encode()).hexdigest() and text["content_length"] == len(text["block"].encode())
     meta = by[1, "metadata"]["block"]
-    assert "title: A &amp; B\r\n" in meta and "language: en\r\n" in meta and "outlink: /l\r\n" in meta and "source-header: Content-Type: text/html; charset=utf-8\r\n" in meta
+    assert "title: A & B\r\n" in meta and "language: en\r\n" in meta and "outlink: /l\r\n" in meta and "source-header: Content-Type: text/html; charset=utf-8\r\n" in meta
     assert by[2, "conversion"]["block"] == "" and by[2, "conversion"]["target_uri"] == ""
     uuid.UUID(text["record_id"][10:-1])
+    assert warc.derive(warc.responses(df.limit(0))).count() == 0
+    bare = spark.createDataFrame([(None, None, None, None, None, None)], source.schema)
+    assert {r["block"] for r in warc.derive(bare).collect()} > {""}
 
 
 def test_warc_file_round_trip(spark, tmp_path):
     records = queries.op2_warc_derivatives(spark, SF).coalesce(1)
     warc.write(records, f"file://{tmp_path}/out")
+    warc.write(records, f"file://{tmp_path}/zipped", "gzip")
     import gzip
 
-    data = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "out").glob("part-*"))
+    data = b"".join(p.read_bytes() for p in (tmp_path / "out").glob("part-*"))
+    assert data == b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "zipped").glob("part-*"))
     seen = []
     while data:
         head, _, rest = data.partition(b"\r\n\r\n")
@@ -146,6 +230,79 @@ def test_opening_names_units_and_long_runs_are_found(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench).collect()} == {(1, 10), (2, 11), (3, 12)}
 
 
+def plain_tokens(text, openers):
+    """Tokens as (template, value or None)."""
+    import regex
+
+    out, t = [], " ".join((text or "").split())
+    for m in regex.finditer(r"(?P<num>\p{N}+(?:[.,]\p{N}+)*)|(?P<word>[\p{L}\p{M}]+)", t):
+        word, at = m[0], m.start()
+        if m["num"]:
+            out.append(("#", word))
+            continue
+        before = t[:at]
+        cap = bool(regex.match(r"\p{Lu}", word))
+        if cap and (regex.search(r"[\p{L}\p{N},;:] $", before) or (openers and not regex.search(r"[\p{L}\p{M}\p{N}]$", before))):
+            out.append(("@", word.lower()))
+        elif word in decontam.UNITS and regex.search(r"\p{N} ?$", before) and not regex.match(r"[\p{N}]", t[m.end() :]):
+            out.append(("%", word))
+        else:
+            out.append((word.lower(), None))
+    return out
+
+
+def plain_leaks(docs, bench):
+    """Items by document: windows, occurrences and slots by plain loops."""
+    found = set()
+    windows = lambda toks, n: [(i, tuple(x for x, _ in toks[i : i + n]), toks[i : i + n]) for i in range(len(toks) - n + 1)]
+    for item, text in bench:
+        held = {}
+        for openers in (False, True):
+            toks = plain_tokens(text, openers)
+            n = min(len(toks), decontam.K)
+            for i, key, part in windows(toks, n) if n else []:
+                if sum(v is None for _, v in part) >= min(decontam.MIN_LITERALS, n):
+                    held.setdefault(key, []).append((i, part))
+        if not held:
+            continue
+        places = {i for v in held.values() for i, _ in v}
+        width = max(places) - min(places) + 1
+        for doc, body in docs:
+            hits = []
+            for openers in (False, True):
+                for i, key, part in windows(plain_tokens(body, openers), n):
+                    hits += [(b, i - b, [(x[1], y[1]) for x, y in zip(want, part) if x[1] is not None]) for b, want in held.get(key, [])]
+            for way in (lambda s: ("all",), lambda s: ("at", s), lambda s: ("even", s // width), lambda s: ("odd", (s + width // 2) // width)):
+                for place in {way(s) for _, s, _ in hits}:
+                    own = [h for h in hits if way(h[1]) == place]
+                    met = {b for b, _, _ in own}
+                    run = place[0] == "at" and any(set(range(b, b + decontam.MIN_RUN)) <= met for b in met)
+                    if len(met) / len(places) < decontam.MIN_COVERAGE and not run:
+                        continue
+                    pairs = {p for _, _, v in own for p in v}
+                    fit = {b for b, d in pairs if sum(x == b for x, _ in pairs) == 1 == sum(y == d for _, y in pairs)}
+                    if not pairs or len(fit) / len({b for b, _ in pairs}) >= decontam.MIN_CONSISTENCY:
+                        found.add((doc, item))
+    return found
+
+
+def test_leaks_equal_a_plain_matcher(spark):
+    names = "Tom has 5 apples. Sue gives Tom 3 apples. How many apples has Tom now?"
+    other = QUESTION.replace("Alice", "Zed").replace("Bob", "Yara").replace("12", "31").replace(" 7 ", " 9.5 ")
+    mixed = QUESTION.replace("Alice", "Zed", 1).replace("Bob", "Zed", 1)
+    new = names.replace("Tom", "Ed").replace("Sue", "Kay").replace("5", "8")
+    extra = [
+        (9001, f"{QUESTION} {other}"), (9002, f"{other} Between them. {other.replace('31', '44')} {QUESTION}"), (9003, mixed), (9004, f"{new} {names}"), (9005, f"And then {new}"), (9006, f"{mixed} {mixed} {other}"),
+        (9007, QUESTION.replace("walks", "slowly walks")), (9008, None), (9009, ""), (9010, "Four Score And Seven 7 km x 8km. The 5 dollars"), (9011, other[:60]), (9012, "Tom5 has 3.5 kg, Ann 4kg of O'Neil's"), (9013, names.upper()),
+    ]
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(9101, QUESTION), (9102, names), (9103, other), (9104, "five words that stand here"), (9105, "7 8 9"), (9106, None), (9107, "Tom5 has 3.5 kg, Ann 4kg of O'Neil's")]
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + extra
+    table = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string").repartition(4)
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(table(docs, "doc_id"), table(bench, "item_id")).collect()}
+    assert got == plain_leaks(docs, bench)
+    assert {(9001, 9101), (9002, 9101), (9002, 9103), (9004, 9102), (9005, 9102), (9006, 9101)} <= got and not {d for d, _ in got} & {9003, 9008, 9009}
+
+
 def test_planted_passages_are_found(spark):
     bench = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()

@@ -51,14 +51,27 @@ def test_jaccard_blocks_and_edge_cases(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     want = sorted(zip([r[0] for r in rows], *zip(*brute([(r[0], r[1]) for r in rows]))))
     want = sorted((i, i if not shingles(t) else c, n) for (i, t, _), (c, n) in zip(rows, brute([(r[0], r[1]) for r in rows])))
-    for block in (1024, 7):
-        got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.similar(df, block=block).collect())
+    for options in ({}, {"block": 7}, {"block_bytes": 900}):  # with small blocks, buckets are cheaper than components
+        got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.similar(df, **options).collect())
         assert got == want
     assert jaccard.similar(df.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, "a b c d e f", 0), (None, "a b c d e f", 0)], SCHEMA)
     assert [(r["class_id"], r["n_links"]) for r in jaccard.similar(nulls).collect()] == [(None, 1)] * 2
 
 
+def test_a_chain_is_verified_by_bucket(spark):
+    """Each text shares a few buckets with the next one only, so the component is long."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[i * 3 : i * 3 + 100])) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for options in ({"block": 2}, {}):
+        got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.similar(df, **options).collect()}
+        assert [got[i] for i, _ in rows] == want
+    monkey = spark.createDataFrame([(None, "a b c d e f"), (None, "g h i j k l m n"), (None, "a b c d e f"), (1, None)], "doc_id long, text string")
+    assert sorted(r["n_links"] for r in jaccard.similar(monkey).collect()) == [0, 0, 1, 1]
+
+
 def test_band_choice_reaches_recall():
     b, r = jaccard.choose_bands(0.8, 0.999, 320)
     assert b * r <= 320 and 1 - (1 - 0.8**r) ** b >= 0.999
@@ -73,6 +86,9 @@ def test_links_by_table_and_by_pair_agree():
     got = set(zip(*map(list, jaccard._links(sets, all_same, left, left, 0.8))))
     want = {(i, j) for i in range(50) for j in range(i + 1, 50) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
     assert {(int(a), int(b)) for a, b in got} == want
+    some = rng.integers(0, 3, (50, 4)) + 10 * np.arange(4)  # buckets of four bands: each pair is met once
+    met = [(int(a), int(b)) for bucket in np.unique(some) for a, b in zip(*jaccard._links(sets, some, left, left, 0.8, bucket))]
+    assert len(met) == len(set(met)) and set(met) == {(i, j) for i, j in want if (some[i] == some[j]).any()}
 
 
 def test_components(spark):
@@ -91,45 +107,74 @@ def test_patience():
     assert linedup.blocks(list("xabcyd"), list("abczd"), [1, 2, 2, 2, 1, 1], 5) == [1, 2, 3]
 
 
-def plain_dedup(rows, rare=50, share=0.05, long=12, least=5):
-    """The same rules with plain loops: (id, text) to what is left."""
-    key = lambda t: tuple(x.strip(" ") for x in t.split("\n"))
-    first = {}
-    for i, t in sorted(rows):
-        if t:
-            first.setdefault(key(t), i)
-    texts = sorted((i, k) for k, i in first.items())
-    n_words = lambda x: len(x.split())
-    holders = {}
-    for i, k in texts:
-        for line in set(k):
-            holders.setdefault(line, []).append((i, k))
-    limit = max(rare, int(share * len(texts)))
-    cuts = {}
-    for i, k in texts:
-        early = {holders[x][0] for x in k if x and len(holders[x]) > 1 and (len(holders[x]) <= limit or n_words(x) >= long)} - {(i, k)}
-        for _, other in early:
-            cuts.setdefault(k, set()).update(linedup.blocks(list(k), list(other), [n_words(x) for x in k], least))
-    out = []
-    for i, t in rows:
-        if not t:
-            out.append((i, t))
-        elif first[key(t)] != i:
-            out.append((i, ""))
-        else:
-            out.append((i, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in cuts.get(key(t), ()))))
-    return out
-
-
-def test_line_dedup_equals_plain_version(spark):
+def plain_dedup(rows, least=5):
+    """For each (id, text): the lines that go, by comparing it with every earlier text.
+
+    A line that isn't blank goes if it is in a run of lines with ``least`` words or more
+    that an earlier text has too; a text equal to an earlier one loses all lines."""
+    keys = [[x.strip(" ") for x in t.split("\n")] if t else [] for _, t in rows]
+    words = lambda x: len(re.findall(r"[\u3040-\u30ff\u4e00-\u9fff]+|[^\s\u3040-\u30ff\u4e00-\u9fff]+", x)) if not re.search(r"[\u3040-\u30ff\u4e00-\u9fff]", x) else len(re.sub(r"[\u3040-\u30ff\u4e00-\u9fff]+", " ", x).split()) + -(-len(re.findall(r"[\u3040-\u30ff\u4e00-\u9fff]", x)) // 2)
+    order, first = sorted((i for i in range(len(rows)) if keys[i]), key=lambda i: rows[i][0]), {}
+    gone = [set() for _ in rows]
+    seen = []
+    for i in order:
+        key = tuple(keys[i])
+        if key in first:
+            gone[i] = set(range(len(key))) if rows[i][0] != rows[first[key]][0] else None
+            continue
+        first[key] = i
+        where = {}
+        for n, x in enumerate(key):
+            where.setdefault(x, []).append(n)
+        for other in seen:
+            for m, x in enumerate(other):
+                for n in where.get(x, ()):
+                    if m and n and other[m - 1] == key[n - 1]:
+                        continue  # not where a common run begins
+                    k = 0
+                    while n + k < len(key) and m + k < len(other) and key[n + k] == other[m + k]:
+                        k += 1
+                    if sum(map(words, key[n : n + k])) >= least:
+                        gone[i] |= {p for p in range(n, n + k) if key[p]}
+        seen.append(key)
+    return [gone[first[tuple(k)]] if g is None else g for g, k in zip(gone, keys)]
+
+
+def lines_left(rows, gone):
+    return sorted(((i, [x for n, x in enumerate(t.split("\n")) if x.strip(" ") and n not in g] if t else []) for (i, t), g in zip(rows, gone)), key=str)
+
+
+def test_line_dedup_equals_all_pairs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", F.lit(1).alias("id"), F.lit(2).alias("cut"))
     extra = [(9001, None), (9002, ""), (9003, "\n\n"), (9004, "one two three four five six seven\nshort"), (9005, "short\none two three four five six seven \nnew line here"), (9005, "short\none two three four five six seven \nnew line here")]
-    df = docs.select("doc_id", "text", "id", "cut").union(spark.createDataFrame([(i, t, 1, 2) for i, t in extra], docs.schema))
+    extra += [(9006, "alpha beta gamma one two three four"), (9007, "delta epsilon\nzeta"), (9008, "u\ndelta epsilon\nzeta eta theta\nv"), (9009, "w\ndelta epsilon\nzeta eta theta\nx"), (9010, "zeta eta theta\nq"), (9011, "a\n这是一个很长的中文段落没有空格\nb"), (9012, "c\n这是一个很长的中文段落没有空格\nd"), (9013, "e\n短的中文\nf"), (9014, "g\n短的中文\nh")]
+    df = docs.union(spark.createDataFrame([(i, t, 1, 2) for i, t in extra], docs.schema))
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
-    got = sorted(((r["doc_id"], r["deduped"]["text"]) for r in linedup.deduplicate(df).collect()), key=str)
-    assert got == sorted(plain_dedup(rows), key=str)
-    assert dict(got)[9005] == "short\nnew line here"
+    out = linedup.deduplicate(df)
+    got = [(r["doc_id"], r["deduped"]["text"]) for r in out.collect()]
+    assert lines_left(got, [()] * len(got)) == lines_left(rows, plain_dedup(rows))
+    left = dict(got)
+    assert left[9005] == "short\nnew line here" and left[9009] == "w\nx" and left[9012] == "c\nd" and left[9014] == "g\n短的中文\nh" and left[9001] is None and left[9003] == "\n\n"
     assert linedup.deduplicate(df.limit(0)).count() == 0
+    assert linedup.deduplicate(df.withColumnRenamed("id", "deduped")).columns == ["doc_id", "text", "cut", "deduped"]
+
+
+def test_line_dedup_by_shuffle_gives_the_same(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = sorted(linedup.deduplicate(docs).select("doc_id", "deduped.text").collect())
+    monkeypatch.setattr(linedup, "BROADCAST_BYTES", -1)
+    assert sorted(linedup.deduplicate(docs).select("doc_id", "deduped.text").collect()) == want
+
+
+def test_patience_is_linear_in_piles():
+    import random
+    import time
+
+    lines = list(range(40_000))
+    for other in (lines, lines[::-1], random.Random(2).sample(lines, len(lines))):
+        began = time.time()
+        linedup.patience(lines, other)
+        assert time.time() - began < 5
 
 
 def test_line_dedup_deletes_what_the_first_keeps(spark):
