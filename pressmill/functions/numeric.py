@@ -33,6 +33,16 @@ def signed(c: Column, digits: int = 4) -> Column:
     return F.format_string(f"%+.{digits}f", c)
 
 
+def cell(c: Column) -> Column:
+    """Text that may stand in a cell of a table with ``|`` borders."""
+    return F.replace(c, F.lit("|"), F.lit("\\|"))
+
+
+def to_float(c: Column) -> Column:
+    """The number that a text says, else null."""
+    return F.trim(c).try_cast("double")
+
+
 def to_bool(c: Column) -> Column:
     return F.lower(F.trim(c)) == "true"
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Negations that stop-word removal leaves in place.
 NEGATIONS = ["not", "no", "nor", "never", "neither", "n't", "nothing", "nobody", "nowhere"]
-#: A short list of English stop words; pass your own for other needs.
-STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "have", "he", "her", "his", "i", "in", "is", "it", "its", "not", "no", "of", "on", "or", "she", "that", "the", "this", "to", "was", "were", "with", "you"]
+#: English function words; pass a list or an array column for other needs.
+STOP_WORDS = """a about above after again against all am an and any are as at be because been before being below between both but by can cannot could did do does doing down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself neither never no nobody nor not nothing now nowhere of off on once only or other our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your yours yourself yourselves""".split()
 TOKEN = "[\\p{L}\\p{N}_]{2,}"
 
 
@@ -58,12 +58,14 @@ def parse_sections(c: Column) -> Column:
     return F.coalesce(F.filter(F.transform(got, lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
 
 
-def bag_of_words(c: Column, stop_words: list[str] = STOP_WORDS, keep: list[str] = NEGATIONS, lemmas: Column | None = None) -> Column:
+def bag_of_words(c: Column, stop_words: list[str] | Column = STOP_WORDS, keep: list[str] = NEGATIONS, lemmas: Column | None = None) -> Column:
     """Lower, drop what is neither word nor space, lemmatise by a map, then drop stop
     words other than ``keep``."""
     words = F.filter(F.split(F.regexp_replace(F.lower(c), "[^\\p{L}\\p{N}_\\s]", " "), "\\s+"), lambda x: x != "")
     if lemmas is not None:
         words = F.transform(words, lambda x: F.coalesce(F.element_at(lemmas, x), x))
+    if isinstance(stop_words, Column):
+        return F.array_join(F.filter(words, lambda x: ~F.array_contains(stop_words, x) | x.isin(keep)), " ")
     drop = [w for w in stop_words if w not in keep]
     return F.array_join(F.filter(words, lambda x: ~x.isin(drop)), " ")
 

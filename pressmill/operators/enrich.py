@@ -20,6 +20,14 @@ def load_stats(rows: DataFrame, key: str, value: str) -> DataFrame:
     return per.agg(F.count("k").alias("kept"), F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("n"))), F.lit(0)).alias("invalid"), F.coalesce(F.sum(F.when(F.col("k").isNotNull(), F.col("n") - 1)), F.lit(0)).alias("duplicates"))
 
 
+def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df``, or an error that names the columns it lacks."""
+    lacking = [c for c in columns if c not in df.columns]
+    if lacking:
+        raise ValueError(f"columns are missing: {', '.join(lacking)}")
+    return df
+
+
 def tagged_union(parts: dict[str, DataFrame], limit: int | None = None, order: str | None = None) -> DataFrame:
     out = None
     for tag, df in parts.items():

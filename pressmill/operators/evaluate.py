@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
+from .numbering import id_chunks, numbered
 
 
 def binary_metrics(preds: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,8 +25,8 @@ def metric_delta(a: DataFrame, b: DataFrame, key: str, metrics: list[str]) -> Da
 
 def batch_loss(preds: DataFrame, model: str, order: str, p_true: Column, batch: int) -> DataFrame:
     """Cross entropy as the mean over batches of the batches' means."""
-    w = Window.partitionBy(model).orderBy(order)
-    each = preds.withColumn("_b", F.floor((F.row_number().over(w) - 1) / batch)).groupBy(model, "_b").agg(F.avg(-F.log(p_true)).alias("l"))
+    each = numbered(preds.select(model, order, p_true.alias("_p")), [model], [F.col(order)], id_chunks(preds, order))
+    each = each.groupBy(model, F.floor((F.col("rn") - 1) / batch).alias("_b")).agg(F.avg(-F.log("_p")).alias("l"))
     return each.groupBy(model).agg(F.avg("l").alias("loss"), F.count("*").alias("batches"))
 
 
@@ -38,9 +39,10 @@ def paired(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("pred_b", F.when(lone, F.raise_error(F.lit("the runs have different samples"))).otherwise(F.col("pred_b")))
 
 
-def stability(pairs: DataFrame, model: str) -> DataFrame:
+def stability(pairs: DataFrame, *model: str) -> DataFrame:
+    """Counts per model, or per model and another column (replaced or not)."""
     ok_a, ok_b = F.col("pred_a") == F.col("true_label"), F.col("pred_b") == F.col("true_label")
-    return pairs.groupBy(model).agg(
+    return pairs.groupBy(*model).agg(
         F.count("*").alias("n"), F.count_if(F.col("pred_a") != F.col("pred_b")).alias("changed"), F.count_if(ok_a & ~ok_b).alias("correct_to_incorrect"), F.count_if(~ok_a & ok_b).alias("incorrect_to_correct"),
         F.count_if(~ok_a & ~ok_b).alias("unchanged_wrong"), F.avg(F.col("conf_b") - F.col("conf_a")).alias("mean_delta_confidence"),
     ).withColumns({"net": F.col("incorrect_to_correct") - F.col("correct_to_incorrect"), "change_rate": ratio(F.col("changed"), F.col("n"))})
@@ -50,9 +52,9 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int)
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= n)
 
 
-def transition_pairs(df: DataFrame, group: str, a: str, b: str, n: int = 8) -> DataFrame:
-    counted = df.groupBy(group, a, b).agg(F.count("*").alias("pairs"))
-    return top_per_group(counted, [group], [F.desc("pairs"), F.col(a), F.col(b)], n)
+def transition_pairs(df: DataFrame, group: list[str], a: str, b: str, n: int = 8) -> DataFrame:
+    counted = df.groupBy(*group, a, b).agg(F.count("*").alias("pairs"))
+    return top_per_group(counted, group, [F.desc("pairs"), F.col(a), F.col(b)], n)
 
 
 def epoch_delta(df: DataFrame, series: str, epoch: str, value: str) -> DataFrame:

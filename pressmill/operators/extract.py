@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import distinct_ignoring_case
+
 #: Elements whose text isn't content, and attributes that mark content.
 NOISE = {"script", "style", "noscript", "header", "footer", "nav", "aside"}
 MAIN_TAGS = {"article", "main"}
@@ -21,13 +23,22 @@ MAIN_CLASSES = {"article", "entry-content", "post-content", "content"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Field, and the meta names or properties that give it, in order of trust.
 META = {
-    "section": ["article:section", "section", "sectionname"],
+    "section": ["article:section", "article.section", "section", "sectionname"],
     "keywords": ["keywords", "news_keywords", "article:tag"],
     "description": ["description", "og:description", "twitter:description"],
     "author_name": ["author", "article:author", "parsely-author"],
-    "published_date": ["article:published_time", "date", "pubdate", "publishdate"],
-    "news_type": ["og:type"],
+    "published_date": ["article:published_time", "pubdate", "parsely-pub-date", "date", "publishdate"],
+    "news_type": ["og:type", "article:content_tier", "parsely-type"],
+}
+#: Field, and the elements whose text gives it, in order of trust: an
+#: attribute and its value (None: any) of the element, or of one around a link.
+MARKED = {
+    "section": [("data-testid", "rubric", False), ("data-vars-ga-category", None, False), ("class", "rubric", False), ("class", "section", False), ("class", "entry-section", False), ("class", "breadcrumbs", True), ("aria-label", "breadcrumb", True)],
+    "keywords": [("rel", "tag", False), ("class", "tags", True), ("class", "tag-list", True), ("class", "topics", True), ("data-testid", "topic-link", False)],
 }
+#: Ids of the archive's own toolbar, which isn't part of a page.
+TOOLBAR = {"wm-ipp-base", "wm-ipp"}
+SILENT = {"script", "style", "noscript"}
 LIST_FIELDS = ["keywords", "author_name", "author_type", "author_description"]
 CANDIDATES = "page_id long, field string, rank int, ordinal int, value string"
 
@@ -47,7 +58,10 @@ class _Page(HTMLParser):
         self.open_blocks: list[tuple[int, list[str]]] = []
         self.paras: list[list[str]] = []
         self.heads: list[list[str]] = []
-        self.sink: list[list[str]] = []
+        self.marked: list[tuple[str, int, list[str]]] = []
+        self.open_marks: list[tuple[int, list[str]]] = []
+        self.around: list[tuple[int, str, int]] = []
+        self.toolbar = 0
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
@@ -59,7 +73,11 @@ class _Page(HTMLParser):
             return
         if tag == "p" and any(t == "p" for t, _ in self.stack):
             self.handle_endtag("p")
-        self.stack.append((tag, tag in NOISE and a.get("type") != "application/ld+json"))
+        if self.toolbar or a.get("id") in TOOLBAR:
+            self.toolbar = self.toolbar or len(self.stack) + 1
+        self.stack.append((tag, bool(self.toolbar == len(self.stack) + 1) or tag in NOISE and a.get("type") != "application/ld+json"))
+        if not self.toolbar:
+            self._mark(tag, a)
         self.noise += self.stack[-1][1]
         if tag == "script" and a.get("type") == "application/ld+json":
             self.ld.append("")
@@ -73,12 +91,29 @@ class _Page(HTMLParser):
                 if tag == name:
                     into.append([])
 
+    def _mark(self, tag, a):
+        depth = len(self.stack)
+        for field, marks in MARKED.items():
+            ranks = [rank for depth_of, of, rank in self.around if of == field] if tag == "a" else []
+            for rank, (name, value, inner) in enumerate(marks):
+                if name in a and (value is None or value in a[name].split()):
+                    if inner:
+                        self.around.append((depth, field, rank))
+                    else:
+                        ranks.append(rank)
+            if ranks:
+                self.marked.append((field, min(ranks), []))
+                self.open_marks.append((depth, self.marked[-1][2]))
+
     def handle_endtag(self, tag):
         if tag in VOID or not any(t == tag for t, _ in self.stack):
             return
         while self.stack:
-            if self.open_blocks and self.open_blocks[-1][0] == len(self.stack):
-                self.open_blocks.pop()
+            for held in (self.open_blocks, self.open_marks, self.around):
+                while held and held[-1][0] == len(self.stack):
+                    held.pop()
+            if self.toolbar == len(self.stack):
+                self.toolbar = 0
             top, noisy = self.stack.pop()
             self.noise -= noisy
             if top == tag:
@@ -89,6 +124,9 @@ class _Page(HTMLParser):
         if tags and tags[-1] == "script" and self.ld and not self.noise:
             self.ld[-1] += data
             return
+        if not self.toolbar and not SILENT & set(tags):
+            for _, parts in self.open_marks:
+                parts.append(data)
         if self.noise:
             return
         if "title" in tags and self.title is not None:
@@ -139,7 +177,7 @@ def candidates_of(html: str | None) -> Iterator[tuple[str, int, int, str]]:
     as_list = lambda v: v if isinstance(v, list) else [v]
     for x in _articles(page.ld):
         authors = [a if isinstance(a, dict) else {"name": a} for a in as_list(x.get("author") or [])]
-        found = [("section", x.get("articleSection")), ("keywords", x.get("keywords")), ("description", x.get("description")), ("published_date", x.get("datePublished")), ("news_type", x.get("@type"))]
+        found = [("section", x.get("articleSection")), ("keywords", x.get("keywords")), ("description", x.get("description")), ("published_date", x.get("datePublished")), ("published_date", x.get("dateCreated")), ("news_type", x.get("@type")), ("news_type", x.get("additionalType"))]
         found += [(f"author_{k}", a.get(s)) for a in authors for k, s in (("name", "name"), ("type", "@type"), ("description", "description"))]
         for field, value in found:
             for v in as_list(value or []):
@@ -149,6 +187,9 @@ def candidates_of(html: str | None) -> Iterator[tuple[str, int, int, str]]:
         for field, names in META.items():
             if name in names:
                 yield field, 1 + names.index(name), (n := n + 1), content
+    for field, rank, parts in page.marked:
+        if text := tidy(parts):
+            yield field, 20 + rank, (n := n + 1), text
     for t in page.times:
         yield "published_date", 10, (n := n + 1), t
     if page.title:
@@ -217,7 +258,12 @@ def list_fields(candidates: DataFrame, fields: list[str] = LIST_FIELDS) -> DataF
 
 def page_metadata(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row a page with every field, lists, and ``parse_error``."""
-    found = page_candidates(pages, id_col, html_col)
-    single = field_choice(found).groupBy("page_id").pivot("field", ["title", "section", "news_type", "description", "published_date", "parse_error"]).agg(F.first("value"))
-    lists = list_fields(found).groupBy("page_id").pivot("field", LIST_FIELDS).agg(F.first("values"))
-    return pages.select(F.col(id_col).alias("page_id")).join(single, "page_id", "left").join(lists, "page_id", "left")
+    found = page_candidates(pages, id_col, html_col).groupBy("page_id").agg(F.collect_list(F.struct("field", "rank", "ordinal", "value")).alias("c"))  # a page's own
+    blank = lambda x: F.coalesce(F.trim(x["value"]), F.lit("")) == ""
+    of = lambda field: F.array_sort(F.transform(F.filter("c", lambda x: (x["field"] == field) & ~blank(x)), lambda x: F.struct(x["rank"], x["ordinal"], F.trim(x["value"]).alias("value"))))
+    single = [F.get(of(f), F.lit(0))["value"].alias(f) for f in ("title", "section", "news_type", "description", "published_date", "parse_error")]
+    values = lambda f: F.transform(of(f), lambda x: x["value"])
+    split = lambda f: F.flatten(F.transform(values(f), lambda x: F.split(x, ","))) if f == "keywords" else values(f)
+    lists = [F.when(F.size(values(f)) > 0, distinct_ignoring_case(split(f))).alias(f) for f in LIST_FIELDS]
+    ids = pages.select(F.col(id_col).alias("id"))
+    return ids.join(found, F.col("id").eqNullSafe(F.col("page_id")), "left").select(F.col("id").alias("page_id"), *single, *lists)

@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import id_chunks, numbered
+
+
+def oriented(edges: DataFrame, concept: Column, lang: str = "en", min_weight: float = 1.0) -> DataFrame:
+    """Edges of a queried ``concept`` turned away from it: ``concept, other, rel, weight``.
+
+    Both ends must be in ``lang`` (columns ``start_lang``, ``end_lang``) and the weight
+    ``min_weight`` or more; an edge that doesn't touch the concept goes."""
+    e = edges.withColumn("concept", concept).filter((F.col("start_lang") == lang) & (F.col("end_lang") == lang) & (F.col("weight") >= min_weight))
+    other = F.when(F.col("start") == F.col("concept"), F.col("end")).when(F.col("end") == F.col("concept"), F.col("start"))
+    return e.select("concept", other.alias("other"), "rel", "weight").filter("other IS NOT NULL")
+
 
 def edge_max(edges: DataFrame, min_weight: float = 0.0) -> DataFrame:
     return edges.filter(F.col("weight") >= min_weight).groupBy("start", "end", "rel").agg(F.max("weight").alias("weight"))
@@ -32,9 +44,15 @@ def concept_pairs(firsts: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def concept_align(concepts: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Token positions that equal a concept or of which one is the other's prefix."""
-    c, t = concepts.select("doc_id", F.col("tok").alias("concept")), tokens.select("doc_id", "pos", "tok")
-    return c.join(t, "doc_id").filter((F.col("tok") != "") & (F.startswith("concept", "tok") | F.startswith("tok", "concept"))).select("doc_id", "concept", "pos")
+    """Token positions that equal a concept or of which one is the other's prefix.
+
+    Words meet by their beginnings, so only those that fit are paired."""
+    heads = lambda c: F.transform(F.sequence(F.lit(1), F.char_length(c)), lambda n: F.substr(F.col(c), F.lit(1), n))
+    c = concepts.filter("tok <> ''").select("doc_id", F.col("tok").alias("concept")).distinct()
+    t = tokens.filter("tok <> ''").select("doc_id", "tok").distinct()  # places join last
+    longer = c.select("doc_id", "concept", F.explode(heads("concept")).alias("tok")).join(t, ["doc_id", "tok"])
+    shorter = t.select("doc_id", "tok", F.explode(heads("tok")).alias("concept")).filter("tok <> concept").join(c, ["doc_id", "concept"])
+    return longer.select("doc_id", "concept", "tok").union(shorter.select("doc_id", "concept", "tok")).join(tokens, ["doc_id", "tok"]).select("doc_id", "concept", "pos")
 
 
 def relation_vocab(edges: DataFrame) -> DataFrame:
@@ -69,9 +87,13 @@ def neighbours(concepts: DataFrame, edges: DataFrame) -> DataFrame:
     return concepts.select(F.col("tok").alias("start")).distinct().join(edges, "start")
 
 
-def graph_offset(graph: DataFrame, batch: int, max_len: int) -> DataFrame:
-    """Node ids moved apart for the documents of a batch of ``batch`` documents."""
-    docs = graph.select("doc_id").distinct().withColumn("_k", F.row_number().over(Window.orderBy("doc_id")) - 1)
+def graph_offset(graph: DataFrame, batch: int, max_len: int | None = None) -> DataFrame:
+    """Node ids moved apart for the documents of a batch of ``batch`` documents, by
+    ``max_len``, or as far as the longest document needs.  Ids are numbers."""
+    if max_len is None:
+        max_len = (graph.agg(F.max(F.greatest("src", "dst"))).first()[0] or 0) + 1
+    docs = graph.select("doc_id").distinct()
+    docs = numbered(docs, [], [F.col("doc_id")], id_chunks(docs, "doc_id")).withColumn("_k", F.col("rn") - 1)
     off = (F.col("_k") % batch) * max_len
     return graph.join(docs, "doc_id").select("doc_id", F.floor(F.col("_k") / batch).alias("batch"), (F.col("src") + off).alias("src"), (F.col("dst") + off).alias("dst"), "rel_id")
 

@@ -74,3 +74,12 @@ def missing(links: DataFrame, known: DataFrame, col: str = "article_link") -> Da
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def host_check(links: DataFrame, col: str, domains: list[str], examples: int) -> DataFrame:
+    """``examples`` links that are outside ``domains`` or have no host, with ``all_valid``
+    false; a single row with a null link and true if there are none."""
+    ok = F.coalesce(urls.in_family(urls.host_no_www(F.col(col)), domains), F.lit(False))
+    bad = links.filter(~ok).select(col).distinct().orderBy(col).limit(examples).withColumn("all_valid", F.lit(False))
+    whole = links.agg(F.coalesce(F.bool_and(ok), F.lit(True)).alias("all_valid")).filter("all_valid")
+    return bad.union(whole.select(F.lit(None).cast("string").alias(col), "all_valid"))

@@ -25,6 +25,12 @@ def standardise(df: DataFrame, labels: Column, mapping: DataFrame, id_col: str,
     return looked.groupBy(id_col).agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("s") != "", F.col("s")))), ", ").alias("section"))
 
 
+def fallback(df: DataFrame, names: list[str]) -> Column:
+    """The first of the columns ``names`` that isn't null; those that ``df`` lacks don't count."""
+    held = [F.col(n) for n in names if n in df.columns]
+    return F.coalesce(*held) if held else F.lit(None).cast("string")
+
+
 def label_pool(counts: DataFrame, section: str = "section", count: str = "total_count") -> DataFrame:
     """Atomic labels with summed counts; the missing label isn't one."""
     each = counts.filter(F.col(section) != MISSING).select(F.explode(text.parse_sections(F.col(section))).alias("label"), count)

@@ -49,12 +49,13 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokens of benchmark items with 0-based positions."""
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.posexplode(text.tokens(F.col("text"))).alias("pos", "tok"))
+    """Tokens of whole documents with 0-based positions."""
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(text.tokens(F.col("text"))).alias("pos", "tok"))
 
 
 def raw_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Neighbouring words with a relation and a weight, some of them more than once."""
+    """A lexicon of edges: neighbouring words of benchmark items with a relation and a
+    weight, some of them more than once."""
     t = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), text.tokens(F.col("text")).alias("t"))
     pair = F.zip_with(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", F.lit(2), F.greatest(F.size("t"), F.lit(0))), lambda a, b: F.struct(a.alias("s"), b.alias("e")))
     p = t.filter(F.size("t") > 1).select("doc_id", F.explode(pair).alias("p")).filter("p.s IS NOT NULL AND p.e IS NOT NULL")
@@ -84,15 +85,17 @@ SQL = {
   SELECT doc_id AS sample_id, quality AS true_label, run, model_path, 0.3::DOUBLE * quality + 0.7::DOUBLE * CAST(concat('0x', substr(md5(concat_ws(':', run, model_path, doc_id)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS prob1
   FROM labels CROSS JOIN (VALUES ('base'), ('pert')) r(run) CROSS JOIN (VALUES ('m0'), ('m1')) m(model_path)),
 predictions AS (SELECT *, CASE WHEN prob1 >= 0.5 THEN 1 ELSE 0 END AS predicted_label FROM predictions0)""",
-    "doc_tokens": """toks AS (SELECT item_id AS doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS t FROM benchmark),
+    "item_tokens": """items AS (SELECT item_id AS doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS t FROM benchmark),
+item_tokens AS (SELECT doc_id, unnest(generate_series(0, len(t) - 1)) AS pos, unnest(t) AS tok FROM items)""",
+    "doc_tokens": """toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS t FROM documents),
 doc_tokens AS (SELECT doc_id, unnest(generate_series(0, len(t) - 1)) AS pos, unnest(t) AS tok FROM toks)""",
     "raw_edges": """raw_edges AS (
   SELECT a.tok AS "start", b.tok AS "end", 'R' || substr(md5(a.tok || ':' || b.tok), 1, 1) AS rel,
     CAST(concat('0x', substr(md5(concat_ws(':', '1', a.doc_id, a.tok, b.tok)), 1, 8)) AS BIGINT) % 400 / 100.0::DOUBLE AS weight
-  FROM doc_tokens a JOIN doc_tokens b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1)""",
+  FROM item_tokens a JOIN item_tokens b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1)""",
     "concept_edges": """concept_edges AS (SELECT "start", "end", rel, max(weight) AS weight FROM raw_edges GROUP BY ALL)""",
 }
-_NEEDS = {"raw_edges": ["doc_tokens"], "concept_edges": ["doc_tokens", "raw_edges"]}
+_NEEDS = {"raw_edges": ["item_tokens"], "concept_edges": ["item_tokens", "raw_edges"]}
 
 
 def with_views(sql: str, *views: str) -> str:

@@ -20,6 +20,13 @@ def edge_max(spark, sf):
     return graph.edge_max(fx.raw_edges(spark, sf), 1.0)
 
 
+def edge_oriented(spark, sf):
+    """Edges turned away from the words that begin them or that they end with."""
+    lang = lambda c: F.when(F.char_length(c) % 5 == 0, "de").otherwise("en")
+    e = fx.concept_edges(spark, sf).withColumns({"start_lang": lang("start"), "end_lang": lang("end")})
+    return graph.oriented(e, F.when(F.char_length("rel") + F.char_length("start") % 2 == 2, F.col("start")).otherwise(F.col("end")))
+
+
 def concept_tokens(spark, sf):
     t = fx.doc_tokens(spark, sf)
     lexicon = t.select("tok").distinct().withColumn("tag", F.when(F.char_length("tok") % 3 == 0, "NOUN").when(F.char_length("tok") % 3 == 1, "VERB").otherwise("DET"))
@@ -35,7 +42,7 @@ def concept_pairs(spark, sf):
 
 
 def concept_align(spark, sf):
-    return graph.concept_align(_firsts(spark, sf).filter("char_length(tok) >= 5"), fx.doc_tokens(spark, sf).filter("char_length(tok) >= 3"))
+    return graph.concept_align(_firsts(spark, sf), fx.doc_tokens(spark, sf))
 
 
 def relation_vocab(spark, sf):
@@ -60,11 +67,11 @@ def edge_normalise(spark, sf):
 
 
 def neighbours(spark, sf):
-    return graph.neighbours(_firsts(spark, sf).filter("doc_id % 4 = 0"), fx.concept_edges(spark, sf))
+    return graph.neighbours(_firsts(spark, sf), fx.concept_edges(spark, sf))
 
 
 def graph_offset(spark, sf):
-    return graph.graph_offset(_graph(spark, sf), 8, 256)
+    return graph.graph_offset(_graph(spark, sf), 8)
 
 
 def edge_class(spark, sf):
@@ -72,8 +79,9 @@ def edge_class(spark, sf):
 
 
 def rel_neighbour_mean(spark, sf):
-    v = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("vec"))
-    n = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("src"), ((F.col("vec_id") * 7 + 3) % 200).alias("dst"), (F.col("label") % 3).alias("rel_id"))
+    e = fx.table(spark, sf, "embeddings")
+    v = e.select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("vec"))
+    n = e.select(F.explode(F.array(F.lit(3), F.lit(4))).alias("k"), F.col("vec_id").alias("src"), "label").select("src", F.pmod(F.col("src") * 7 + F.col("k"), F.lit(e.count())).alias("dst"), F.pmod("label", F.lit(3)).alias("rel_id"))
     return graph.relation_neighbour_mean(v, n).withColumn("x", F.round("x", 5))
 
 
@@ -83,7 +91,7 @@ def edge_scale(spark, sf):
     return graph.edge_scale(e, graph.irf_weights(e), rel).withColumn("x", F.round("x", 6))
 
 
-QUERIES = {f.__name__: f for f in (edge_max, concept_tokens, sequential_edges, concept_pairs, concept_align, relation_vocab, irf_weights, doc_graph, edge_normalise, neighbours, graph_offset, edge_class, rel_neighbour_mean, edge_scale)}
+QUERIES = {f.__name__: f for f in (edge_max, edge_oriented, concept_tokens, sequential_edges, concept_pairs, concept_align, relation_vocab, irf_weights, doc_graph, edge_normalise, neighbours, graph_offset, edge_class, rel_neighbour_mean, edge_scale)}
 
 _F = "firsts AS (SELECT doc_id, tok, min(pos) AS pos FROM doc_tokens GROUP BY 1, 2)\n"
 _SEQ = "seq AS (SELECT a.doc_id, a.pos AS src, b.pos AS dst FROM doc_tokens a JOIN doc_tokens b ON a.doc_id = b.doc_id AND abs(a.pos - b.pos) = 1)\n"
@@ -98,21 +106,25 @@ g AS (SELECT doc_id, src, dst, rel_id, CASE WHEN sum(weight) OVER w > 0 THEN wei
 """
 ORACLE = {
     "edge_max": with_views('SELECT "start", "end", rel, max(weight) AS weight FROM raw_edges WHERE weight >= 1 GROUP BY ALL', "raw_edges"),
+    "edge_oriented": with_views("""o AS (SELECT *, length(rel) + length("start") % 2 = 2 AS away FROM concept_edges)
+SELECT CASE WHEN away THEN "start" ELSE "end" END AS concept, CASE WHEN away OR "start" = "end" THEN "end" ELSE "start" END AS other, rel, weight FROM o WHERE weight >= 1 AND length("start") % 5 <> 0 AND length("end") % 5 <> 0""", "concept_edges"),
     "concept_tokens": with_views("SELECT doc_id, tok, min(pos) AS pos FROM doc_tokens WHERE length(tok) % 3 <> 2 AND tok NOT IN ('the', 'of', 'and', 'in') GROUP BY 1, 2", "doc_tokens"),
     "sequential_edges": with_views(_SEQ + "SELECT * FROM seq", "doc_tokens"),
-    "concept_pairs": with_views(_F + "," + _PAIR + "SELECT * FROM pairs", "concept_edges"),
-    "concept_align": with_views(_F + "SELECT c.doc_id, c.tok AS concept, t.pos FROM firsts c JOIN doc_tokens t ON t.doc_id = c.doc_id AND (starts_with(c.tok, t.tok) OR starts_with(t.tok, c.tok)) WHERE length(c.tok) >= 5 AND length(t.tok) >= 3", "doc_tokens"),
+    "concept_pairs": with_views(_F + "," + _PAIR + "SELECT * FROM pairs", "doc_tokens", "concept_edges"),
+    "concept_align": with_views(_F + """, p AS (SELECT doc_id, tok, unnest(list_transform(range(1, length(tok) + 1), lambda n: substr(tok, 1, n))) AS head FROM firsts),
+m AS (SELECT p.doc_id, p.tok AS concept, t.tok FROM p JOIN firsts t ON t.doc_id = p.doc_id AND t.tok = p.head UNION SELECT p.doc_id, c.tok, p.tok FROM p JOIN firsts c ON c.doc_id = p.doc_id AND c.tok = p.head)
+SELECT m.doc_id, m.concept, t.pos FROM m JOIN doc_tokens t ON t.doc_id = m.doc_id AND t.tok = m.tok""", "doc_tokens"),
     "relation_vocab": with_views(_VOC + "SELECT * FROM voc", "concept_edges"),
     "irf_weights": with_views(_IRF + "SELECT rel, round(weight, 6) AS weight FROM irf", "concept_edges"),
-    "doc_graph": with_views(_G + "SELECT doc_id, src, dst, rel_id, round(weight, 6) AS weight FROM g", "concept_edges"),
-    "edge_normalise": with_views(_G + "SELECT doc_id, round(sum(weight), 6) AS total, count(*) AS edges FROM g GROUP BY 1", "concept_edges"),
-    "neighbours": with_views(_F + 'SELECT e.* FROM concept_edges e WHERE "start" IN (SELECT tok FROM firsts WHERE doc_id % 4 = 0)', "concept_edges"),
-    "graph_offset": with_views(_G + ", k AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM (SELECT DISTINCT doc_id FROM g)) SELECT doc_id, k // 8 AS batch, src + (k % 8) * 256 AS src, dst + (k % 8) * 256 AS dst, rel_id FROM g JOIN k USING (doc_id)", "concept_edges"),
+    "doc_graph": with_views(_G + "SELECT doc_id, src, dst, rel_id, round(weight, 6) AS weight FROM g", "doc_tokens", "concept_edges"),
+    "edge_normalise": with_views(_G + "SELECT doc_id, round(sum(weight), 6) AS total, count(*) AS edges FROM g GROUP BY 1", "doc_tokens", "concept_edges"),
+    "neighbours": with_views(_F + 'SELECT e.* FROM concept_edges e WHERE "start" IN (SELECT tok FROM firsts)', "doc_tokens", "concept_edges"),
+    "graph_offset": with_views(_G + ", k AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM (SELECT DISTINCT doc_id FROM g)) SELECT doc_id, k // 8 AS batch, src + (k % 8) * m AS src, dst + (k % 8) * m AS dst, rel_id FROM g JOIN k USING (doc_id) CROSS JOIN (SELECT max(greatest(src, dst)) + 1 AS m FROM g)", "doc_tokens", "concept_edges"),
     "edge_class": with_views(_F + "," + _SEQ + """, s AS (SELECT DISTINCT doc_id, least(src, dst) AS a, greatest(src, dst) AS b FROM seq),
 m AS (SELECT x.doc_id, least(x.pos, y.pos) AS a, greatest(x.pos, y.pos) AS b, string_agg(DISTINCT e.rel, ',' ORDER BY e.rel) AS rels, max(e.weight) AS max_weight FROM firsts x JOIN concept_edges e ON e."start" = x.tok JOIN firsts y ON y.doc_id = x.doc_id AND y.tok = e."end" WHERE x.pos <> y.pos GROUP BY ALL),
 u AS (SELECT coalesce(s.doc_id, m.doc_id) AS doc_id, coalesce(s.a, m.a) AS a, coalesce(s.b, m.b) AS b, CASE WHEN s.a IS NOT NULL AND rels IS NOT NULL THEN 'both' WHEN s.a IS NOT NULL THEN 'sequential' ELSE 'semantic' END AS kind, rels, max_weight FROM s FULL JOIN m ON s.doc_id = m.doc_id AND s.a = m.a AND s.b = m.b)
-SELECT *, round(1 + 0.7 * ln(1 + coalesce(max_weight, 0)) + CASE WHEN kind = 'both' THEN 0.5 ELSE 0 END, 6) AS width FROM u""", "concept_edges"),
-    "rel_neighbour_mean": """WITH l AS (SELECT vec_id AS node, unnest(range(4)) AS dim, unnest(embedding[1:4])::DOUBLE AS x FROM embeddings), e AS (SELECT vec_id AS src, (vec_id * 7 + 3) % 200 AS dst, label % 3 AS rel_id FROM embeddings),
+SELECT *, round(1 + 0.7 * ln(1 + coalesce(max_weight, 0)) + CASE WHEN kind = 'both' THEN 0.5 ELSE 0 END, 6) AS width FROM u""", "doc_tokens", "concept_edges"),
+    "rel_neighbour_mean": """WITH l AS (SELECT vec_id AS node, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), e AS (SELECT vec_id AS src, (vec_id * 7 + k) % (SELECT count(*) FROM embeddings) AS dst, label % 3 AS rel_id FROM embeddings CROSS JOIN (VALUES (3), (4)) k(k)),
 m AS (SELECT dst, rel_id, dim, avg(x) AS m FROM e JOIN l ON l.node = e.src GROUP BY ALL), t AS (SELECT dst, dim, sum(m) AS m FROM m GROUP BY ALL)
 SELECT l.node, l.dim, round(greatest(0, x + coalesce(m, 0)), 5) AS x FROM l LEFT JOIN t ON t.dst = l.node AND t.dim = l.dim""",
     "edge_scale": with_views(_IRF + """, v AS (SELECT e."start", e."end", e.rel, e.weight * irf.weight AS f FROM concept_edges e JOIN irf USING (rel))

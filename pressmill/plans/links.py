@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import enrich, extract, match
+from ..operators import enrich, extract, match, scratch
 from ..sources import files
 from ..streaming import jobs
 from . import fixtures as fx
@@ -28,7 +25,11 @@ _cpath = lambda u: f"regexp_replace(regexp_replace(regexp_replace('/' || {_path(
 _clean = lambda u: f"CASE WHEN {_auth(u)} <> '' THEN 'https://' || {_host(u)} || {_cpath(u)} END"
 _pairs = lambda u: f"array_to_string(list_transform(list_sort(list_transform(list_filter(string_split({_query(u)}, '&'), lambda p: p <> ''), lambda p: [url_decode(replace(split_part(p, '=', 1), '+', ' ')), url_decode(replace(CASE WHEN contains(p, '=') THEN regexp_replace(p, '^[^=]*=', '') ELSE '' END, '+', ' '))])), lambda p: p[1] || '=' || p[2]), '&')"
 _exact = lambda u: f"CASE WHEN {_pairs(u)} <> '' THEN {_clean(u)} || '?' || {_pairs(u)} ELSE {_clean(u)} END"
-_id = lambda u, n: f"""coalesce(nullif(regexp_extract(url_decode({u}), '-([0-9]{{9,12}})(?:/amp)?(?:[/?#].*)?$', 1), ''), lower(nullif(regexp_extract(url_decode({u}), '(?:^|[/?#_.=-])([0-9a-fA-F]{{24}})(?:[/?#_.-]|$)', 1), '')), 'num:' || nullif(regexp_extract(url_decode({u}), '(?:^|[-_/])([0-9]{{{n},}})(?:[/?#_.-]|$)', 1), ''))"""
+_split = lambda u, marks: f"regexp_split_to_array(url_decode({u}), '{marks}')"
+_id = lambda u, n: f"""coalesce(list_filter(list_transform(list_filter({_split(u, '[/?#]')}, lambda x: contains(x, '-')), lambda x: string_split(x, '-')[-1]), lambda x: regexp_full_match(x, '[0-9]{{9,12}}'))[1],
+  lower(list_filter(list_transform(string_split(url_decode({u}), '_us_')[2:], lambda x: regexp_split_to_array(x, '[/?#_.-]')[1]), lambda x: regexp_full_match(x, '[0-9a-fA-F]{{24}}'))[1]), lower(list_filter({_split(u, '[/?#_.=-]')}, lambda x: regexp_full_match(x, '[0-9a-fA-F]{{24}}'))[1]),
+  'num:' || list_filter(list_transform({_split(u, '[-_/]')}, lambda x: regexp_split_to_array(x, '[?#.]')[1]), lambda x: regexp_full_match(x, '[0-9]{{{n},}}'))[1])"""
+_quoted = lambda u: "replace(" * 7 + f"url_encode({u})" + "".join(f", '%{ord(c):02X}', '{c}')" for c in ":/?&=#%")
 _latest = lambda key, src="capture_log": f"SELECT key, max(ts) AS ts, arg_max(url, struct_pack(a := ts, b := -event_id)) AS url, count(*) AS captures FROM (SELECT *, {key} AS key FROM {src}) WHERE key IS NOT NULL GROUP BY key"
 
 
@@ -102,7 +103,7 @@ def load_stats(spark, sf):
 
 def tagged_union(spark, sf):
     p = fx.table(spark, sf, "pages").select("page_id", "url")
-    return enrich.tagged_union({"even": p.filter("page_id % 2 = 0"), "odd": p.filter("page_id % 2 = 1")}, 100, "page_id")
+    return enrich.tagged_union({"even": p.filter("page_id % 2 = 0"), "odd": p.filter("page_id % 2 = 1")})
 
 
 def latest_run(spark, sf):
@@ -172,10 +173,12 @@ def unmatched_examples(spark, sf):
 
 
 def domain_check(spark, sf):
-    """Whether all links are in the family, and up to 10 that are not."""
-    ok = urls.in_family(urls.host_no_www(F.col("article_link")), ["example.com", "example.net"])
-    bad = fx.links(spark, sf).filter(~ok).select("article_link").distinct().orderBy("article_link").limit(10)
-    return bad.withColumn("all_valid", F.lit(False))
+    """Up to 10 links outside the family; if there are none, a row that says so."""
+    return match.host_check(fx.links(spark, sf), "article_link", ["example.com", "example.net"], 10)
+
+
+def host_check_valid(spark, sf):
+    return match.host_check(fx.links(spark, sf), "article_link", ["example.com", "example.net", "example.org"], 10)
 
 
 def url_variants(spark, sf):
@@ -183,7 +186,8 @@ def url_variants(spark, sf):
 
 
 def capture_url(spark, sf):
-    made = urls.capture_url(F.lit("20240101000000"), F.col("article_link"))
+    link = F.concat("article_link", F.lit("?q=é|\"<x y>*+~%41#z"))
+    made = urls.capture_url(F.lit("20240101000000"), link)
     return fx.links(spark, sf).select("page_id", made.alias("capture"), urls.capture_timestamp(made).alias("ts"))
 
 
@@ -191,27 +195,60 @@ def captures_per_day(spark, sf):
     return jobs.captures_per_day(fx.capture_log(spark, sf))
 
 
-def _scratch(spark):
-    """A new folder next to the checkpoints, which executors share."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return f"{sc.getCheckpointDir()}/streams/{uuid.uuid4().hex}"
-
-
 def stream_enrich(spark, sf):
     """Page metadata by a stream over the page files, until these are used up."""
-    at, pages = _scratch(spark), f"{sf}/pages.parque[t]"  # a glob may be a file or a folder
+    at, pages = scratch.folder(spark), f"{sf}/pages.parque[t]"  # a glob may be a file or a folder
     jobs.enrich_stream(spark, pages, "page_id long, url string, html string", f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.parquet(f"{at}/out").select("page_id", "title", "section", "description", "keywords", "parse_error")
 
 
 def stream_latest(spark, sf):
     """The latest capture per key, kept by a stream; equal to ``latest_capture``."""
-    at = _scratch(spark)
-    fx.capture_log(spark, sf).select("ts", "url").write.parquet(f"{at}/log")
-    jobs.latest_stream(spark, f"{at}/log", "ts string, url string", f"{at}/out", f"{at}/state").awaitTermination()
-    return spark.read.parquet(f"{at}/out").select("key", "ts", "url")
+    at = scratch.folder(spark)
+    fx.capture_log(spark, sf).select("event_id", "ts", "url").write.parquet(f"{at}/log")
+    jobs.latest_stream(spark, f"{at}/log", "event_id long, ts string, url string", f"{at}/out", f"{at}/state").awaitTermination()
+    return jobs.read_latest(spark, f"{at}/out").select("key", "ts", "url")
+
+
+def stream_per_day(spark, sf):
+    """Captures per host and day, counted by a stream; equal to ``captures_per_day``."""
+    at = scratch.folder(spark)
+    fx.capture_log(spark, sf).write.parquet(f"{at}/log")
+    jobs.per_day_stream(spark, f"{at}/log", "event_id long, ts string, status string, mimetype string, url string", f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/out").groupBy("host", "day").agg(F.sum("read").alias("read"), F.sum("kept").alias("kept"))
+
+
+def jsonl_scan(spark, sf):
+    """Documents as JSON lines, some of them broken or without a key, read back and counted."""
+    at, n = scratch.folder(spark), F.col("doc_id")
+    line = F.when(n % 11 == 0, "{broken").when(n % 13 == 0, F.to_json(F.struct("lang"))).otherwise(F.to_json(F.struct("doc_id", "lang")))
+    fx.table(spark, sf, "documents").select(line.alias("value")).write.text(at)
+    return files.jsonl_stats(spark, at, "doc_id long, lang string", "doc_id")
+
+
+def json_array_scan(spark, sf):
+    """Pages as JSON arrays, one a file, and as JSON lines, read by the same function."""
+    at = scratch.folder(spark)
+    pages = fx.table(spark, sf, "pages").select("page_id", "url")
+    files.write_json_arrays(pages, f"{at}/array", F.floor(F.col("page_id") / 1000))
+    files.append_jsonl(pages, f"{at}/lines")
+    both = [files.read_json_auto(spark, f"{at}/{kind}", "page_id long, url string").select("page_id", "url", F.lit(kind).alias("kind")) for kind in ("array", "lines")]
+    return both[0].union(both[1])
+
+
+def csv_round_trip(spark, sf):
+    """Texts with quotes and line ends through a CSV file with fixed columns."""
+    at = scratch.folder(spark)
+    files.write_csv(fx.table(spark, sf, "documents").filter("text <> ''"), at, ["doc_id", "lang", "text"])
+    return files.read_csv(spark, at, "doc_id long, lang string, text string").select("doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
+def page_edges(spark, sf):
+    """Edges from tables of pages, which are made of the pages' titles."""
+    cell = lambda x: F.concat(F.lit("<td> "), x, F.lit("</td>"))
+    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
+    row = F.concat(F.lit("<table><tr>"), cell(title), cell(F.when(F.col("page_id") % 2 == 0, "IsA").otherwise("")), cell(F.lit("<b>Page</b>")), F.when(F.col("page_id") % 3 == 0, cell(F.lit("2.5"))).otherwise(""), F.lit("</tr></table>"))
+    return files.page_edges(fx.table(spark, sf, "pages").select(row.alias("html")))
 
 
 def page_title(spark, sf):
@@ -263,10 +300,12 @@ _PAIRS = {
     "url_id": _scalar("id", lambda c: urls.article_id(c, 3), lambda c: _id(c, 3)),
     "url_repair": _scalar("url", lambda c: urls.repaired(F.concat(F.lit("https://www.example.com"), c), ALIAS), lambda c: f"regexp_replace('https://www.example.com' || {c}, '^https?://www[.]example[.]com(https?://)', '\\1')"),
 }
-QUERIES = {k: v[0] for k, v in _PAIRS.items()} | {f.__name__: f for f in (cascade_match, match_funnel, latest_capture, tiered_capture, variant_match, capture_log_parse, capture_window, first_wins_dedupe, load_stats, tagged_union, latest_run, todo_select, resume_anti, dead_letter, outcome_rollup, missing_links, merge_existing_wins, host_family, host_histogram, distinct_keys, distinct_links, unmatched_examples, domain_check, url_variants, capture_url, captures_per_day, stream_enrich, stream_latest, page_title, field_choice, page_candidates, page_text, page_metadata, dedupe_keep_order)} | {"enrich": enriched}
+QUERIES = {k: v[0] for k, v in _PAIRS.items()} | {f.__name__: f for f in (cascade_match, match_funnel, latest_capture, tiered_capture, variant_match, capture_log_parse, capture_window, first_wins_dedupe, load_stats, tagged_union, latest_run, todo_select, resume_anti, dead_letter, outcome_rollup, missing_links, merge_existing_wins, host_family, host_histogram, distinct_keys, distinct_links, unmatched_examples, domain_check, url_variants, capture_url, captures_per_day, stream_enrich, stream_latest, stream_per_day, jsonl_scan, json_array_scan, csv_round_trip, page_edges, host_check_valid, page_title, field_choice, page_candidates, page_text, page_metadata, dedupe_keep_order)} | {"enrich": enriched}
 
 _H = _host("article_link")
 _fam = lambda *ds: "(" + " OR ".join(f"{_H} = '{d}' OR ends_with({_H}, '.{d}')" for d in ds) + ")"
+_PER_DAY = f"SELECT {_host('url')} AS host, substr(ts, 1, 8) AS day, count(*) AS read, count(*) FILTER (status = '200' AND mimetype = 'text/html') AS kept FROM capture_log GROUP BY ALL"
+_CHECK = "bad AS (SELECT DISTINCT article_link FROM links WHERE NOT {}) SELECT * FROM (SELECT article_link, false AS all_valid FROM bad ORDER BY 1 LIMIT 10) UNION ALL SELECT NULL, true WHERE NOT EXISTS (SELECT 1 FROM bad)"
 ORACLE = {k: v[1] for k, v in _PAIRS.items()} | {
     "cascade_match": with_views(_CASCADE + "SELECT article_link, matched_by, CASE WHEN l_clean IS NOT NULL THEN coalesce(ts_exact, ts_ident, ts_clean) END AS ts, 'https://web.archive.org/web/' || coalesce(ts_exact, ts_ident, ts_clean) || '/' || l_clean AS wayback_url FROM m", "capture_log", "links"),
     "match_funnel": with_views(_CASCADE + """SELECT count(*) AS links, count(*) FILTER (l_clean IS NULL) AS invalid_clean, count(*) FILTER (matched_by = 'exact') AS matched_by_exact, count(*) FILTER (matched_by = 'id') AS matched_by_id,
@@ -283,7 +322,7 @@ SELECT l.article_link, hit.key, hit.ts FROM (SELECT DISTINCT article_link FROM l
     "capture_window": with_views("SELECT event_id, ts, url FROM capture_log WHERE status = '200' AND mimetype = 'text/html' AND ts BETWEEN '20240102000000' AND '20240120000000'", "capture_log"),
     "first_wins_dedupe": with_views(_DUMP + "SELECT article_link, arg_min(wayback_url, page_id) AS wayback_url FROM dump WHERE trim(article_link) <> '' AND trim(wayback_url) <> '' GROUP BY article_link", "links"),
     "load_stats": with_views(_DUMP + "SELECT count(DISTINCT CASE WHEN trim(wayback_url) <> '' THEN article_link END) AS kept, count(*) FILTER (trim(wayback_url) = '') AS invalid, count(*) FILTER (trim(wayback_url) <> '') - count(DISTINCT CASE WHEN trim(wayback_url) <> '' THEN article_link END) AS duplicates FROM dump", "links"),
-    "tagged_union": "SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN 'even' ELSE 'odd' END AS origin FROM pages ORDER BY origin, page_id LIMIT 100",
+    "tagged_union": "SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN 'even' ELSE 'odd' END AS origin FROM pages",
     "latest_run": with_views("SELECT run, model_path, sample_id, predicted_label FROM predictions WHERE run = (SELECT max(run) FROM predictions)", "predictions"),
     "todo_select": with_views(_STATE + "SELECT l.* FROM links l LEFT JOIN st ON st.page_id = l.page_id WHERE st.page_id IS NULL OR st.error <> ''", "links"),
     "resume_anti": with_views(_STATE + "SELECT l.* FROM links l WHERE page_id NOT IN (SELECT page_id FROM st WHERE error = '') AND page_id % 7 <> 0", "links"),
@@ -296,10 +335,16 @@ SELECT l.article_link, hit.key, hit.ts FROM (SELECT DISTINCT article_link FROM l
     "distinct_keys": with_views(f"SELECT count(DISTINCT {_exact('url')}) AS exact_keys, count(DISTINCT {_id('url', 3)}) AS ids, count(DISTINCT {_clean('url')}) AS clean_keys FROM capture_log", "capture_log"),
     "distinct_links": with_views("SELECT DISTINCT url FROM capture_log", "capture_log"),
     "unmatched_examples": with_views(_DUMP + "SELECT DISTINCT article_link FROM links WHERE article_link NOT IN (SELECT article_link FROM dump) ORDER BY 1 LIMIT 5", "links"),
-    "domain_check": with_views(f"SELECT DISTINCT article_link, false AS all_valid FROM links WHERE NOT {_fam('example.com', 'example.net')} ORDER BY 1 LIMIT 10", "links"),
+    "domain_check": with_views(_CHECK.format(_fam("example.com", "example.net")), "links"),
+    "host_check_valid": with_views(_CHECK.format(_fam("example.com", "example.net", "example.org")), "links"),
+    "jsonl_scan": "SELECT count(*) FILTER (doc_id % 11 <> 0 AND doc_id % 13 <> 0) AS rows, count(*) FILTER (doc_id % 11 <> 0 AND doc_id % 13 = 0) AS without_key, count(*) FILTER (doc_id % 11 = 0) AS invalid FROM documents",
+    "json_array_scan": "SELECT page_id, url, kind FROM pages CROSS JOIN (VALUES ('array'), ('lines')) k(kind)",
+    "csv_round_trip": "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents WHERE text <> ''",
+    "page_edges": """SELECT lower(trim(regexp_extract(html, '<title>(.*?)</title>', 1))) AS "start", 'page' AS "end", CASE WHEN page_id % 2 = 0 THEN 'IsA' ELSE 'RelatedTo' END AS rel, CASE WHEN page_id % 3 = 0 THEN 2.5 ELSE 1.0 END::DOUBLE AS weight FROM pages""",
+    "stream_per_day": with_views(_PER_DAY, "capture_log"),
     "url_variants": with_views(_VARIANTS + "SELECT page_id, string_agg(x, ' ' ORDER BY i) AS variants FROM v4 GROUP BY page_id", "links"),
-    "capture_url": with_views("SELECT page_id, 'https://web.archive.org/web/20240101000000/' || replace(replace(article_link, ' ', '%20'), '+', '%2B') AS capture, '20240101000000' AS ts FROM links", "links"),
-    "captures_per_day": with_views(f"SELECT {_host('url')} AS host, substr(ts, 1, 8) AS day, count(*) AS read, count(*) FILTER (status = '200' AND mimetype = 'text/html') AS kept FROM capture_log GROUP BY ALL", "capture_log"),
+    "capture_url": with_views("SELECT page_id, 'https://web.archive.org/web/20240101000000/' || " + _quoted("article_link || '?q=é|\"<x y>*+~%41#z'") + " AS capture, '20240101000000' AS ts FROM links", "links"),
+    "captures_per_day": with_views(_PER_DAY, "capture_log"),
     "page_title": "SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages",
     "field_choice": """WITH c AS (SELECT page_id, 'title' AS field, 0 AS rank, 0 AS ordinal, regexp_extract(html, '<title>(.*?)</title>', 1) AS value FROM pages UNION ALL SELECT page_id, 'title', 1, 1, regexp_extract(html, '<h1>(.*?)</h1>', 1) FROM pages UNION ALL SELECT page_id, 'nav', 0, 2, regexp_extract(html, '<a [^>]*>(.*?)</a>', 1) FROM pages)
 SELECT page_id, field, arg_min(trim(value), rank * 1000 + ordinal) AS value FROM c WHERE trim(value) <> '' GROUP BY 1, 2""",

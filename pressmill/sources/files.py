@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -58,6 +58,12 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, part: Column) -> None:
+    """A JSON array a file, with the rows of one ``part``; parts should be small."""
+    rows = df.select(part.alias("part"), F.struct(*df.columns).alias("row")).groupBy("part").agg(F.to_json(F.array_sort(F.collect_list("row"))).alias("value"))
+    rows.write.mode("overwrite").partitionBy("part").text(path)
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.mode("overwrite").csv(path, header=True, escape='"')
 

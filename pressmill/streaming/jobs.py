@@ -9,38 +9,70 @@ from ..functions import urls
 from ..operators import extract
 
 
+def _until_used_up(stream: DataFrame, each, checkpoint: str):
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
 def enrich_stream(spark: SparkSession, pages_path: str, schema: str, out: str, checkpoint: str):
     """Metadata of new page files, appended to ``out``; a restart goes on after the last
-    finished batch, and pages already in ``out`` are left out."""
+    finished batch, and pages already in ``out`` are left out.  One page may have a null id."""
 
     def append(batch: DataFrame, _: int) -> None:
         done = spark.read.schema("page_id long").parquet(out) if _exists(spark, out) else spark.createDataFrame([], "page_id long")
-        new = batch.dropDuplicates(["page_id"]).join(done.select("page_id"), "page_id", "left_anti")
+        done = done.select(F.col("page_id").alias("done_id"))
+        new = batch.dropDuplicates(["page_id"]).join(done, F.col("page_id").eqNullSafe(F.col("done_id")), "left_anti")
         extract.page_metadata(new).write.mode("append").parquet(out)
 
-    return spark.readStream.schema(schema).parquet(pages_path).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _until_used_up(spark.readStream.schema(schema).parquet(pages_path), append, checkpoint)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+LATEST = "key string, ts string, ordinal long, url string"
 
 
-def latest_stream(spark: SparkSession, captures_path: str, schema: str, out: str, checkpoint: str):
-    """The latest capture per canonical URL, kept at ``out``.
+def _versions(spark: SparkSession, out: str) -> list[int]:
+    """Complete versions, the newest last."""
+    p, fs = _path(spark, out)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    found = sorted(int(n[2:]) for n in names if n.startswith("v="))
+    return [v for v in found if _exists(spark, f"{out}/v={v}/_SUCCESS")]
 
-    Each batch is reduced to one row a key, merged with what is there, and written
-    as a new version; readers see the last complete one."""
+
+def read_latest(spark: SparkSession, out: str) -> DataFrame:
+    """The newest complete version of the index at ``out``."""
+    versions = _versions(spark, out)
+    return spark.read.schema(LATEST).parquet(f"{out}/v={versions[-1]}") if versions else spark.createDataFrame([], LATEST)
+
+
+def latest_stream(spark: SparkSession, captures_path: str, schema: str, out: str, checkpoint: str, ordinal: str = "event_id", keep: int = 2):
+    """The latest capture per canonical URL, kept at ``out``; ties go to the smallest
+    ordinal, as in ``latest_capture``.
+
+    Each batch is reduced to a row a key, merged with the version before its own and
+    written as version ``v=<batch>``, which counts once its ``_SUCCESS`` is there, so
+    readers (``read_latest``) never meet half a version and a batch that is repeated
+    gives the same one.  All but the newest ``keep`` versions are deleted."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = batch.withColumn("key", urls.canonical_key(F.col("url"))).filter("key IS NOT NULL").select("key", "ts", "url")
-        old = spark.read.schema("key string, ts string, url string").parquet(f"{out}_{number - 1}") if number and _exists(spark, f"{out}_{number - 1}") else None
-        both = new if old is None else new.unionByName(old)
-        latest = both.groupBy("key").agg(F.max(F.struct("ts", "url")).alias("b")).select("key", "b.ts", "b.url")
-        latest.write.mode("overwrite").parquet(f"{out}_{number}")
-        spark.read.parquet(f"{out}_{number}").write.mode("overwrite").parquet(out)
+        new = batch.withColumn("key", urls.canonical_key(F.col("url"))).filter("key IS NOT NULL").select("key", "ts", F.col(ordinal).cast("long").alias("ordinal"), "url")
+        before = [v for v in _versions(spark, out) if v < number]
+        both = new.unionByName(spark.read.schema(LATEST).parquet(f"{out}/v={before[-1]}")) if before else new
+        best = F.max_by(F.struct("ts", "ordinal", "url"), F.struct(F.col("ts"), -F.col("ordinal")))
+        both.groupBy("key").agg(best.alias("b")).select("key", "b.*").write.mode("overwrite").parquet(f"{out}/v={number}")
+        for old in [*before, number][:-keep]:
+            p, fs = _path(spark, f"{out}/v={old}")
+            fs.delete(p, True)
 
-    return spark.readStream.schema(schema).parquet(captures_path).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _until_used_up(spark.readStream.schema(schema).parquet(captures_path), merge, checkpoint)
 
 
 def captures_per_day(captures: DataFrame) -> DataFrame:
@@ -49,10 +81,23 @@ def captures_per_day(captures: DataFrame) -> DataFrame:
     return captures.groupBy(urls.host_no_www(F.col("url")).alias("host"), F.substring("ts", 1, 8).alias("day")).agg(F.count("*").alias("read"), F.count_if(ok).alias("kept"))
 
 
+def per_day_stream(spark: SparkSession, captures_path: str, schema: str, out: str, checkpoint: str):
+    """The same of new capture files: each batch's counts, to be summed per host and day.
+
+    A batch has a folder of its own, so one that is repeated replaces itself, and late
+    days need no watermark."""
+
+    def count(batch: DataFrame, number: int) -> None:
+        captures_per_day(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return _until_used_up(spark.readStream.schema(schema).parquet(captures_path), count, checkpoint)
+
+
 def captures_per_day_stream(captures: DataFrame, event_time: str = "at", late: str = "2 days") -> DataFrame:
     """The same over a stream; days close when the watermark has passed them."""
-    w = captures.withWatermark(event_time, late)
-    return w.groupBy(urls.host_no_www(F.col("url")).alias("host"), F.window(event_time, "1 day").alias("day")).agg(F.count("*").alias("read")).select("host", F.col("day.start").alias("day"), "read")
+    ok = (F.col("status") == "200") & (F.col("mimetype") == "text/html")
+    days = captures.withWatermark(event_time, late).groupBy(urls.host_no_www(F.col("url")).alias("host"), F.window(event_time, "1 day").alias("day"))
+    return days.agg(F.count("*").alias("read"), F.count_if(ok).alias("kept")).select("host", F.col("day.start").alias("day"), "read", "kept")
 
 
 def progress(query) -> dict:
