@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from pressmill.llm import stages
-from pressmill.llm.common import shared_folder
+from pressmill.llm.common import clear, mark, shared_folder
 
 STAGES = [
     ("language_id", stages.language_id),
@@ -29,6 +29,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{base}/{number}_{name}"
+        before = mark()
         stage(spark, docs, sf_dir).write.parquet(path)
+        clear(spark, before)  # what the stage's operators kept for its result
         docs = spark.read.parquet(path)
     return docs
