@@ -78,9 +78,15 @@ def dropped(*tables: DataFrame) -> None:
         _written.remove(t._stored_at)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete every stored table; call it when the results of the operators are written."""
-    while _written:
+def mark() -> int:
+    """How many stored tables there are, for ``clear``."""
+    return len(_written)
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Delete the stored tables made after ``since`` tables (see ``mark``); call it when the
+    results that read them are written."""
+    while len(_written) > since:
         _delete(spark, _written.pop())
 
 
