@@ -42,7 +42,7 @@ SAMPLE_BYTES = 16 << 20
 GROUP_LANGS = 8
 #: Bytes of evidence that a score takes as independent; more text doesn't raise it.
 EVIDENCE = 48
-WINDOW = 1 << 18
+WINDOW = 1 << 16
 UNKNOWN = "und"
 
 
