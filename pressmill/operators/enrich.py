@@ -55,9 +55,21 @@ def dead_letters(failed: DataFrame, dead: DataFrame, key: str) -> DataFrame:
     return failed.select(key).distinct().join(dead.select(key), key, "left_anti")
 
 
+def error_log(failed: DataFrame, key: str, error: str = "error") -> DataFrame:
+    """What each key failed with, once each."""
+    return failed.filter(F.coalesce(F.col(error), F.lit("")) != "").select(key, F.col(error).alias("error")).distinct()
+
+
+def _once(df: DataFrame, key: str) -> DataFrame:
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(key, "_r.*") if rest else df.distinct()
+
+
 def enrich(articles: DataFrame, snapshots: DataFrame, content: DataFrame, key: str) -> DataFrame:
-    """Each article once, with its snapshot, and content if there is a snapshot."""
-    out = articles.join(snapshots.withColumn("available", F.lit(True)), key, "left").join(content, key, "left")
+    """Each article once, with its snapshot, and content if there is a snapshot.
+
+    Where a key has several snapshots or contents, the least row counts."""
+    out = articles.join(_once(snapshots, key).withColumn("available", F.lit(True)), key, "left").join(_once(content, key), key, "left")
     out = out.withColumn("available", F.coalesce("available", F.lit(False)))
     return out.withColumns({c: F.when(F.col("available"), F.col(c)) for c in content.columns if c != key})
 

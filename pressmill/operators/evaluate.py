@@ -60,3 +60,9 @@ def transition_pairs(df: DataFrame, group: list[str], a: str, b: str, n: int = 8
 def epoch_delta(df: DataFrame, series: str, epoch: str, value: str) -> DataFrame:
     w = Window.partitionBy(series).orderBy(epoch)
     return df.withColumn("delta", F.col(value) - F.lag(value).over(w))
+
+
+def last_values(df: DataFrame, series: str, epoch: str, value: str) -> DataFrame:
+    """Each series with the value of its last epoch, the highest first."""
+    last = df.groupBy(series).agg(F.max(epoch).alias(epoch), F.max_by(value, epoch).alias(value))
+    return last.orderBy(F.desc(value), series)

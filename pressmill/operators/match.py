@@ -59,12 +59,21 @@ def match_funnel(matched: DataFrame) -> DataFrame:
     )
 
 
+def first_variant(links: DataFrame, index: DataFrame, link_col: str = "article_link") -> DataFrame:
+    """Each link with the row of ``index(key, ...)`` that its first URL variant found there has."""
+    tried = links.select(link_col).distinct().select(link_col, F.posexplode(F.array_distinct(F.transform(urls.variants(F.col(link_col)), urls.canonical_key))).alias("pos", "key"))
+    hit = tried.join(index, "key").groupBy(link_col).agg(F.min_by(F.struct(*index.columns), "pos").alias("b"), F.min("pos").alias("pos"))
+    return links.select(link_col).distinct().join(hit.select(link_col, "b.*", "pos"), link_col, "left")
+
+
 def variant_match(links: DataFrame, captures: DataFrame, link_col: str = "article_link", ordinal: str = "event_id") -> DataFrame:
     """The first URL variant of a link that the canonical index holds wins."""
-    index = latest_capture(captures, urls.canonical_key(F.col("url")), ordinal).select("key", "ts")
-    tried = links.select(link_col).distinct().select(link_col, F.posexplode(F.array_distinct(F.transform(urls.variants(F.col(link_col)), urls.canonical_key))).alias("pos", "key"))
-    hit = tried.join(index, "key").groupBy(link_col).agg(F.min_by(F.struct("key", "ts"), "pos").alias("b"), F.min("pos").alias("pos"))
-    return links.select(link_col).distinct().join(hit.select(link_col, "b.key", "b.ts", "pos"), link_col, "left")
+    return first_variant(links, latest_capture(captures, urls.canonical_key(F.col("url")), ordinal).select("key", "ts"), link_col)
+
+
+def tiered_variant_match(links: DataFrame, captures: DataFrame, link_col: str = "article_link") -> DataFrame:
+    """The first URL variant with a capture of status 200 wins, by ``tiered_capture``."""
+    return first_variant(links, tiered_capture(captures, urls.canonical_key(F.col("url"))), link_col)
 
 
 def missing(links: DataFrame, known: DataFrame, col: str = "article_link") -> DataFrame:

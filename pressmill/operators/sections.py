@@ -17,6 +17,13 @@ def category_counts(df: DataFrame, labels: Column, source: Column, sources: list
     return each.groupBy("section").agg(F.count("*").alias("total_count"), *[F.count_if(F.col("_s") == s).alias(f"{s}_count") for s in sources], F.count_if(~F.coalesce(F.col("_s").isin(sources), F.lit(False))).alias("other_count")).orderBy(F.desc("total_count"), F.lower("section"), "section")
 
 
+def source_totals(df: DataFrame, labels: Column, source: Column) -> DataFrame:
+    """Rows, rows without a label, and labels, per source and for all sources (``<all>``)."""
+    d = df.select(F.coalesce(source, F.lit(MISSING)).alias("source"), F.size(labels).alias("_n"))
+    per = d.rollup("source").agg(F.count("*").alias("rows"), F.count_if(F.col("_n") == 0).alias("without_label"), F.sum("_n").alias("labels"))
+    return per.withColumn("source", F.coalesce("source", F.lit("<all>")))
+
+
 def standardise(df: DataFrame, labels: Column, mapping: DataFrame, id_col: str, default: str = "other") -> DataFrame:
     """Labels looked up in ``mapping(raw, standard)``, sorted and joined; those mapped to
     blank are dropped."""

@@ -73,6 +73,10 @@ def variant_match(spark, sf):
     return match.variant_match(fx.links(spark, sf), fx.capture_log(spark, sf)).select("article_link", "key", "ts")
 
 
+def tiered_variant_match(spark, sf):
+    return match.tiered_variant_match(fx.links(spark, sf), fx.capture_log(spark, sf)).select("article_link", "key", "ts", "mimetype")
+
+
 def capture_log_parse(spark, sf):
     log = fx.capture_log(spark, sf)
     lines = log.select(F.concat(F.when(F.col("event_id") % 5 == 0, F.substring("ts", 1, 8)).when(F.col("event_id") % 11 == 0, F.lit("bad")).otherwise(F.col("ts")), F.lit("  "), "url").alias("value"))
@@ -130,6 +134,15 @@ def dead_letter(spark, sf):
     return enrich.dead_letters(_state(spark, sf).filter("error <> ''"), fx.table(spark, sf, "pages").filter("page_id % 2 = 0").select("page_id"), "page_id")
 
 
+def error_log(spark, sf):
+    """Errors of keys that were given up, as read back from the log and the dead letters."""
+    at, failed = scratch.folder(spark), _state(spark, sf).filter("error <> ''")
+    files.append_dead_letters(failed.withColumn("page_id", F.col("page_id").cast("string")), f"{at}/dead", "page_id")
+    files.append_errors(failed, f"{at}/errors", "page_id")
+    dead = spark.read.schema("page_id string").json(f"{at}/dead").select(F.col("page_id").cast("long").alias("page_id"))
+    return spark.read.schema("page_id long, error string").json(f"{at}/errors").join(dead, "page_id", "left_semi")
+
+
 def outcome_rollup(spark, sf):
     return _state(spark, sf).groupBy(enrich.outcome(F.col("available"), F.col("error")).alias("outcome")).agg(F.count("*").alias("n"))
 
@@ -191,6 +204,12 @@ def capture_url(spark, sf):
     return fx.links(spark, sf).select("page_id", made.alias("capture"), urls.capture_timestamp(made).alias("ts"))
 
 
+def capture_variants(spark, sf):
+    link = F.concat("article_link", F.when(F.col("page_id") % 2 == 0, ".html").otherwise(""))
+    made = F.concat(F.lit("https://web.archive.org/web/20240101000000/"), link)
+    return fx.links(spark, sf).select("page_id", F.array_join(urls.capture_variants(made, ALIAS, "www.example.net"), " ").alias("captures"))
+
+
 def captures_per_day(spark, sf):
     return jobs.captures_per_day(fx.capture_log(spark, sf))
 
@@ -300,11 +319,12 @@ _PAIRS = {
     "url_id": _scalar("id", lambda c: urls.article_id(c, 3), lambda c: _id(c, 3)),
     "url_repair": _scalar("url", lambda c: urls.repaired(F.concat(F.lit("https://www.example.com"), c), ALIAS), lambda c: f"regexp_replace('https://www.example.com' || {c}, '^https?://www[.]example[.]com(https?://)', '\\1')"),
 }
-QUERIES = {k: v[0] for k, v in _PAIRS.items()} | {f.__name__: f for f in (cascade_match, match_funnel, latest_capture, tiered_capture, variant_match, capture_log_parse, capture_window, first_wins_dedupe, load_stats, tagged_union, latest_run, todo_select, resume_anti, dead_letter, outcome_rollup, missing_links, merge_existing_wins, host_family, host_histogram, distinct_keys, distinct_links, unmatched_examples, domain_check, url_variants, capture_url, captures_per_day, stream_enrich, stream_latest, stream_per_day, jsonl_scan, json_array_scan, csv_round_trip, page_edges, host_check_valid, page_title, field_choice, page_candidates, page_text, page_metadata, dedupe_keep_order)} | {"enrich": enriched}
+QUERIES = {k: v[0] for k, v in _PAIRS.items()} | {f.__name__: f for f in (cascade_match, match_funnel, latest_capture, tiered_capture, variant_match, capture_log_parse, capture_window, first_wins_dedupe, load_stats, tagged_union, latest_run, todo_select, resume_anti, dead_letter, outcome_rollup, missing_links, merge_existing_wins, host_family, host_histogram, distinct_keys, distinct_links, unmatched_examples, domain_check, url_variants, capture_url, captures_per_day, stream_enrich, stream_latest, stream_per_day, jsonl_scan, json_array_scan, csv_round_trip, page_edges, host_check_valid, page_title, field_choice, page_candidates, page_text, page_metadata, dedupe_keep_order, tiered_variant_match, error_log, capture_variants)} | {"enrich": enriched}
 
 _H = _host("article_link")
 _fam = lambda *ds: "(" + " OR ".join(f"{_H} = '{d}' OR ends_with({_H}, '.{d}')" for d in ds) + ")"
 _PER_DAY = f"SELECT {_host('url')} AS host, substr(ts, 1, 8) AS day, count(*) AS read, count(*) FILTER (status = '200' AND mimetype = 'text/html') AS kept FROM capture_log GROUP BY ALL"
+_TIERED = f"SELECT key, arg_max(ts, struct_pack(a := mimetype = 'text/html', b := ts, c := mimetype)) AS ts, arg_max(mimetype, struct_pack(a := mimetype = 'text/html', b := ts, c := mimetype)) AS mimetype FROM (SELECT *, {_canon('url')} AS key FROM capture_log WHERE status = '200') WHERE key IS NOT NULL GROUP BY key"
 _CHECK = "bad AS (SELECT DISTINCT article_link FROM links WHERE NOT {}) SELECT * FROM (SELECT article_link, false AS all_valid FROM bad ORDER BY 1 LIMIT 10) UNION ALL SELECT NULL, true WHERE NOT EXISTS (SELECT 1 FROM bad)"
 ORACLE = {k: v[1] for k, v in _PAIRS.items()} | {
     "cascade_match": with_views(_CASCADE + "SELECT article_link, matched_by, CASE WHEN l_clean IS NOT NULL THEN coalesce(ts_exact, ts_ident, ts_clean) END AS ts, 'https://web.archive.org/web/' || coalesce(ts_exact, ts_ident, ts_clean) || '/' || l_clean AS wayback_url FROM m", "capture_log", "links"),
@@ -313,7 +333,16 @@ ORACLE = {k: v[1] for k, v in _PAIRS.items()} | {
   count(*) FILTER (l_clean IS NOT NULL AND ts_exact IS NULL AND l_ident IS NOT NULL AND ts_ident IS NULL) AS id_not_found, count(*) FILTER (l_clean IS NOT NULL AND ts_exact IS NULL AND ts_ident IS NULL AND ts_clean IS NULL) AS key_not_found, count(*) FILTER (matched_by = 'none') AS unmatched FROM m""", "capture_log", "links"),
     "latest_capture": with_views(_latest(_canon("url")), "capture_log"),
     "stream_latest": with_views(f"SELECT key, ts, url FROM ({_latest(_canon('url'))})", "capture_log"),
-    "tiered_capture": with_views(f"SELECT key, arg_max(ts, struct_pack(a := mimetype = 'text/html', b := ts, c := mimetype)) AS ts, arg_max(mimetype, struct_pack(a := mimetype = 'text/html', b := ts, c := mimetype)) AS mimetype FROM (SELECT *, {_canon('url')} AS key FROM capture_log WHERE status = '200') WHERE key IS NOT NULL GROUP BY key", "capture_log"),
+    "tiered_capture": with_views(_TIERED, "capture_log"),
+    "tiered_variant_match": with_views(_VARIANTS + f""", idx AS ({_TIERED}),
+v5 AS (SELECT article_link, {_canon('x')} AS key, min(i) AS pos FROM v4 GROUP BY ALL),
+hit AS (SELECT article_link, arg_min(idx.key, pos) AS key, arg_min(ts, pos) AS ts, arg_min(mimetype, pos) AS mimetype FROM v5 JOIN idx ON idx.key = v5.key GROUP BY article_link)
+SELECT l.article_link, hit.key, hit.ts, hit.mimetype FROM (SELECT DISTINCT article_link FROM links) l LEFT JOIN hit ON hit.article_link = l.article_link""", "capture_log", "links"),
+    "error_log": "WITH " + _STATE + "SELECT page_id, error FROM st WHERE error <> ''",
+    "capture_variants": with_views("""c0 AS (SELECT page_id, 'https://web.archive.org/web/20240101000000/' AS p, article_link || CASE WHEN page_id % 2 = 0 THEN '.html' ELSE '' END AS l FROM links),
+c1 AS (SELECT page_id, p, l, regexp_replace(l, '^(https?://)www[.]example[.]com([/?#]|$)', '\\1www.example.net\\2') AS m FROM c0),
+c2 AS (SELECT page_id, [p || l, p || m, p || regexp_replace(l, '^([^?#]*)[.]html([?#]|$)', '\\1\\2'), p || regexp_replace(m, '^([^?#]*)[.]html([?#]|$)', '\\1\\2')] AS v FROM c1)
+SELECT page_id, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), ' ') AS captures FROM c2""", "links"),
     "variant_match": with_views(_VARIANTS + f""", idx AS ({_latest(_canon('url'))}),
 v5 AS (SELECT article_link, {_canon('x')} AS key, min(i) AS pos FROM v4 GROUP BY ALL),
 hit AS (SELECT article_link, arg_min(idx.key, pos) AS key, arg_min(ts, pos) AS ts FROM v5 JOIN idx ON idx.key = v5.key GROUP BY article_link)

@@ -110,6 +110,10 @@ def epoch_delta(spark, sf):
     return _rounded(evaluate.epoch_delta(_history(spark, sf), "event_type", "epoch", "train_loss").select("event_type", "epoch", "train_loss", "delta"), ["train_loss", "delta"])
 
 
+def epoch_ranking(spark, sf):
+    return _rounded(evaluate.last_values(_history(spark, sf), "event_type", "epoch", "train_loss"), ["train_loss"])
+
+
 def history_unpivot(spark, sf):
     return _rounded(_history(spark, sf).unpivot(["event_type", "epoch"], ["train_loss", "test_f1"], "metric", "value"), ["value"])
 
@@ -129,7 +133,7 @@ def metric_text(spark, sf):
     return _delta(spark, sf).select("model_path", numeric.signed(F.round("delta_f1", 4)).alias("delta_f1"))
 
 
-QUERIES = {f.__name__: f for f in (binary_metrics, metric_delta, headline_findings, batch_loss, prediction_stability, top_regressions, transition_pairs, section_stability, history_wide, common_models, label_decode, softmax_argmax, vector_norm, epoch_delta, history_unpivot, best_trial, metric_text)}
+QUERIES = {f.__name__: f for f in (binary_metrics, metric_delta, headline_findings, batch_loss, prediction_stability, top_regressions, transition_pairs, section_stability, history_wide, common_models, label_decode, softmax_argmax, vector_norm, epoch_delta, history_unpivot, best_trial, metric_text, epoch_ranking)}
 
 _M = """c AS (SELECT run, model_path, count(*) AS n, count(*) FILTER (true_label = 1 AND predicted_label = 1) AS tp, count(*) FILTER (true_label <> 1 AND predicted_label = 1) AS fp,
   count(*) FILTER (true_label = 1 AND predicted_label <> 1) AS fn, count(*) FILTER (true_label <> 1 AND predicted_label <> 1) AS tn FROM predictions GROUP BY ALL),
@@ -164,6 +168,7 @@ q AS (SELECT model_path, scope, original, replacement, count(*) AS pairs FROM q0
     "softmax_argmax": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT vec_id, list_position(v, list_max(v)) - 1 AS predicted, round(1 / list_sum(list_transform(v, lambda x: exp(x - list_max(v)))), 6) AS confidence FROM e",
     "vector_norm": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm FROM embeddings",
     "epoch_delta": "WITH " + _HIST + "SELECT event_type, epoch, round(train_loss, 6) AS train_loss, round(train_loss - lag(train_loss) OVER (PARTITION BY event_type ORDER BY epoch), 6) AS delta FROM h",
+    "epoch_ranking": "WITH " + _HIST + "SELECT event_type, max(epoch) AS epoch, round(arg_max(train_loss, epoch), 6) AS train_loss FROM h GROUP BY 1",
     "history_unpivot": "WITH " + _HIST + "SELECT event_type, epoch, 'train_loss' AS metric, round(train_loss, 6) AS value FROM h UNION ALL SELECT event_type, epoch, 'test_f1', round(test_f1, 6) FROM h",
     "best_trial": "WITH " + _HIST + "SELECT event_type, epoch, round(test_f1, 6) AS test_f1 FROM h ORDER BY test_f1 DESC, event_type, epoch LIMIT 1",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
-from ..operators import enrich, features, models, perturb, sections
+from ..operators import annotate, enrich, features, models, perturb, sections
 from ..operators.scratch import stored
 from . import fixtures as fx
 from .fixtures import with_views
@@ -34,6 +34,20 @@ def mask_spans(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", text.mask_spans(F.col("text"), first, ["PERSON"]).alias("masked"))
 
 
+def annotated(spark, sf):
+    """Numbers that an annotator finds, as texts."""
+
+    def load():
+        import re
+
+        number = re.compile("[0-9]{2,}")
+        return lambda texts: [[(m.start(), m.end(), "NUMBER") for m in number.finditer(t)] for t in texts]
+
+    d = annotate.annotate(fx.table(spark, sf, "documents").select("doc_id", "text"), load, "text")
+    found = annotate.span_texts(F.col("text"), F.col("spans"), "NUMBER")
+    return d.select("doc_id", F.size("spans").alias("found"), F.array_join(found, "|").alias("numbers"))
+
+
 def section_parse(spark, sf):
     return fx.articles(spark, sf).select("doc_id", F.array_join(text.parse_sections(F.col("section_raw")), "|").alias("sections"))
 
@@ -79,6 +93,10 @@ def category_counts(spark, sf):
     return sections.category_counts(fx.articles(spark, sf), text.parse_sections(F.col("section_raw")), F.col("family"), ["a"])
 
 
+def section_totals(spark, sf):
+    return sections.source_totals(fx.articles(spark, sf), text.parse_sections(F.col("section_raw")), F.col("family"))
+
+
 def _pool(spark, sf):
     a = fx.articles(spark, sf)
     combos = a.groupBy(F.when(F.col("section_raw") == "", sections.MISSING).otherwise(F.array_join(text.parse_sections(F.col("section_raw")), ", ")).alias("section")).agg(F.count("*").alias("total_count"))
@@ -102,6 +120,10 @@ def seeded_split(spark, sf):
     return perturb.seeded_split(fx.table(spark, sf, "documents").select("doc_id"), "doc_id")
 
 
+def exact_split(spark, sf):
+    return perturb.exact_split(fx.table(spark, sf, "documents").select("doc_id"), "doc_id")
+
+
 def seeded_sample(spark, sf):
     return perturb.seeded_sample(fx.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", 50)
 
@@ -174,7 +196,7 @@ def batch_score(spark, sf):
     return models.batch_score(e, load, ["embedding"], 256, [[64]]).select("vec_id", "label", F.round("prob1", 9).alias("prob1"), "predicted_label", F.round("confidence", 9).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (clean_text, strip_dateline, mask_entities, mask_spans, section_parse, section_standardise, keywords_normalise, bow_clean, piece_text, safe_casts, compose_text, sample_projection, category_counts, label_pool, section_replace, binned_shuffle, seeded_split, seeded_sample, vocabulary, tfidf, nb_model, nb_predict, lr_predict, tune_trials, batch_score)}
+QUERIES = {f.__name__: f for f in (clean_text, strip_dateline, mask_entities, mask_spans, section_parse, section_standardise, keywords_normalise, bow_clean, piece_text, safe_casts, compose_text, sample_projection, category_counts, label_pool, section_replace, binned_shuffle, seeded_split, seeded_sample, vocabulary, tfidf, nb_model, nb_predict, lr_predict, tune_trials, batch_score, annotated, section_totals, exact_split)}
 
 _PARSED = """parsed AS (SELECT *, CASE WHEN section_raw LIKE '[%' THEN from_json(section_raw, '["VARCHAR"]') WHEN section_raw = '' THEN [] ELSE [section_raw] END AS sections FROM articles)
 """
@@ -228,6 +250,10 @@ SELECT p.doc_id, array_to_string(sections, '|') AS own, coalesce(replaced, '') A
 a AS (SELECT doc_id, bin, row_number() OVER (PARTITION BY bin ORDER BY doc_id) AS rn FROM d), b AS (SELECT description AS shuffled, bin, row_number() OVER (PARTITION BY bin ORDER BY md5('42:' || doc_id), doc_id) AS rn FROM d)
 SELECT a.doc_id, a.bin, b.shuffled FROM a JOIN b ON a.bin = b.bin AND a.rn = b.rn""", "articles"),
     "seeded_split": f"SELECT doc_id, CASE WHEN {_u(42, 'doc_id')} / 4294967296.0::DOUBLE < 0.2 THEN 'test' WHEN {_u(43, 'doc_id')} / 4294967296.0::DOUBLE < 0.25 THEN 'validation' ELSE 'train' END AS split FROM documents",
+    "exact_split": """WITH k AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS rn FROM documents), n AS (SELECT count(*) AS n, CAST(ceil(count(*) * 0.2) AS BIGINT) AS t FROM documents)
+SELECT doc_id, CASE WHEN rn <= t THEN 'test' WHEN rn <= t + ceil((n - t) * 0.25) THEN 'validation' ELSE 'train' END AS split FROM k CROSS JOIN n""",
+    "annotated": "WITH a AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[0-9]{2,}'), []) AS v FROM documents) SELECT doc_id, len(v) AS found, array_to_string(v, '|') AS numbers FROM a",
+    "section_totals": with_views(_PARSED + "SELECT coalesce(family, '<all>') AS source, count(*) AS rows, count(*) FILTER (len(sections) = 0) AS without_label, CAST(sum(len(sections)) AS BIGINT) AS labels FROM parsed GROUP BY ROLLUP (family)", "articles"),
     "seeded_sample": "SELECT doc_id, lang FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 50",
     "vocabulary": "WITH " + _TF + "SELECT term, df, round(idf, 6) AS idf FROM vocab",
     "tfidf": "WITH " + _TF + "SELECT doc_id, term, round(weight, 6) AS weight FROM weights",

@@ -82,6 +82,13 @@ def append_dead_letters(failed: DataFrame, path: str, key: str) -> None:
     append_jsonl(dead_letters(failed, dead, key), path)
 
 
+def append_errors(failed: DataFrame, path: str, key: str, error: str = "error") -> None:
+    """Append what keys failed with; unlike dead letters, each run's errors are kept."""
+    from ..operators.enrich import error_log
+
+    append_jsonl(error_log(failed, key, error), path)
+
+
 def page_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Edges from table rows ``start | relation | end | weight`` of pages; a missing
     relation is ``RelatedTo`` and a missing weight 1."""

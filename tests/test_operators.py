@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pressmill.functions import text, urls
-from pressmill.operators import enrich, evaluate, extract, features, models, numbering, perturb, sections
+from pressmill.operators import annotate, enrich, evaluate, extract, features, match, models, numbering, perturb, sections
 from pressmill.sources import files
 from pressmill.streaming import jobs
 
@@ -197,3 +197,43 @@ def test_classic_models_share_features(spark):
 
 def test_tuning_is_seeded():
     assert models.trials({"c": (0.1, 10.0), "k": [1, 2]}, 4) == models.trials({"c": (0.1, 10.0), "k": [1, 2]}, 4)
+
+
+def test_annotator_is_passed_in(spark):
+    def load():
+        return lambda texts: [[(t.index("Ann"), t.index("Ann") + 3, "PERSON")] if "Ann" in t else [] for t in texts]
+
+    df = spark.createDataFrame([(1, "é😀 Ann met"), (2, None), (3, "")] + [(i, "Ann") for i in range(4, 60)], "id long, t string")
+    got = {r["id"]: r for r in annotate.annotate(df, load, "t").withColumn("m", text.mask_spans(F.col("t"), F.col("spans"), ["PERSON"])).collect()}
+    assert got[1]["m"] == "é😀 [PERSON] met" and got[2]["spans"] == [] == got[3]["spans"] and all(got[i]["m"] == "[PERSON]" for i in range(4, 60))
+    assert annotate.annotate(df.limit(0), load, "t").count() == 0
+    with pytest.raises(Exception, match="0 answers to"):
+        annotate.annotate(df, lambda: lambda texts: [], "t").collect()
+
+
+def test_exact_split_and_totals(spark):
+    for n, want in ((0, {}), (1, {"test": 1}), (11, {"test": 3, "validation": 2, "train": 6}), (100, {"test": 20, "validation": 20, "train": 60})):
+        df = spark.range(n).withColumnRenamed("id", "doc_id")
+        assert {r["split"]: r["count"] for r in perturb.exact_split(df, "doc_id").groupBy("split").count().collect()} == want
+    df = spark.createDataFrame([("a", ["x", "y"]), ("a", []), (None, ["x"])], "s string, l array<string>")
+    assert {tuple(r) for r in sections.source_totals(df, F.col("l"), F.col("s")).collect()} == {("a", 2, 1, 2), ("<missing>", 1, 0, 1), ("<all>", 3, 1, 3)}
+    h = spark.createDataFrame([("a", 1, 9.0), ("a", 2, 1.0), ("b", 1, 2.0)], "s string, e int, v double")
+    assert [tuple(r) for r in evaluate.last_values(h, "s", "e", "v").collect()] == [("b", 1, 2.0), ("a", 2, 1.0)]
+
+
+def test_variants_meet_tiers_and_keys_repeat(spark):
+    caps = spark.createDataFrame([("http://a.com/x", "2022", "200", "application/pdf"), ("http://a.com/x/", "2020", "200", "text/html"), ("http://www.a.com/x", "2023", "200", "text/html"), ("http://b.com/", "2024", "503", "text/html")], "url string, ts string, status string, mimetype string")
+    links = spark.createDataFrame([("http://a.com/x",), ("https://www.a.com/x?q=1",), ("http://b.com",), (None,)], "article_link string")
+    got = {r["article_link"]: (r["key"], r["ts"]) for r in match.tiered_variant_match(links, caps).collect()}
+    assert got == {"http://a.com/x": ("https://a.com/x", "2020"), "https://www.a.com/x?q=1": ("https://www.a.com/x", "2023"), "http://b.com": (None, None), None: (None, None)}
+    a = spark.createDataFrame([("k", 1), ("k", 2), (None, 3), ("z", 4)], "k string, id int")
+    snap = spark.createDataFrame([("k", "b"), ("k", "a"), (None, "n")], "k string, ts string")
+    out = {r["id"]: (r["available"], r["ts"], r["body"]) for r in enrich.enrich(a, snap, spark.createDataFrame([("k", "y"), ("k", "x"), ("z", "w")], "k string, body string"), "k").collect()}
+    assert out == {1: (True, "a", "x"), 2: (True, "a", "x"), 3: (False, None, None), 4: (False, None, None)}
+
+
+def test_errors_are_logged(spark, tmp_path):
+    failed = spark.createDataFrame([("x", "timeout"), ("x", "timeout"), ("x", "refused"), ("y", ""), ("z", None)], "k string, error string")
+    files.append_errors(failed, f"file://{tmp_path}/errors", "k")
+    files.append_errors(failed.filter("k = 'none'"), f"file://{tmp_path}/errors", "k")
+    assert sorted((r["k"], r["error"]) for r in spark.read.json(f"file://{tmp_path}/errors").collect()) == [("x", "refused"), ("x", "timeout")]
