@@ -28,6 +28,11 @@ def resident(key, make):
     return _resident[key]
 
 
+def no_model() -> None:
+    """Let go of what ``resident`` keeps, in tasks that need no model."""
+    resident(None, lambda: None)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, connected_components, dropped, stored
+from .common import BROADCAST_BYTES, connected_components, dropped, no_model, stored
 from .langid import _binary
 
 WORDS, THRESHOLD, RECALL, HASHES, BLOCK, BLOCK_BYTES = 5, 0.8, 0.999, 320, 1024, 8 << 20
@@ -205,6 +205,7 @@ def _verify(threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(np.array([node[find(i)] for i in range(len(rows))], np.int64)[some]), pa.array(links[some].astype(np.int64))], ["node", "root", "links"])
 
     def run(batches):
+        no_model()
         now, rows = None, []
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -245,6 +246,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     @F.arrow_udf("struct<digest binary, size int, bands array<bigint>>")
     def sketch(texts: pa.Array) -> pa.Array:
+        no_model()
         values, offsets = _binary(texts)
         digests, sizes, found = [], [], []
         i, n = 0, len(offsets) - 1
@@ -262,6 +264,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     @F.arrow_udf("binary")
     def gram_set(texts: pa.Array) -> pa.Array:
+        no_model()
         values, offsets = _binary(texts)
         cut = zip(offsets[:-1].tolist(), offsets[1:].tolist())
         return pa.array([np.unique(ngrams(values[a:b], np.array([0, b - a]))[0]).tobytes() for a, b in cut], pa.binary())

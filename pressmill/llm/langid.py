@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, resident
+from .common import BROADCAST_BYTES, no_model, resident
 
 ORDER = 3
 ROWS_PER_LANG = 300
@@ -94,7 +94,7 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sample = rows.join(chosen, F.col("lang") == F.col("s_lang")).filter((F.pmod("draw", F.lit(scale)) < F.col("limit")) | (F.col("draw") == F.col("least")))
 
     def count(batches):
-        resident("counting", lambda: None)
+        no_model()
         for batch in batches:
             langs_of = batch.column(0).to_numpy()
             for lang in np.unique(langs_of):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, dropped, stored
+from .common import BROADCAST_BYTES, dropped, no_model, stored
 
 MIN_BLOCK_WORDS = 5
 #: Blocks of scripts that are written without spaces between words (Thai and
@@ -166,6 +166,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = stored(rows.groupBy("seq").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("words").alias("words")))
 
     def lead(batches):
+        no_model()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
@@ -184,6 +185,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     aligned = pairs.join(earlier, "early").join(texts.select("seq", "keys", "words"), "seq").select("seq", "keys", "words", "early_keys")
 
     def align(batches):
+        no_model()
         for batch in batches:
             for at in range(0, batch.num_rows, 16):
                 cols = [c.to_pylist() for c in batch.slice(at, 16).columns]
