@@ -31,8 +31,8 @@ from .common import resident
 
 #: Splits text before merging; a fixed value of byte-level tokenizers of this kind.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS = 250_000
-TRIE_NODES, FITS = 300_000, 250_000
+CACHE_WORDS = 100_000
+TRIE_NODES, FITS = 100_000, 100_000
 CACHE_WORD_BYTES = 64
 #: Longer words share no prefix with others; so many of their bytes are kept open.
 LONG_WORD, OPEN_BYTES, SETTLE_BYTES = 4096, 1 << 16, 4096
