@@ -65,7 +65,6 @@ class Vocabulary:
         self.parts = {made: (n, pair) for pair, (n, made) in self.rank.items()}
         if len(self.parts) < len(self.rank):
             raise ValueError("two merges make the same token")
-        self.edges: tuple[dict, dict] = {}, {}
         self.size = {i: len(b) for i, b in self.bytes.items()}
         self.longest = max(map(len, self.ids))
         self.heads = {b[:k] for b in self.ids for k in range(len(b) + 1)}
@@ -97,17 +96,13 @@ class Vocabulary:
     def _edge(self, token: int, side: int) -> list[tuple[int, int, int]]:
         """What stands at an end of ``token`` while it is merged: each token there, the
         rank of the merge that makes it (-1: a byte) and of the one that ends it."""
-        known = self.edges[side]
-        if token not in known:
-            chain, end = [], len(self.rank)
-            while token in self.parts:
-                rank, pair = self.parts[token]
-                chain.append((token, rank, end))
-                token, end = pair[side], rank
-            chain.append((token, -1, end))
-            known[chain[0][0]] = chain
-            return chain
-        return known[token]
+        chain, end = [], len(self.rank)
+        while token in self.parts:
+            rank, pair = self.parts[token]
+            chain.append((token, rank, end))
+            token, end = pair[side], rank
+        chain.append((token, -1, end))
+        return chain
 
     def neighbours(self, left: int, right: int) -> bool:
         """May ``right`` follow ``left`` in an encoding? A left of -1: the start.
@@ -337,5 +332,6 @@ def round_trip(text: Column, path: str) -> Column:
         for texts in batches:
             for packed in _packed(vocab, texts):  # a chunk at a time, so that results stay small
                 yield pa.StructArray.from_arrays([pa.array(packed, pa.binary()), _texts(vocab, packed)], ["ids", "text"])
+            del texts  # before the next batch is read
 
     return both(F.coalesce(text, F.lit("")))

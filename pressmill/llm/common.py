@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -16,14 +18,23 @@ BROADCAST_BYTES = 32 << 20
 _resident: dict = {}
 
 
+def _give_back() -> None:
+    """Return freed memory of this worker to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def resident(key, make):
     """What ``make()`` gives, kept in this Python worker until another key is asked for.
 
     Spark uses workers again for later stages, so a worker must not go on holding
     the models of the stages before."""
     if key not in _resident:
-        _resident.clear()
-        pa.default_memory_pool().release_unused()
+        if _resident:
+            _resident.clear()
+            _give_back()
         _resident[key] = make()
     return _resident[key]
 

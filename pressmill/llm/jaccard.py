@@ -33,14 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, connected_components, dropped, no_model, stored
+from .common import BROADCAST_BYTES, connected_components, dropped, no_model, resident, stored
 from .langid import _binary
 
 WORDS, THRESHOLD, RECALL, HASHES, BLOCK, BLOCK_BYTES = 5, 0.8, 0.999, 320, 1024, 8 << 20
 #: Fixed odd multipliers: of bytes in a word, and of words in an n-gram.
 BYTE_BASE, WORD_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
-CHUNK = 1 << 18
+#: N-grams whose minima are taken together, and bytes of texts that are cut together.
+CHUNK, TEXT_BYTES = 1 << 18, 1 << 20
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -65,7 +66,14 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 _INVERSE = np.uint64(pow(int(BYTE_BASE), -1, 1 << 64))
-_pow: list[np.ndarray] = []
+
+
+def _byte_powers(n: int) -> list[np.ndarray]:
+    """``n`` powers, or more, of the base of bytes and of its inverse.  Those for a usual
+    chunk are kept for the stage; a longer text's go when it is done."""
+    make = lambda m: [_powers(BYTE_BASE, m), _powers(_INVERSE, m)]
+    usual = TEXT_BYTES + 1
+    return resident("powers", lambda: make(usual)) if n <= usual else make(n)
 
 
 def ngrams(values: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -74,17 +82,16 @@ def ngrams(values: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.
     bytes, taken from differences of running sums."""
     if not len(values):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    if not _pow or len(_pow[0]) <= len(values):
-        _pow[:] = [_powers(BYTE_BASE, 2 * len(values) + 1), _powers(_INVERSE, 2 * len(values) + 1)]
+    up, down = _byte_powers(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * _pow[0][: len(values)], out=sums[1:])
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
     inside = values != 32
     edge = np.zeros(len(values), bool)  # first byte of a text
     edge[offsets[:-1][np.diff(offsets) > 0]] = True
     starts = np.flatnonzero(inside & (edge | ~np.concatenate([[False], inside[:-1]])))
     final = np.concatenate([edge[1:], [True]])
     ends = np.flatnonzero(inside & (final | ~np.concatenate([inside[1:], [False]]))) + 1
-    words = _mixed((sums[ends] - sums[starts]) * _pow[1][starts])
+    words = _mixed((sums[ends] - sums[starts]) * down[starts])
     at = np.searchsorted(starts, offsets)  # words before each text
     count = np.diff(at)
     grams = np.zeros(len(words), np.uint64)
@@ -246,12 +253,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     @F.arrow_udf("struct<digest binary, size int, bands array<bigint>>")
     def sketch(texts: pa.Array) -> pa.Array:
-        no_model()
         values, offsets = _binary(texts)
         digests, sizes, found = [], [], []
         i, n = 0, len(offsets) - 1
         while i < n:
-            j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 20)))))
+            j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + TEXT_BYTES))))
             grams, first = ngrams(values[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             found.append(signatures(grams, first, bands, per_band))
             own = [np.unique(grams[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
@@ -264,7 +270,6 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     @F.arrow_udf("binary")
     def gram_set(texts: pa.Array) -> pa.Array:
-        no_model()
         values, offsets = _binary(texts)
         cut = zip(offsets[:-1].tolist(), offsets[1:].tolist())
         return pa.array([np.unique(ngrams(values[a:b], np.array([0, b - a]))[0]).tobytes() for a, b in cut], pa.binary())
