@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, digest_index, jaccard, langid, linedup, sharding, urlfilter, warc
+from . import bpe, chat, decontam, digest_index, jaccard, langid, linedup, quality, sharding, urlfilter, warc
 from .stages import held_out, learning_rows, tokenizer_file
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -80,7 +80,14 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"), 16).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_warc_derivatives, op3_ppm_language, op4_template_decontamination, op5_minhash_jaccard, op6_trie_bpe, op7_line_alignment, op8_url_rules, op9_digest_index, op10_jump_shards)}
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every text and whether the rules keep it."""
+    judged = quality.judge(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    told = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop_words", "n_lines"]
+    return judged.select("doc_id", *[f"quality.{c}" for c in told], F.array_join("quality.broken", ",").alias("broken"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_warc_derivatives, op3_ppm_language, op4_template_decontamination, op5_minhash_jaccard, op6_trie_bpe, op7_line_alignment, op8_url_rules, op9_digest_index, op10_jump_shards, op11_quality_rules)}
 
 ORACLE = {
     "op1_chat_perspectives": r"""
@@ -120,4 +127,29 @@ WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOP
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """,
+    "op11_quality_rules": """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+i AS (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM t),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(words[i:i + 7], ' ')) AS n FROM i),
+r AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM h, range(8) AS x(o) WHERE n > 1 GROUP BY doc_id),
+m AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    CAST(len(list_filter(words, lambda x: list_contains(string_split('STOP', ' '), lower(x)))) AS BIGINT) AS n_stop_words,
+    CAST(len(lines) AS BIGINT) AS n_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '^[ \\t]*[-*\u2022\u25cf]'))) AS n_bullets, len(list_filter(lines, lambda x: regexp_matches(x, '(\\.\\.\\.|\u2026)[ \\t\\r]*$'))) AS n_ellipses
+  FROM t LEFT JOIN r USING (doc_id)),
+b AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    array_to_string(list_filter([
+      CASE WHEN n_words < 20 THEN 'too_few_words' END, CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 'repeated_windows' END,
+      CASE WHEN n_words > 1000000 THEN 'too_many_words' END, CASE WHEN 100 * word_chars < 200 * n_words OR 100 * word_chars > 1500 * n_words THEN 'word_length' END,
+      CASE WHEN 100 * n_symbols > 10 * word_chars THEN 'symbols' END, CASE WHEN 100 * n_stop_words < 5 * n_words THEN 'stop_words' END,
+      CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 'duplicate_lines' END, CASE WHEN 100 * n_bullets > 90 * n_lines THEN 'bullet_lines' END,
+      CASE WHEN 100 * n_ellipses > 30 * n_lines THEN 'ellipsis_lines' END], lambda x: x IS NOT NULL), ',') AS broken FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, broken = '' AS kept, n_stop_words, n_lines, broken FROM b
+""".replace("STOP", " ".join(quality.STOP_WORDS)),
 }
