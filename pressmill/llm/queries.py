@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, digest_index, jaccard, langid, linedup, quality, sharding, urlfilter, warc
+from . import bpe, chat, collocations, decontam, digest_index, jaccard, langid, linedup, quality, sharding, urlfilter, warc
 from .stages import held_out, learning_rows, tokenizer_file
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -87,7 +87,12 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"quality.{c}" for c in told], F.array_join("quality.broken", ",").alias("broken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_warc_derivatives, op3_ppm_language, op4_template_decontamination, op5_minhash_jaccard, op6_trie_bpe, op7_line_alignment, op8_url_rules, op9_digest_index, op10_jump_shards, op11_quality_rules)}
+def op12_son_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest 2000 collocations of each language."""
+    return collocations.top(collocations.mine(_read(spark, sf_dir, "documents")), 2000).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_warc_derivatives, op3_ppm_language, op4_template_decontamination, op5_minhash_jaccard, op6_trie_bpe, op7_line_alignment, op8_url_rules, op9_digest_index, op10_jump_shards, op11_quality_rules, op12_son_collocations)}
 
 ORACLE = {
     "op1_chat_perspectives": r"""
@@ -152,4 +157,21 @@ b AS (
       CASE WHEN 100 * n_ellipses > 30 * n_lines THEN 'ellipsis_lines' END], lambda x: x IS NOT NULL), ',') AS broken FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, broken = '' AS kept, n_stop_words, n_lines, broken FROM b
 """.replace("STOP", " ".join(quality.STOP_WORDS)),
+    "op12_son_collocations": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+n AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, range(1, 6) AS x(k) WHERE len(words) >= k),
+f AS (SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS words, f AS a FROM f WHERE k > 1),
+u AS (SELECT lang, phrase, a, words, j, array_to_string(words[1:j], ' ') AS head, array_to_string(words[j + 1:], ' ') AS rest FROM c, range(1, 5) AS x(j) WHERE j < k),
+s AS (
+  SELECT u.lang, u.phrase, u.a, l.f AS l, r.f AS r, n.n, CAST((CAST(1000 AS HUGEINT) * u.a * n.n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score, j
+  FROM u JOIN f l ON l.lang = u.lang AND l.phrase = u.head JOIN f r ON r.lang = u.lang AND r.phrase = u.rest JOIN n ON n.lang = u.lang),
+b AS (SELECT lang, phrase, a, unnest(best) FROM (SELECT lang, phrase, a, arg_min(struct_pack(l := l, r := r, n := n, score := score), struct_pack(score := score, j := j)) AS best FROM s GROUP BY lang, phrase, a)),
+e AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN c AS o ON o.lang = c.lang AND o.a = c.a AND o.k > c.k AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' ')),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b ANTI JOIN e USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, n, score FROM t WHERE rank <= 2000
+""",
 }
