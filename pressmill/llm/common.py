@@ -72,7 +72,7 @@ def scratch_folder(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage, keeps generated ids stable and survives the loss of
@@ -80,7 +80,7 @@ def stored(df: DataFrame) -> DataFrame:
     drops what its result doesn't read (``dropped``); the rest goes with ``clear``."""
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, collocations, decontam, digest_index, jaccard, langid, linedup, quality, sharding, urlfilter, warc
-from .stages import held_out, learning_rows, tokenizer_file
+from . import bpe, chat, collocations, crossalign, decontam, digest_index, jaccard, langid, linedup, quality, sharding, urlfilter, warc
+from .common import stored
+from .stages import held_out, learning_rows, piece_file, tokenizer_file
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -92,7 +93,20 @@ def op12_son_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.top(collocations.mine(_read(spark, sf_dir, "documents")), 2000).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_warc_derivatives, op3_ppm_language, op4_template_decontamination, op5_minhash_jaccard, op6_trie_bpe, op7_line_alignment, op8_url_rules, op9_digest_index, op10_jump_shards, op11_quality_rules, op12_son_collocations)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two tokenizers' tokens meet in every document, with counts of linked ids."""
+    files = tokenizer_file(), piece_file()
+    done = crossalign.align(_read(spark, sf_dir, "documents").select("doc_id", "text"), *files).select("doc_id", "aligned")
+    digest = F.when(F.col("aligned.groups") == "", "").otherwise(F.sha2(F.encode("aligned.groups", "UTF-8"), 256))
+    # Row numbers hold once they are written.
+    kept = stored(done.select(F.monotonically_increasing_id().alias("row"), "doc_id", "aligned.n_a", "aligned.n_b", digest.alias("groups_sha256"), "aligned.links"), compression="zstd")
+    counts = stored(crossalign.pair_counts(kept.select("links"), *files))
+    scored = crossalign.with_counts(kept, counts, *files)
+    n = F.floor(F.octet_length("links") / crossalign.link_bytes(*files)).cast("long")
+    return scored.select("doc_id", "n_a", "n_b", n.alias("n_groups"), n.alias("n_links"), "n_best", "count_sum", "groups_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_warc_derivatives, op3_ppm_language, op4_template_decontamination, op5_minhash_jaccard, op6_trie_bpe, op7_line_alignment, op8_url_rules, op9_digest_index, op10_jump_shards, op11_quality_rules, op12_son_collocations, op13_token_alignment)}
 
 ORACLE = {
     "op1_chat_perspectives": r"""
