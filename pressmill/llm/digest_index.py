@@ -46,11 +46,36 @@ def buckets_for(spark: SparkSession, rows: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
 
 
-class DigestIndex:
-    """An index of digests at ``location``; opening it again, with the number of buckets
-    it was made with, finds what it holds."""
+#: A folder beside the data; Spark's readers pass over names with such a beginning.
+RECORD = "_index"
+
+
+def _record(spark: SparkSession, location: str) -> dict | None:
+    """What the index at ``location`` was made with; null if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(location)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{location}/{RECORD}/_SUCCESS")):
+        return spark.read.schema("buckets int, id_type string").json(f"{location}/{RECORD}").first().asDict()
+    if fs.exists(at) and any(f.getPath().getName().endswith(".parquet") for f in fs.listStatus(at)):
+        raise ValueError(f"{location} has data, but no record of its buckets")
+    return None
 
-    def __init__(self, spark: SparkSession, location: str, buckets: int, id_type: str = "bigint"):
+
+class DigestIndex:
+    """An index of digests at ``location``; opening it again finds what it holds.
+
+    A record beside the data keeps the number of buckets and the type of ids, so neither
+    is asked for again; another number or type raises an error."""
+
+    def __init__(self, spark: SparkSession, location: str, buckets: int | None = None, id_type: str | None = None):
+        made = _record(spark, location)
+        if made is None:
+            made = {"buckets": buckets or buckets_for(spark, 0), "id_type": id_type or "bigint"}
+            spark.range(1).select(*[F.lit(v).alias(k) for k, v in made.items()]).coalesce(1).write.mode("overwrite").json(f"{location}/{RECORD}")
+        asked = {"buckets": buckets, "id_type": id_type}
+        if wrong := [k for k, v in asked.items() if v is not None and v != made[k]]:
+            raise ValueError(", ".join(f"the index at {location} has {k} {made[k]}, not {asked[k]}" for k in wrong))
+        buckets, id_type = made["buckets"], made["id_type"]
         self.spark, self.location, self.buckets, self.id_type = spark, location, buckets, id_type
         self.name = "digest_index_" + uuid.uuid5(uuid.NAMESPACE_URL, location).hex
         spark.sql(

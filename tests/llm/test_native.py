@@ -362,7 +362,7 @@ def test_index_keeps_and_appends(spark):
     index = digest_index.new_index(spark, buckets=4)
     got = sorted(((str(r["doc_id"]), r["keep_id"], r["group_size"], r["kept"]) for r in index.add(df).collect()), key=str)
     assert got == sorted([("1", 2, 3, False), ("2", 2, 3, True), ("3", 3, 1, True), ("4", 5, 2, False), ("5", 5, 2, True), ("6", 6, 1, True), ("7", 7, 2, True), ("7", 7, 2, True), ("None", None, 1, True), ("None", 2, 3, False)], key=str)
-    again = digest_index.DigestIndex(spark, index.location, buckets=4)  # opened anew
+    again = digest_index.DigestIndex(spark, index.location)  # opened anew
     more = spark.createDataFrame([(50, "SAME"), (51, "fresh")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in again.add(more).collect()) == [(50, 2, False), (51, 51, True)]
     assert again.table().count() == 7
@@ -431,3 +431,30 @@ def test_shards_and_slots(spark):
             assert r["size"] == len(t) + 1 and r["text_crc32"] == zlib.crc32(t)
     assert {r["size"] for r in got if r["doc_id"] is None} == {1}
     assert sharding.shard(df.limit(0), 16).count() == 0
+
+
+def test_an_index_knows_its_buckets(spark):
+    """Opened again with another session's default, and with a wrong number."""
+    import pytest
+
+    docs = spark.createDataFrame([(i, f"text {i % 30}") for i in range(40)], "doc_id long, text string")
+    index = digest_index.new_index(spark, buckets=3)
+    assert index.add(docs).filter("kept").count() == 30
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        index.close()  # out of the catalog, as for another session
+        for again in (digest_index.DigestIndex(spark, index.location), digest_index.DigestIndex(spark, index.location, buckets=3, id_type="bigint")):
+            assert again.buckets == 3
+            got = again.add(docs.withColumn("doc_id", F.col("doc_id") + 1000))
+            assert got.count() == 40 and got.filter("kept").count() == 0 and again.table().count() == 30
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for wrong in ({"buckets": 8}, {"id_type": "string"}, {"buckets": 4, "id_type": "bigint"}):
+        with pytest.raises(ValueError, match="the index at"):
+            digest_index.DigestIndex(spark, index.location, **wrong)
+    bare = index.location + "_bare"
+    docs.write.parquet(bare)
+    with pytest.raises(ValueError, match="no record"):
+        digest_index.DigestIndex(spark, bare)
+    again.close(delete=True)
