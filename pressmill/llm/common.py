@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest table, in bytes, that an operator may ask Spark to broadcast.
@@ -44,6 +44,27 @@ def no_model() -> None:
     resident(None, lambda: None)
 
 
+#: Rows of a batch for Python: whole texts go through it, so batches are kept small.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have this session hand texts to Python in batches of at most ``BATCH_ROWS`` rows;
+    a smaller number that is set already stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+#: What Unicode and Python take for white space.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def stripped(text: Column) -> Column:
+    """``text`` without white space at its ends."""
+    return F.btrim(text, F.lit(WHITE))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 

@@ -16,8 +16,8 @@
 
 Only keys and lengths of lines are moved, until texts meet their cuts by their
 sequence of lines: texts stay where they are if the cuts' size lets them be broadcast,
-else both are shuffled.  Lines are compared without white space at their ends, by
-128-bit keys.  In scripts that are written without spaces two letters count as a word.
+else both are shuffled.  Lines are compared without white space (as Unicode has
+it) at their ends, by 128-bit keys.  In scripts that are written without spaces two letters count as a word.
 
 Defined results: a null or empty text is left as it is, and so is a text that
 shares nothing.  Order is by id, nulls last; repeated rows of an id and text are
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, dropped, no_model, stored
+from .common import BROADCAST_BYTES, WHITE, dropped, no_model, stored, stripped
 
 MIN_BLOCK_WORDS = 5
 #: Blocks of scripts that are written without spaces between words (Thai and
@@ -146,12 +146,12 @@ def _lines(text):
 
 
 def _keys(text):
-    return F.transform(_lines(text), lambda x: F.unhex(F.md5(F.trim(x))))
+    return F.transform(_lines(text), lambda x: F.unhex(F.md5(stripped(x))))
 
 
 def _words(text):
     """Words of each line."""
-    count = lambda x: F.when(F.trim(x) == "", 0).otherwise(F.size(F.split(F.trim(x), "\\s+")))
+    count = lambda x: F.when(stripped(x) == "", 0).otherwise(F.size(F.split(stripped(x), f"[{WHITE}]+")))
     letters = lambda x: F.char_length(x) - F.char_length(F.regexp_replace(x, f"[{SPACELESS}]", ""))
     mixed = F.transform(_lines(text), lambda x: count(F.regexp_replace(x, f"[{SPACELESS}]+", " ")) + F.ceil(letters(x) / 2).cast("int"))
     return F.when(text.rlike(f"[{SPACELESS}]"), mixed).otherwise(F.transform(_lines(text), count))
@@ -160,7 +160,7 @@ def _words(text):
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_block_words: int = MIN_BLOCK_WORDS, out_col: str = "deduped") -> DataFrame:
     """``docs`` with a struct ``deduped``: ``text`` (what is left; null stays null),
     ``n_lines``, ``n_deleted``, ``copy_of`` (the id that keeps a wholly equal text)."""
-    seq = lambda t: F.unhex(F.md5(F.array_join(F.transform(_lines(t), lambda x: F.trim(x)), "\n")))
+    seq = lambda t: F.unhex(F.md5(F.array_join(F.transform(_lines(t), stripped), "\n")))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL AND text <> ''")
     rows = rows.select(F.struct(F.col("id").isNull().alias("none"), "id").alias("id"), seq(F.col("text")).alias("seq"), _keys(F.col("text")).alias("keys"), _words(F.col("text")).alias("words"))
     texts = stored(rows.groupBy("seq").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("words").alias("words")))

@@ -112,7 +112,7 @@ def plain_dedup(rows, least=5):
 
     A line that isn't blank goes if it is in a run of lines with ``least`` words or more
     that an earlier text has too; a text equal to an earlier one loses all lines."""
-    keys = [[x.strip(" ") for x in t.split("\n")] if t else [] for _, t in rows]
+    keys = [[x.strip() for x in t.split("\n")] if t else [] for _, t in rows]
     words = lambda x: len(re.findall(r"[\u3040-\u30ff\u4e00-\u9fff]+|[^\s\u3040-\u30ff\u4e00-\u9fff]+", x)) if not re.search(r"[\u3040-\u30ff\u4e00-\u9fff]", x) else len(re.sub(r"[\u3040-\u30ff\u4e00-\u9fff]+", " ", x).split()) + -(-len(re.findall(r"[\u3040-\u30ff\u4e00-\u9fff]", x)) // 2)
     order, first = sorted((i for i in range(len(rows)) if keys[i]), key=lambda i: rows[i][0]), {}
     gone = [set() for _ in rows]
@@ -141,7 +141,7 @@ def plain_dedup(rows, least=5):
 
 
 def lines_left(rows, gone):
-    return sorted(((i, [x for n, x in enumerate(t.split("\n")) if x.strip(" ") and n not in g] if t else []) for (i, t), g in zip(rows, gone)), key=str)
+    return sorted(((i, [x for n, x in enumerate(t.split("\n")) if x.strip() and n not in g] if t else []) for (i, t), g in zip(rows, gone)), key=str)
 
 
 def test_line_dedup_equals_all_pairs(spark):
@@ -159,6 +159,28 @@ def test_line_dedup_equals_all_pairs(spark):
     assert linedup.deduplicate(df.withColumnRenamed("id", "deduped")).columns == ["doc_id", "text", "cut", "deduped"]
 
 
+def test_white_space_of_lines(spark):
+    """Line ends of another kind, tabs and indentation: as str.strip() and str.split() have it."""
+    passage = "one two three four five\nsix seven eight nine ten"
+    rows = [
+        (1, f"unix\n{passage}\nend"), (2, "dos\r\n" + passage.replace("\n", "\r\n") + "\r\nstays\r"), (3, "tabs\n\t" + passage.replace("\n", "\t\n\u00a0\t") + "\u2003\nthree"),
+        (4, "a\n\t\n\t\n\t\nb"), (5, "c\n\t\n\t\n\t\nd"), (6, "e\n  one\n  two\n  three\nf"), (7, "g\n\tone\n\ttwo\n\tthree\nh"), (8, "i\n \u3000 \n\x1f\n\x85\nj"), (9, "k\n \u3000 \n\x1f\n\x85\nl"),
+    ]
+    got = [(r["doc_id"], r["deduped"]["text"]) for r in linedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert lines_left(got, [()] * len(got)) == lines_left(rows, plain_dedup(rows))
+    left = dict(got)
+    assert left[2] == "dos\r\nstays\r" and left[3] == "tabs\nthree"
+    assert all(left[i] == t for i, t in rows if i not in (2, 3))
+
+
+def test_hot_runs_by_broadcast_give_the_same(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = sorted(linedup.deduplicate(docs).select("doc_id", "deduped.text").collect())
+    monkeypatch.setattr(linedup, "HOT_TEXTS", 2)
+    monkeypatch.setattr(linedup, "HOT_PART", 10**9)
+    assert sorted(linedup.deduplicate(docs).select("doc_id", "deduped.text").collect()) == want
+
+
 def test_line_dedup_by_shuffle_gives_the_same(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = sorted(linedup.deduplicate(docs).select("doc_id", "deduped.text").collect())
