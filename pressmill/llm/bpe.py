@@ -278,7 +278,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 #: Characters whose new words go through the trie together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _packed(vocab: Vocabulary, texts: pa.Array) -> Iterator[list[bytes]]:

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, collocations, crossalign, decontam, digest_index, jaccard, langid, linedup, quality, sharding, urlfilter, warc
-from .common import stored
+from .common import small_batches, stored
 from .stages import held_out, learning_rows, piece_file, tokenizer_file
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

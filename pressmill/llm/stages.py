@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, jaccard, langid, linedup
-from .common import fresh, stored
+from .common import fresh, small_batches, stored, stripped
 
 #: A text whose best language is less sure than this is rejected.
 MIN_SCORE = 0.3
@@ -35,6 +35,7 @@ def piece_file() -> str:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or a language that can be told."""
+    small_batches(spark)
     counts = langid.fit(learning_rows(docs))
     own = fresh("_language", docs.columns)
     judged = langid.identify(docs, counts, out_col=own)
@@ -46,40 +47,44 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = fresh("_deduped", docs.columns)
     done = linedup.deduplicate(docs, out_col=own)
     changed = F.col(f"{own}.n_deleted") > 0
-    done = done.filter(~changed | (F.trim(f"{own}.text") != ""))
+    done = done.filter(~changed | (stripped(F.col(f"{own}.text")) != ""))
     new = {"text": F.col(f"{own}.text"), "n_chars": F.char_length(f"{own}.text").cast("long")}
     return done.select(*[F.when(changed, new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in docs.columns])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_key``, which tells different texts of one id, or of null ids,
-    apart and sorts by id, nulls last."""
-    return docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with a key, which tells different texts of one id, or of null ids, apart
+    and sorts by id, nulls last; its name, and another one that ``docs`` doesn't have."""
+    key = fresh("_key", docs.columns)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"))
+    return docs.withColumn(key, own), key, fresh("_other_key", docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies, nulls
     last; one text, if several have that id."""
-    keyed = _keyed(docs)
-    found = stored(jaccard.similar(keyed, id_col="_key").filter("n_links > 0").select(F.col("doc_id").alias("d_key"), "class_id"))
-    drop = found.filter("d_key <> class_id").select("d_key").distinct()
-    kept = keyed.join(drop, F.col("_key") == F.col("d_key"), "left_anti")
-    again = found.filter("d_key = class_id").groupBy("d_key").count().filter("count > 1").select("d_key")
+    small_batches(spark)
+    keyed, key, other = _keyed(docs)
+    found = stored(jaccard.similar(keyed, id_col=key).filter("n_links > 0").select(F.col("doc_id").alias(other), "class_id"))
+    drop = found.filter(F.col(other) != F.col("class_id")).select(other).distinct()
+    kept = keyed.join(drop, F.col(key) == F.col(other), "left_anti")
+    again = found.filter(F.col(other) == F.col("class_id")).groupBy(other).count().filter("count > 1").select(other)
     if not again.isEmpty():  # equal rows: one of each stays
-        one = kept.join(again, F.col("_key") == F.col("d_key"), "left_semi").dropDuplicates(["_key"])
-        kept = kept.join(again, F.col("_key") == F.col("d_key"), "left_anti").union(one)
+        one = kept.join(again, F.col(key) == F.col(other), "left_semi").dropDuplicates([key])
+        kept = kept.join(again, F.col(key) == F.col(other), "left_anti").union(one)
     return kept.select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    keyed = _keyed(docs)
-    bad = decontam.leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key").select(F.col("doc_id").alias("d_key")).distinct()
-    return keyed.join(bad, F.col("_key") == F.col("d_key"), "left_anti").select(docs.columns)
+    keyed, key, other = _keyed(docs)
+    bad = decontam.leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key).select(F.col("doc_id").alias(other)).distinct()
+    return keyed.join(bad, F.col(key) == F.col(other), "left_anti").select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed) of each document, with digests of ids and decoded text."""
+    small_batches(spark)
     done = docs.select("doc_id", "lang", "source", bpe.round_trip(F.col("text"), tokenizer_file()).alias("done"))
     return done.select(
         "doc_id", "lang", "source", F.col("done.ids").alias("token_ids"), (F.octet_length("done.ids") / 4).cast("long").alias("n_tokens"),

@@ -66,3 +66,23 @@ def test_texts_without_an_id_of_their_own_are_judged_alone(spark):
     assert near == sorted([r for n, r in enumerate(rows) if n not in (2, 5, 7)], key=str)
     clean = sorted(((r["doc_id"], r["text"]) for r in stages.decontaminate(spark, docs, SF).collect()), key=str)
     assert clean == sorted(rows[:9], key=str)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    text = "\n".join(f"some quite different words of line {i} and of text %d" for i in range(8))
+    names = ["_key", "d_key", "_other_key", "_language", "_deduped", "text_", "item_id"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    rows = [(i, text.replace("%d", str(i)), "en", "s", len(text), *[f"{n}{i}" for n in names]) for i in range(12)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        assert all([r[n] for n in names] == [f"{n}{r['doc_id']}" for n in names] for r in got.collect()), name
+
+
+def test_only_white_space_left_is_dropped(spark):
+    block = "one two three four five six\nseven eight nine ten"
+    rows = [(1, block), (2, f"\t\n{block}\n\n\u00a0\r"), (3, f"\t\n{block}\nmore"), (4, "\n\t")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in stages.line_dedup(spark, docs, SF).collect()}
+    assert got == {1: block, 3: "\t\nmore", 4: "\n\t"}
