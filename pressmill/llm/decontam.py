@@ -1,11 +1,14 @@
 """Benchmark decontamination by canonical templates.
 
-A text becomes a sequence of template tokens.  Numbers, names (capitalised words
-after another word or a comma, so not those that open a sentence) and units (after
-a number, with or without white space) become typed placeholders; other words are
-lowered.  Capitalised words elsewhere, which may be names that open a sentence, are
-taken as words in one variant of a text and as names in another; windows are met in
-any variant, and of the second only those that differ are looked at.  Windows of ``k``
+A text becomes a sequence of template tokens.  Numbers (in digits or in words of a
+table), names (capitalised words after another word or a comma, so not those that open
+a sentence) and units (after a number, with or without white space) become typed
+placeholders; other words are lowered.  Capitalised words elsewhere, which may be names
+that open a sentence, are taken as words in one variant of a text and as names in
+another, and a third variant takes no word as a name, so a copy in other cases (all in
+capitals, say) still meets its text; windows are met in any variant, and of the second
+and third only those that differ are looked at.  Items whose templates and slots are
+alike in every variant are one class, looked for once under its smallest id.  Windows of ``k``
 template tokens of documents are hash-joined with those of the benchmark, so a
 question with other numbers or names still meets its template.  Where a document
 covers enough of an item, its matches are grouped by occurrence: by where the item
@@ -15,7 +18,8 @@ in or left out don't part an occurrence and two versions are never in one step;
 all together, for items that are dispersed.  An occurrence must cover enough, or
 ``min_run`` windows of the item one after another without a word put in, and the
 values in its slots must correspond one to one (the same benchmark value always has
-the same document value and the reverse), or it is not the same question.  A
+the same document value and the reverse), or it is not the same question.  Numbers in
+digits and in words are different values of one slot.  A
 document is reported by its best occurrence if any passes.
 
 The windows of all documents stream past a broadcast of the benchmark's windows
@@ -46,6 +50,13 @@ MIN_RUN = 18
 #: Units of measure and money.
 UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "min", "h", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "meters", "metres", "miles", "feet", "inches", "dollars", "euros", "cents", "percent", "degrees", "pounds", "liters", "litres"]
 NUMBER, NAME, UNIT, OPENER = "\u0001", "\u0002", "\u0003", "\u0004"
+#: Numbers in words, by language (``one`` and its like where it isn't an article).
+NUMBER_WORDS = {
+    "en": "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split(),
+    "de": "null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend".split(),
+    "fr": "zéro deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille".split(),
+    "es": "cero dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil".split(),
+}
 DIGITS = "\\p{N}+(?:[.,]\\p{N}+)*"
 WORD = "\\p{L}\\p{M}\\p{N}\u0001-\u0004"
 
@@ -56,51 +67,93 @@ def _once(df: DataFrame, keys: list[str], **columns: Column) -> DataFrame:
     return df.select(*keys, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def _marked(text: Column, values: bool) -> Column:
-    """The text, lowered, with a mark for each number, name and unit; with
-    ``values`` what a mark stands for follows it, else it is left out.  Other
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words whatever their case, told apart by first letters."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words), key=lambda w: (-len(w), w)):
+        heads.setdefault(w[0], []).append(w[1:])
+    return "(?iu:" + "|".join(f"{h}(?:{'|'.join(rest)})" for h, rest in heads.items()) + ")"
+
+
+def _marked(text: Column, values: bool, number_words: list[str]) -> Column:
+    """The text, lowered, with a mark for each number, name and unit.  The name follows its
+    mark, and with ``values`` numbers and units do, too, else they are left out.  Other
     capitalised words have a mark before them in any case."""
-    held = "$0" if values else ""
     text = F.regexp_replace(F.coalesce(text, F.lit("")), "\\s+", " ")
-    text = F.regexp_replace(text, "(?<=[\\p{L}\\p{N},;:] )\\p{Lu}[\\p{L}\\p{M}]*", NAME + held)
-    text = F.regexp_replace(text, f"(?<![\\p{{L}}\\p{{M}}\\p{{N}}{NAME}])\\p{{Lu}}[\\p{{L}}\\p{{M}}]*", OPENER + "$0")
-    text = F.regexp_replace(text, DIGITS, NUMBER + held)
-    after = f"({NUMBER}{DIGITS if values else ''}) ?({'|'.join(UNITS)})(?![{WORD}])"
-    return F.lower(F.regexp_replace(text, after, f"$1 {UNIT}{'$2' if values else ''}"))
+    in_words = f"{NUMBER}[\\p{{L}}\\p{{M}}]+"
+    if number_words:
+        text = F.regexp_replace(text, f"(?<![{WORD}]){_any_of(number_words)}(?![{WORD}])", NUMBER + "$0")
+        text = F.regexp_replace(text, f"(?<={NUMBER}[\\p{{L}}\\p{{M}}]{{2,20}})[ -]{NUMBER}", "")  # forty-two is one number
+        text = text if values else F.regexp_replace(text, in_words, NUMBER)
+    text = F.regexp_replace(text, DIGITS, NUMBER + ("$0" if values else ""))
+    number = f"(?:{NUMBER}{DIGITS}|{in_words})" if values else NUMBER
+    text = F.regexp_replace(text, f"({number}) ?((?i:{'|'.join(UNITS)}))(?![{WORD}])", f"$1 {UNIT}{'$2' if values else ''}")
+    text = F.regexp_replace(text, f"(?<=[\\p{{L}}\\p{{N}}{NUMBER}{UNIT},;:] )\\p{{Lu}}[\\p{{L}}\\p{{M}}]*", NAME + "$0")
+    return F.lower(F.regexp_replace(text, f"(?<![\\p{{L}}\\p{{M}}\\p{{N}}{NUMBER}-{UNIT}])\\p{{Lu}}[\\p{{L}}\\p{{M}}]*", OPENER + "$0"))
 
 
-def _as_word(token: Column) -> Column:
-    return F.replace(token, F.lit(OPENER), F.lit(""))
+#: The variants of a text: what becomes of the marks of names and of openers.
+VARIANTS = [(NAME, ""), (NAME, NAME), ("", "")]
 
 
-def _templates(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` and the hashes of the template tokens of ``text``, ``codes`` with openers
-    as words and ``named`` with openers as names (null if there are none)."""
-    tokens = _once(df, keys, tokens=F.split(_marked(F.col("text"), False), f"[^{WORD}]+"))
+def _templates(df: DataFrame, keys: list[str], number_words: list[str]) -> DataFrame:
+    """``keys`` and the hashes of the template tokens of ``text``: ``codes`` with openers as
+    words, ``named`` with openers as names and ``flat`` without names (null if there is
+    nothing that would differ)."""
+    tokens = _once(df, keys, tokens=F.split(_marked(F.col("text"), False, number_words), f"[^{WORD}]+"))
     tokens = _once(tokens, keys, tokens=F.array_remove("tokens", ""))
-    opens = lambda x: F.startswith(x, F.lit(OPENER))
-    as_name = lambda x: F.regexp_replace(x, f"{OPENER}[\\p{{L}}\\p{{M}}]+", NAME)
-    named = F.when(F.exists("tokens", opens), F.transform("tokens", lambda x: F.xxhash64(F.when(opens(x), as_name(x)).otherwise(x))))
-    return _once(tokens, keys, codes=F.transform("tokens", lambda x: F.xxhash64(F.when(opens(x), _as_word(x)).otherwise(x))), named=named)
+    has = lambda mark: lambda x: F.startswith(x, F.lit(mark))
+    bare = lambda x: F.translate(x, NAME + OPENER, "")
+    as_name = F.xxhash64(F.lit(NAME))
+    codes = F.transform("tokens", lambda x: F.when(has(NAME)(x), as_name).when(has(OPENER)(x), F.xxhash64(bare(x))).otherwise(F.xxhash64(x)))
+    named = F.transform("tokens", lambda x: F.when(has(NAME)(x) | has(OPENER)(x), as_name).otherwise(F.xxhash64(x)))
+    flat = F.transform("tokens", lambda x: F.when(has(NAME)(x) | has(OPENER)(x), F.xxhash64(bare(x))).otherwise(F.xxhash64(x)))
+    return _once(tokens, keys, codes=codes, named=F.when(F.exists("tokens", has(OPENER)), named), flat=F.when(F.exists("tokens", has(NAME)), flat))
 
 
-def _slotted(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, ``codes`` as before, ``slots`` (a token that holds a value, else an empty
-    string) and ``words`` (1 for a token without a value), all equally long; a row with
-    openers as words, and if there are any, one with openers as names."""
+def _slotted(df: DataFrame, keys: list[str], number_words: list[str]) -> DataFrame:
+    """``keys``, ``variant`` (see ``VARIANTS``), ``codes`` as before, ``slots`` (a token that
+    holds a value, else an empty string), ``words`` (1 for a token without a value) and
+    ``bare`` (tokens without marks), all equally long; a row for each variant of a text
+    that differs from the first."""
     cut = f"(?:[^{WORD}.,]|[.,](?!\\p{{N}}))+"
-    tokens = _once(df, keys, tokens=F.split(_marked(F.col("text"), True), cut))
+    tokens = _once(df, keys, tokens=F.split(_marked(F.col("text"), True, number_words), cut))
     tokens = _once(tokens, keys, tokens=F.array_remove("tokens", ""))
-    words, names = F.transform("tokens", _as_word), F.transform("tokens", lambda x: F.replace(x, F.lit(OPENER), F.lit(NAME)))
-    tokens = tokens.select(*keys, F.explode(F.array_distinct(F.array(words, names))).alias("tokens"))
-    template = lambda x: F.regexp_replace(F.regexp_replace(x, NUMBER + DIGITS, NUMBER), f"([{NAME}{UNIT}])[\\p{{L}}\\p{{M}}]+", "$1")
+    variant = lambda name, opener: F.transform("tokens", lambda x: F.replace(F.replace(x, F.lit(NAME), F.lit(name)), F.lit(OPENER), F.lit(opener)))
+    there = [F.lit(True), *[F.contains(F.array_join("tokens", ""), F.lit(mark)) for mark in (OPENER, NAME)]]
+    variants = [F.when(own, F.struct(F.lit(n).alias("variant"), variant(*v).alias("tokens"))) for n, (own, v) in enumerate(zip(there, VARIANTS))]
+    tokens = tokens.select(*keys, F.inline(F.array_compact(F.array(*variants))))
+    template = lambda x: F.regexp_replace(F.regexp_replace(x, f"{NUMBER}(?:{DIGITS}|[\\p{{L}}\\p{{M}}]+)", NUMBER), f"([{NAME}{UNIT}])[\\p{{L}}\\p{{M}}]+", "$1")
     held = lambda x: x.rlike(f"[{NUMBER}-{UNIT}]")
     return _once(
-        tokens, keys, codes=F.transform("tokens", lambda x: F.xxhash64(template(x))), slots=F.transform("tokens", lambda x: F.when(held(x), x).otherwise("")),
-        words=F.transform("tokens", lambda x: F.when(held(x), 0).otherwise(1)),
+        tokens, [*keys, "variant"], codes=F.transform("tokens", lambda x: F.xxhash64(template(x))), slots=F.transform("tokens", lambda x: F.when(held(x), x).otherwise("")),
+        words=F.transform("tokens", lambda x: F.when(held(x), 0).otherwise(1)), bare=F.transform("tokens", lambda x: F.translate(x, NUMBER + NAME + UNIT, "")),
     )
 
 
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str, number_words: dict[str, list[str]]) -> DataFrame:
+    """The items' variants, with ``values`` for slots as they stand and for each slot in
+    ``slots`` the place where its value comes first, which items of a class and all
+    variants of an item share."""
+    words = [w for own in number_words.values() for w in own]
+    items = _slotted(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).distinct(), ["item_id"], words)
+    place = F.transform("slots", lambda x, i: F.when(x == "", "").otherwise(F.array_position("bare", F.get("bare", i)).cast("string")))
+    return items.select("item_id", "variant", "codes", F.col("slots").alias("values"), place.alias("slots"), "words")
+
+
+def _classes(items: DataFrame) -> DataFrame:
+    """``item_id, class_id``: items with the same templates, whose slots share values alike."""
+    own = F.md5(F.concat_ws(",", F.col("variant").cast("string"), F.transform("codes", lambda x: x.cast("string")), F.lit("/"), "slots"))
+    keyed = items.filter(F.col("variant") < 2).groupBy("item_id").agg(F.md5(F.array_join(F.array_sort(F.collect_set(own)), "/")).alias("key"))
+    least = keyed.groupBy("key").agg(F.min("item_id").alias("class_id"))
+    return keyed.join(least, "key").select("item_id", "class_id")
+
+
+def item_classes(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", number_words: dict[str, list[str]] = NUMBER_WORDS) -> DataFrame:
+    """``item_id, class_id`` of every benchmark item: the id under which ``leaks`` names it."""
+    return _classes(_items(benchmark, item_col, item_text_col, number_words))
+
+
 def _hashes(df: DataFrame, keys: list[str], codes: list[str], size: int) -> DataFrame:
     """``keys`` and, in place of each column of ``codes``, the hashes of all its windows of
     ``size`` codes, in order.
@@ -137,11 +190,19 @@ def _same(a: DataFrame, b: DataFrame, *columns: str) -> Column:
     return on
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = K, min_literals: int = MIN_LITERALS, min_coverage: float = MIN_COVERAGE, min_consistency: float = MIN_CONSISTENCY, min_run: int = MIN_RUN) -> DataFrame:
-    """A row for each document and item found in it: ``doc_id, item_id, n_windows,
-    item_windows, coverage, n_slots, changed_slots, consistency``."""
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = K, min_literals: int = MIN_LITERALS, min_coverage: float = MIN_COVERAGE, min_consistency: float = MIN_CONSISTENCY, min_run: int = MIN_RUN, number_words: dict[str, list[str]] = NUMBER_WORDS) -> DataFrame:
+    """A row for each document and class of items found in it: ``doc_id, item_id`` (the
+    smallest of the class, see ``item_classes``), ``n_windows, item_windows, coverage,
+    n_slots, changed_slots`` (other values than that item has) and ``consistency``."""
+    words = [w for own in number_words.values() for w in own]
     docs = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")).alias("doc_id"), F.col(text_col).alias("text"))
-    items = _slotted(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).distinct(), ["item_id"])
+    items = stored(_items(benchmark, item_col, item_text_col, number_words))
+    classes = _classes(items).withColumnRenamed("item_id", "member_id")
+    # Names are words in the third variant, so each member has its own.
+    items = items.join(classes, F.col("item_id").eqNullSafe(F.col("member_id"))).filter(F.col("item_id").eqNullSafe(F.col("class_id")) | (F.col("variant") == 2))
+    items = stored(items.select(F.col("class_id").alias("item_id"), F.col("item_id").eqNullSafe(F.col("class_id")).alias("own"), "codes", "values", "slots", "words"))
+    told = items.filter("own").select("item_id", F.explode(F.arrays_zip(F.col("slots").alias("b"), F.col("values").alias("value"))).alias("s")).select("item_id", "s.*").filter("b <> ''")
+    told = told.groupBy("item_id", "b").agg(F.min("value").alias("value"))  # one value a slot
     sizes = [r[0] for r in items.select(F.least(F.size("codes"), F.lit(k)).alias("n")).filter("n > 0").distinct().sort("n").collect()] or [k]  # at most k
     literals = F.aggregate("words", F.lit(0), lambda a, x: a + x)
     of_items = stored(
@@ -153,13 +214,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     side = F.broadcast if size_of <= BROADCAST_BYTES else (lambda df: df)
 
     # 1. Which documents cover enough windows of an item?
-    hashed = _templates(docs, ["doc_id"])
+    hashed, none = _templates(docs, ["doc_id"], words), F.array().cast("array<bigint>")
     for size in sizes:  # one pass over a text for all sizes of windows
         own = [c for c in hashed.columns if c.startswith("of_")]
-        copy = {"c": F.col("codes"), "n": F.col("named")}
-        step = _hashes(hashed.withColumns(copy), ["doc_id", "codes", "named", *own], list(copy), size)
-        other = F.filter("n", lambda x, i: x != F.get("c", i))
-        hashed = step.select("doc_id", "codes", "named", *own, F.concat("c", F.coalesce(other, F.array().cast("array<bigint>"))).alias(f"of_{size}"))
+        copy = {"c": F.col("codes"), "n": F.col("named"), "f": F.col("flat")}
+        step = _hashes(hashed.withColumns(copy), ["doc_id", "codes", "named", "flat", *own], list(copy), size)
+        other = [F.coalesce(F.filter(c, lambda x, i: x != F.get("c", i)), none) for c in ("n", "f")]
+        hashed = step.select("doc_id", "codes", "named", "flat", *own, F.concat("c", *other).alias(f"of_{size}"))
     windows = hashed.select("doc_id", F.explode(F.concat(*[F.col(f"of_{size}") for size in sizes])).alias("h"))
     met = windows.join(side(of_items.select("item_id", "b_pos", "b_h").distinct()), F.col("h") == F.col("b_h")).select("doc_id", "item_id", "b_pos")
     covered = met.groupBy("doc_id", "item_id").agg(F.countDistinct("b_pos").alias("n_windows"))
@@ -172,7 +233,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     suspects = covered.select("doc_id").distinct()
     few = suspects.count() * 64 <= BROADCAST_BYTES
     texts = docs.join(F.broadcast(suspects) if few else suspects, _same(docs, suspects, "doc_id"), "left_semi")
-    found = _detailed(_slotted(texts, ["doc_id"]), ["doc_id"], sizes, False).drop("words")
+    found = _detailed(_slotted(texts, ["doc_id"], words).drop("variant", "bare"), ["doc_id"], sizes, False).drop("words")
     found = found.withColumnRenamed("slots", "d_slots")
     hits = found.join(side(of_items), (F.col("h") == F.col("b_h")) & (F.col("size") == F.col("b_size")))
     values = F.filter(F.arrays_zip(F.col("b_slots").alias("b"), F.col("d_slots").alias("d")), lambda s: s["b"] != "")
@@ -193,8 +254,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     one = pairs.groupBy(*keys, "b").agg(F.count("*").alias("n"), F.min("d").alias("d"))
     back = pairs.groupBy(*keys, "d").agg(F.count("*").alias("m"))
     slots = (
-        one.join(back, _same(one, back, *keys, "d"), "left")
-        .select(*[one[c] for c in keys], ((F.col("n") == 1) & (F.col("m") == 1)).alias("fits"), (one["d"] != one["b"]).alias("changed"))
+        one.join(back, _same(one, back, *keys, "d"), "left").join(side(told), _same(one, told, "item_id", "b"), "left")
+        .select(*[one[c] for c in keys], ((F.col("n") == 1) & (F.col("m") == 1)).alias("fits"), (one["d"] != F.col("value")).alias("changed"))
         .groupBy(*keys).agg(F.count("*").alias("n_slots"), F.count_if("changed").alias("changed_slots"), F.count_if("fits").alias("fitting"))
     )
     out = occurrences.join(slots, _same(occurrences, slots, *keys), "left").select(

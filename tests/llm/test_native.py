@@ -222,6 +222,30 @@ def test_several_versions_in_one_text_are_found(spark):
     assert got[1, 10]["changed_slots"] == 0 == got[2, 10]["changed_slots"] and got[1, 11]["coverage"] == 1.0
 
 
+def test_items_of_one_template_are_found_once(spark):
+    """Ten items of a template and twenty documents of it: twenty rows and ten members."""
+    item = lambda i: QUESTION.replace("Alice", f"A{'bcdefghijk'[i % 10]}").replace("12", str(50 + i)).replace(" 7 ", f" {i + 20} ")
+    bench = spark.createDataFrame([(i, item(i)) for i in range(10)] + [(90, item(3).replace("53", "23"))], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"Before it. {item(i)} After.") for i in range(20)], "doc_id long, text string")
+    got = [(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench).collect()]
+    members = {r["item_id"]: r["class_id"] for r in decontam.item_classes(bench).collect()}
+    assert members == {i: 0 for i in range(10)} | {90: 90}  # 90 has one value in two slots
+    assert sorted(g for g in got if g[1] == 0) == [(i, 0) for i in range(20)] and len(got) == len(set(got))
+
+
+def test_written_numbers_and_other_cases_are_found(spark):
+    text = "a farmer has seven cows and sells three of them to each of two friends, so how many cows are left in the forty-two barns?"
+    docs = [
+        (1, text.replace("seven", "eight").replace("forty-two", "ninety nine")), (2, text.replace("seven", "7").replace("forty-two", "42")), (3, text.upper()), (4, QUESTION.upper()), (5, QUESTION.lower()), (6, QUESTION.title()),
+        (7, QUESTION.replace("12 km", "twelve km").replace(" 7 ", " Thirty-Five ")), (8, text.replace("cows", "pigs").replace("farmer", "smith").replace("sells", "eats")), (9, text.replace("seven", "three").replace("three of", "one of")),
+    ]
+    bench = spark.createDataFrame([(10, text), (11, QUESTION)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 10), (2, 10), (3, 10), (4, 11), (5, 11), (6, 11), (7, 11), (9, 10)} == plain_leaks(docs, [(10, text), (11, QUESTION)])
+    none = {r["doc_id"] for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench, number_words={}).collect()}
+    assert {3, 4, 5, 6} <= none
+
+
 def test_opening_names_units_and_long_runs_are_found(spark):
     names = "Tom has 5 apples. Sue gives Tom 3 apples. How many apples has Tom now?"
     long = " ".join(f"{c}{d}" for c in ("ba", "ce", "di", "fo", "gu") for d in ("lm", "nt", "rs", "vx", "zk", "pq", "hj", "st", "kl", "mn", "wr", "tt", "ss", "ll"))
@@ -231,36 +255,51 @@ def test_opening_names_units_and_long_runs_are_found(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench).collect()} == {(1, 10), (2, 11), (3, 12)}
 
 
+ALL_NUMBERS = {w for own in decontam.NUMBER_WORDS.values() for w in own}
+
+
 @functools.lru_cache(maxsize=None)
-def plain_tokens(text, openers):
+def plain_tokens(text, openers, names=True):
     """Tokens as (template, value or None)."""
     import regex
 
-    out, t = [], " ".join((text or "").split())
+    out, t, number = [], " ".join((text or "").split()), False
     for m in regex.finditer(r"(?P<num>\p{N}+(?:[.,]\p{N}+)*)|(?P<word>[\p{L}\p{M}]+)", t):
         word, at = m[0], m.start()
         if m["num"]:
             out.append(("#", word))
+            number = False
             continue
         before = t[max(0, at - 2) : at]
-        cap = bool(regex.match(r"\p{Lu}", word))
-        if cap and (regex.search(r"[\p{L}\p{N},;:] $", before) or (openers and not regex.search(r"[\p{L}\p{M}\p{N}]$", before))):
+        alone = not regex.search(r"\p{N}$", before) and not regex.match(r"\p{N}", t[m.end() :])
+        if word.lower() in ALL_NUMBERS and alone:
+            if number and before[-1:] in (" ", "-") and regex.search(r"\p{L}.$", before):
+                out[-1] = ("#", out[-1][1] + word.lower())
+            else:
+                out.append(("#", word.lower()))
+            number = True
+            continue
+        if word.lower() in decontam.UNITS and (regex.search(r"\p{N} ?$", before) or number and regex.search(r"\p{L} $", before)) and not regex.match(r"[\p{N}]", t[m.end() :]):
+            out.append(("%", word.lower()))
+        elif names and regex.match(r"\p{Lu}", word) and (regex.search(r"[\p{L}\p{N},;:] $", before) or (openers and not regex.search(r"[\p{L}\p{M}\p{N}]$", before))):
             out.append(("@", word.lower()))
-        elif word in decontam.UNITS and regex.search(r"\p{N} ?$", before) and not regex.match(r"[\p{N}]", t[m.end() :]):
-            out.append(("%", word))
         else:
             out.append((word.lower(), None))
+        number = False
     return out
 
 
+PLAIN_VARIANTS = [(False, True), (True, True), (True, False)]
+
+
 def plain_leaks(docs, bench):
     """Items by document: windows, occurrences and slots by plain loops."""
     found = set()
     windows = lambda toks, n: [(i, tuple(x for x, _ in toks[i : i + n]), toks[i : i + n]) for i in range(len(toks) - n + 1)]
     for item, text in bench:
         held = {}
-        for openers in (False, True):
-            toks = plain_tokens(text, openers)
+        for variant in PLAIN_VARIANTS:
+            toks = plain_tokens(text, *variant)
             n = min(len(toks), decontam.K)
             for i, key, part in windows(toks, n) if n else []:
                 if sum(v is None for _, v in part) >= min(decontam.MIN_LITERALS, n):
@@ -271,8 +310,8 @@ def plain_leaks(docs, bench):
         width = max(places) - min(places) + 1
         for doc, body in docs:
             hits = []
-            for openers in (False, True):
-                for i, key, part in windows(plain_tokens(body, openers), n):
+            for variant in PLAIN_VARIANTS:
+                for i, key, part in windows(plain_tokens(body, *variant), n):
                     hits += [(b, i - b, [(x[1], y[1]) for x, y in zip(want, part) if x[1] is not None]) for b, want in held.get(key, [])]
             for way in (lambda s: ("all",), lambda s: ("at", s), lambda s: ("even", s // width), lambda s: ("odd", (s + width // 2) // width)):
                 for place in {way(s) for _, s, _ in hits}:
@@ -300,9 +339,14 @@ def test_leaks_equal_a_plain_matcher(spark):
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(9101, QUESTION), (9102, names), (9103, other), (9104, "five words that stand here"), (9105, "7 8 9"), (9106, None), (9107, "Tom5 has 3.5 kg, Ann 4kg of O'Neil's")]
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + extra
     table = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string").repartition(4)
+    items = {}
+    for r in decontam.item_classes(table(bench, "item_id")).collect():
+        items.setdefault(r["class_id"], []).append(r["item_id"])
     got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(table(docs, "doc_id"), table(bench, "item_id")).collect()}
-    assert got == plain_leaks(docs, bench)
-    assert {(9001, 9101), (9002, 9101), (9002, 9103), (9004, 9102), (9005, 9102), (9006, 9101)} <= got and not {d for d, _ in got} & {9003, 9008, 9009}
+    assert {(d, i) for d, c in got for i in items[c]} == plain_leaks(docs, bench)
+    assert items[9101] == [9101, 9103] or items[9101] == [9103, 9101]
+    assert {(9001, 9101), (9002, 9101), (9002, 9103), (9004, 9102), (9005, 9102), (9006, 9101)} <= {(d, i) for d, c in got for i in items[c]} and not {d for d, _ in got} & {9003, 9008, 9009}
+    assert (9013, 9102) in got
 
 
 def test_planted_passages_are_found(spark):
