@@ -1,7 +1,7 @@
 """Frequent word phrases and how strongly their words hold together, by SON partitioning.
 
-1. Words are counted by language.  The corpus is cut into shards: each task takes its
-   rows as they come, and closes a shard when its words or its vocabulary reach a bound.
+1. Words are counted by language.  The corpus is cut into shards, the rows of one task
+   each; a task that is given far more than its share cuts them again.
 2. Each shard is mined completely at local support: a phrase of a shard with ``n_i`` of
    the language's ``n`` words needs ``min_count * n_i / n`` occurrences there, rounded
    up.  A phrase with ``min_count`` in all must reach that in some shard.  The miner goes
@@ -35,13 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import no_model, stored
+from .common import _give_back, no_model, stored
 
 MIN_COUNT, MAX_WORDS = 100, 5
-LOCAL_SUPPORT = 8
-MAX_SHARD_WORDS, MAX_SHARD_VOCABULARY = 16_000_000, 128 << 20
+LOCAL_SUPPORT = 16
+MAX_SHARD_WORDS = 24_000_000
+#: A task that gets far more than its share closes a shard at so many words or bytes of
+#: different words, and begins another one.
+TASK_WORDS, TASK_VOCABULARY = 2 * MAX_SHARD_WORDS, 400 << 20
 #: Keys that are sorted at a time; bytes of phrases in a block of candidates.
-ROUND, BLOCK_BYTES = 1 << 22, 24 << 20
+ROUND, BLOCK_BYTES = 1 << 21, 24 << 20
 UNKNOWN = "und"
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 _BREAK = b"."  # stands for all of them, since no word has it
@@ -72,20 +75,40 @@ class _Ids(dict):
         return n
 
 
-def _ranked(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs of numbers at the same place: a number for the pair at each place, or -1
-    if it occurs fewer than ``least`` times, and the first place of each number."""
-    out, firsts, done = np.full(len(a), -1, np.int32), [], 0
-    ends = np.cumsum(np.bincount(a)) if len(a) else np.zeros(0, np.int64)
-    low = 0
-    while low < len(ends):
+def _slices(n: int, most: int = 1 << 20) -> Iterator[slice]:
+    return (slice(low, min(low + most, n)) for low in range(0, n, most))
+
+
+def _sizes(seq: np.ndarray, count: int) -> np.ndarray:
+    """How often each number from 0 on occurs; -1 is left out."""
+    out = np.zeros(count + 1, np.int64)
+    for part in _slices(len(seq)):
+        out += np.bincount(seq[part] + 1, minlength=count + 1)
+    return out[1:]
+
+
+def extended(now: np.ndarray, least: int, round_keys: int = ROUND) -> tuple[np.ndarray, np.ndarray]:
+    """One level up: for each place a number for the pair of what stands there and next
+    to it, or -1 if that pair occurs fewer than ``least`` times, and a place of each number.
+
+    Pairs are sorted in rounds by their first number, so memory follows ``round_keys`` and
+    4 bytes a place."""
+    out, firsts, done = np.full(len(now), -1, np.int32), [], 0
+    count = int(now.max()) + 1 if len(now) else 0
+    # A place counts if something stands next to it, too.
+    both = lambda part: np.where(now[part.start + 1 : part.stop + 1] >= 0, now[part], -1)
+    n = np.zeros(count + 1, np.int64)
+    for part in _slices(len(now) - 1):
+        n += np.bincount(both(part) + 1, minlength=count + 1)
+    ends, low = np.cumsum(n[1:]), 0
+    while low < count:
         before = ends[low - 1] if low else 0
-        high = max(low + 1, int(np.searchsorted(ends, before + ROUND, "right")))
-        at = np.arange(len(a)) if low == 0 and high == len(ends) else np.flatnonzero((a >= low) & (a < high))
-        if len(at):
-            _, first, which, n = np.unique(a[at].astype(np.int64) << 32 | b[at], return_index=True, return_inverse=True, return_counts=True)
-            number = np.full(len(n), -1, np.int32)
-            often = np.flatnonzero(n >= least)
+        high = max(low + 1, int(np.searchsorted(ends, before + round_keys, "right")))
+        if ends[high - 1] > before:
+            at = np.concatenate([part.start + np.flatnonzero(((own := both(part)) >= low) & (own < high)) for part in _slices(len(now) - 1)])
+            _, first, which, times = np.unique(now[at].astype(np.int64) << 32 | now[at + 1], return_index=True, return_inverse=True, return_counts=True)
+            often = np.flatnonzero(times >= least)
+            number = np.full(len(times), -1, np.int32)
             number[often] = np.arange(done, done + len(often))
             out[at] = number[which]
             firsts.append(at[first[often]])
@@ -96,19 +119,13 @@ def _ranked(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.nd
 
 def frequent(words: np.ndarray, least: int, max_words: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each length from 2 on, the place of one occurrence of each phrase that occurs
-    ``least`` times in ``words`` (numbers of words, -1 at breaks)."""
-    known = words >= 0
-    often = np.bincount(words[known]) >= least if known.any() else np.zeros(1, bool)
-    now = np.where(known, words, 0)
-    now = np.where(known & often[now], words, -1).astype(np.int32)
+    ``least`` times in ``words`` (numbers of frequent words, -1 elsewhere)."""
+    now = words
     for size in range(2, max_words + 1):
-        at = np.flatnonzero((now[:-1] >= 0) & (now[1:] >= 0))
-        number, first = _ranked(now[at], now[at + 1], least)
+        now, first = extended(now, least)
         if not len(first):
             return
-        yield size, at[first]
-        now = np.full(len(now), -1, np.int32)
-        now[at] = number
+        yield size, first
 
 
 class _Shard:
@@ -124,17 +141,29 @@ class _Shard:
         ids, own, _ = self.langs[lang]
         for part in tokens(text):
             own.extend(map(ids.__getitem__, part))
-            self.words += len(part)
+            self.words += len(part) - part.count(_BREAK)
 
     def full(self) -> bool:
-        return self.words >= MAX_SHARD_WORDS or sum(ids.size for ids, _, _ in self.langs.values()) >= MAX_SHARD_VOCABULARY
+        return self.words >= TASK_WORDS or sum(ids.size for ids, _, _ in self.langs.values()) >= TASK_VOCABULARY
 
     def mined(self, min_count: int, max_words: int) -> Iterator[tuple[str, list[str]]]:
         """Each language with its locally frequent phrases, and the words of these."""
-        for lang in list(self.langs):
+        kept = {}
+        for lang in list(self.langs):  # rare words go before anything is sorted
             ids, own, total = self.langs.pop(lang)
-            words, seq = list(ids)[1:], np.frombuffer(own, np.int32)
-            least = max(1, -(-min_count * int((seq >= 0).sum()) // total))
+            seq = np.frombuffer(own, np.int32)
+            times = _sizes(seq, len(ids) - 1)
+            least = max(1, -(-min_count * int(times.sum()) // total))
+            often = times >= least
+            number = np.append(np.where(often, np.cumsum(often) - 1, -1), -1).astype(np.int32)  # the last is for -1
+            for part in _slices(len(seq)):
+                seq[part] = number[seq[part]]
+            kept[lang] = ([w for w, stays in zip(list(ids)[1:], often.tolist()) if stays], own, least)
+            del ids, seq
+        _give_back()
+        for lang in list(kept):
+            words, own, least = kept.pop(lang)
+            seq = np.frombuffer(own, np.int32)
             for size, places in frequent(seq, least, max_words):
                 for low in range(0, len(places), 10_000):
                     some = seq[places[low : low + 10_000, None] + np.arange(size)]
@@ -142,7 +171,7 @@ class _Shard:
                 if size == 2:
                     alone = np.unique(seq[places[:, None] + np.arange(2)])
                     yield lang, [words[w].decode() for w in alone.tolist()]
-            del ids, own, words, seq
+            del own, words, seq
 
 
 def _phrases(lang: str, phrases: list[str]) -> pa.RecordBatch:
@@ -204,6 +233,11 @@ def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     return _texts(docs, text_col, lang_col).groupBy("lang").agg(F.sum(n).alias("n"))
 
 
+def shards_for(totals: DataFrame, min_count: int) -> int:
+    words = totals.agg(F.sum("n")).first()[0] or 0
+    return max(1, min_count // LOCAL_SUPPORT, -(-words // MAX_SHARD_WORDS))
+
+
 def candidates(docs: DataFrame, totals: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, text_col: str = "text", lang_col: str = "lang", shards: int | None = None) -> DataFrame:
     """``lang, phrase``: what is frequent in some shard, and the words of it."""
 
@@ -219,9 +253,7 @@ def candidates(docs: DataFrame, totals: DataFrame, min_count: int = MIN_COUNT, m
                     shard = _Shard()
         yield from (_phrases(*found) for found in shard.mined(min_count, max_words))
 
-    if shards is None:
-        words = totals.agg(F.sum("n")).first()[0] or 0
-        shards = max(1, min_count // LOCAL_SUPPORT, -(-words // MAX_SHARD_WORDS))
+    shards = shards or shards_for(totals, min_count)
     # A language with fewer words than min_count has no candidates.
     texts = _texts(docs, text_col, lang_col).join(totals.filter(F.col("n") >= min_count), "lang").select("lang", F.col("text").cast("binary").alias("text"), "n")
     return texts.coalesce(shards).mapInArrow(mine, "lang string, phrase string").distinct()
@@ -255,14 +287,15 @@ def _counted(texts: DataFrame, tries: dict[str, Trie]) -> DataFrame:
     return texts.mapInArrow(count, "lang string, phrase string, f long")
 
 
-def counts(docs: DataFrame, found: DataFrame, min_count: int = MIN_COUNT, text_col: str = "text", lang_col: str = "lang", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def counts(docs: DataFrame, found: DataFrame, min_count: int = MIN_COUNT, text_col: str = "text", lang_col: str = "lang", shards: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``lang, phrase, f``: exact counts of the candidates ``found`` that reach ``min_count``.
 
     A block has whole groups of candidates with one first word, so each has what its
-    members begin with."""
+    members begin with.  A task counts one shard, so that a candidate is a row a shard."""
     size = found.agg(F.sum(F.octet_length("phrase") + F.octet_length("lang") + 16)).first()[0] or 0
     blocks = -(-size // block_bytes)
     texts = _texts(docs, text_col, lang_col).select("lang", F.col("text").cast("binary").alias("text"))
+    texts = texts.coalesce(shards) if shards else texts
     out = found.select("lang", "phrase", F.lit(0).cast("long").alias("f")).limit(0)
     block = F.pmod(F.xxhash64("lang", F.substring_index("phrase", " ", 1)), F.lit(max(blocks, 1)))
     for n in range(blocks):
@@ -280,8 +313,9 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS
     ``score`` is ``1000 * a * n / (l * r)``, rounded down, of the cut into a first part
     (``l`` occurrences) and a rest (``r``) where that is least; the first of such cuts."""
     totals = stored(word_counts(docs, text_col, lang_col))
+    shards = shards or shards_for(totals, min_count)
     found = stored(candidates(docs, totals, min_count, max_words, text_col, lang_col, shards))
-    often = stored(counts(docs, found, min_count, text_col, lang_col, block_bytes))
+    often = stored(counts(docs, found, min_count, text_col, lang_col, shards, block_bytes))
     phrases = often.select("lang", F.col("f").alias("a"), "phrase", F.split("phrase", " ").alias("words")).filter(F.size("words") > 1)
     part = lambda start, n: F.array_join(F.slice("words", start, n), " ")
     cuts = phrases.select("lang", "phrase", "a", "words", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))

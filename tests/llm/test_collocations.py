@@ -56,20 +56,20 @@ def test_equals_brute_force(spark, shards, least, block):
     assert want and mined(df, min_count=least, shards=shards, block_bytes=block) == want
 
 
-def test_small_rounds_and_shards(spark, monkeypatch):
-    rng = np.random.default_rng(3)
-    a, b = rng.integers(0, 9, 4000).astype(np.int32), rng.integers(0, 9, 4000).astype(np.int32)
-    pairs = list(zip(a.tolist(), b.tolist()))
+def test_small_rounds_and_shards(monkeypatch):
+    seq = np.random.default_rng(3).integers(-1, 9, 4000).astype(np.int32)
+    pairs = list(zip(seq[:-1].tolist(), seq[1:].tolist()))
     n = Counter(pairs)
+    often = lambda p: min(p) >= 0 and n[p] >= 45
     for size in (1 << 22, 100, 1):
-        monkeypatch.setattr(collocations, "ROUND", size)
-        number, first = collocations._ranked(a, b, 50)
-        assert [x >= 0 for x in number] == [n[p] >= 50 for p in pairs]
-        assert len({(p, x) for p, x in zip(pairs, number.tolist()) if x >= 0}) == len(first) == sum(c >= 50 for c in n.values())
-        assert all(number[at] == i and pairs.index(pairs[at]) == at for i, at in enumerate(first.tolist()))
+        number, first = collocations.extended(seq, 45, size)
+        assert [x >= 0 for x in number] == [often(p) for p in pairs] + [False]
+        assert len({(p, x) for p, x in zip(pairs, number.tolist()) if x >= 0}) == len(first) == sum(map(often, n))
+        assert all(number[at] == i for i, at in enumerate(first.tolist()))
     shard = collocations._Shard()
     shard.add("en", 10, b"a b a b a b. a")
-    monkeypatch.setattr(collocations, "MAX_SHARD_WORDS", 3)
+    assert shard.words == 7 and not shard.full()
+    monkeypatch.setattr(collocations, "TASK_WORDS", 7)
     assert shard.full() and [p for _, ps in shard.mined(3, 3) for p in ps] == ["a b", "a", "b"]
 
 
