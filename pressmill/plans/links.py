@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import enrich, extract, match, scratch
+from ..operators import enrich, extract, match, pagetables, scratch
 from ..sources import files
 from ..streaming import jobs
 from . import fixtures as fx
@@ -13,6 +13,8 @@ from .fixtures import with_views
 
 FAMILY = ["example.com"]
 ALIAS = "www.example.com"
+#: The kinds of ids in article links: a long number at the end of a piece, a hex id, a number.
+ID_TIERS = [urls.IdTier("digits", 9, 12, after="-", ends=True), urls.IdTier("hex", 24, 24), urls.IdTier("digits", 3, prefix="num:")]
 
 # DuckDB forms of the URL functions.
 _auth = lambda u: f"lower(regexp_extract(trim({u}), '^[a-zA-Z]+://([^/?#]*)', 1))"
@@ -25,10 +27,9 @@ _cpath = lambda u: f"regexp_replace(regexp_replace(regexp_replace('/' || {_path(
 _clean = lambda u: f"CASE WHEN {_auth(u)} <> '' THEN 'https://' || {_host(u)} || {_cpath(u)} END"
 _pairs = lambda u: f"array_to_string(list_transform(list_sort(list_transform(list_filter(string_split({_query(u)}, '&'), lambda p: p <> ''), lambda p: [url_decode(replace(split_part(p, '=', 1), '+', ' ')), url_decode(replace(CASE WHEN contains(p, '=') THEN regexp_replace(p, '^[^=]*=', '') ELSE '' END, '+', ' '))])), lambda p: p[1] || '=' || p[2]), '&')"
 _exact = lambda u: f"CASE WHEN {_pairs(u)} <> '' THEN {_clean(u)} || '?' || {_pairs(u)} ELSE {_clean(u)} END"
-_split = lambda u, marks: f"regexp_split_to_array(url_decode({u}), '{marks}')"
-_id = lambda u, n: f"""coalesce(list_filter(list_transform(list_filter({_split(u, '[/?#]')}, lambda x: contains(x, '-')), lambda x: string_split(x, '-')[-1]), lambda x: regexp_full_match(x, '[0-9]{{9,12}}'))[1],
-  lower(list_filter(list_transform(string_split(url_decode({u}), '_us_')[2:], lambda x: regexp_split_to_array(x, '[/?#_.-]')[1]), lambda x: regexp_full_match(x, '[0-9a-fA-F]{{24}}'))[1]), lower(list_filter({_split(u, '[/?#_.=-]')}, lambda x: regexp_full_match(x, '[0-9a-fA-F]{{24}}'))[1]),
-  'num:' || list_filter(list_transform({_split(u, '[-_/]')}, lambda x: regexp_split_to_array(x, '[?#.]')[1]), lambda x: regexp_full_match(x, '[0-9]{{{n},}}'))[1])"""
+_runs = lambda u: f"regexp_extract_all(regexp_replace(url_decode({u}), '[/?#]', ' ', 'g') || ' ', '[^0-9A-Za-z ]*[0-9A-Za-z]+ ?')"
+_fits = lambda u, t: f"'{t.prefix}' || {'lower' if t.kind == 'hex' else ''}(regexp_extract(list_filter({_runs(u)}, lambda x: regexp_matches(x, '{t.pattern()}'))[1], '[0-9A-Za-z]+'))"
+_id = lambda u: f"coalesce({', '.join(_fits(u, t) for t in ID_TIERS)})"
 _quoted = lambda u: "replace(" * 7 + f"url_encode({u})" + "".join(f", '%{ord(c):02X}', '{c}')" for c in ":/?&=#%")
 _latest = lambda key, src="capture_log": f"SELECT key, max(ts) AS ts, arg_max(url, struct_pack(a := ts, b := -event_id)) AS url, count(*) AS captures FROM (SELECT *, {key} AS key FROM {src}) WHERE key IS NOT NULL GROUP BY key"
 
@@ -42,11 +43,11 @@ def _scalar(name, spark_col, duck, view="links", col="article_link"):
 
 def _cascade(spark, sf):
     L = F.col("article_link")
-    return match.cascade_match(fx.links(spark, sf).select("article_link"), fx.capture_log(spark, sf), urls.exact_key(F.col("url")), urls.article_id(F.col("url"), 3), urls.clean_key(F.col("url")), urls.exact_key(L), urls.article_id(urls.clean_key(L), 3), urls.clean_key(L))
+    return match.cascade_match(fx.links(spark, sf).select("article_link"), fx.capture_log(spark, sf), urls.exact_key(F.col("url")), urls.article_id(F.col("url"), ID_TIERS), urls.clean_key(F.col("url")), urls.exact_key(L), urls.article_id(urls.clean_key(L), ID_TIERS), urls.clean_key(L))
 
 
-_CASCADE = f"""ke AS ({_latest(_exact('url'))}), ki AS ({_latest(_id('url', 3))}), kc AS ({_latest(_clean('url'))}),
-l AS (SELECT DISTINCT article_link, {_exact('article_link')} AS l_exact, {_id(_clean('article_link'), 3)} AS l_ident, {_clean('article_link')} AS l_clean FROM links),
+_CASCADE = f"""ke AS ({_latest(_exact('url'))}), ki AS ({_latest(_id('url'))}), kc AS ({_latest(_clean('url'))}),
+l AS (SELECT DISTINCT article_link, {_exact('article_link')} AS l_exact, {_id(_clean('article_link'))} AS l_ident, {_clean('article_link')} AS l_clean FROM links),
 m AS (SELECT l.*, ke.ts AS ts_exact, ki.ts AS ts_ident, kc.ts AS ts_clean,
     CASE WHEN l_clean IS NULL THEN 'invalid' WHEN ke.ts IS NOT NULL THEN 'exact' WHEN ki.ts IS NOT NULL THEN 'id' WHEN kc.ts IS NOT NULL THEN 'key' ELSE 'none' END AS matched_by
   FROM l LEFT JOIN ke ON l_exact = ke.key LEFT JOIN ki ON l_ident = ki.key LEFT JOIN kc ON l_clean = kc.key)
@@ -174,7 +175,7 @@ def host_histogram(spark, sf):
 
 
 def distinct_keys(spark, sf):
-    return fx.capture_log(spark, sf).agg(F.count_distinct(urls.exact_key(F.col("url"))).alias("exact_keys"), F.count_distinct(urls.article_id(F.col("url"), 3)).alias("ids"), F.count_distinct(urls.clean_key(F.col("url"))).alias("clean_keys"))
+    return fx.capture_log(spark, sf).agg(F.count_distinct(urls.exact_key(F.col("url"))).alias("exact_keys"), F.count_distinct(urls.article_id(F.col("url"), ID_TIERS)).alias("ids"), F.count_distinct(urls.clean_key(F.col("url"))).alias("clean_keys"))
 
 
 def distinct_links(spark, sf):
@@ -262,12 +263,43 @@ def csv_round_trip(spark, sf):
     return files.read_csv(spark, at, "doc_id long, lang string, text string").select("doc_id", "lang", F.md5("text").alias("text_md5"))
 
 
+def _edge_pages(spark, sf):
+    """Pages of concepts: a table row for each two neighbouring words of a page's text, with
+    nested markup, links to words of two languages, and labels and weights that may lack."""
+    words = F.regexp_extract_all(F.lower(F.regexp_replace("html", "<[^>]*>", " ")), F.lit(text.TOKEN), 0)
+    t = fx.table(spark, sf, "pages").select("page_id", words.alias("w")).select("page_id", F.get("w", F.lit(0)).alias("concept"), F.arrays_zip(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))).alias("b")).alias("p"))
+    said = lambda x: F.concat(F.lit("<span class='rel-label'><b>R"), F.substring(F.md5(F.concat(x["a"], F.lit(":"), x["b"])), 1, 1), F.lit("</b> </span>"))
+    row = lambda x, i: F.concat(
+        F.lit("<tr class='edge-main odd'><td class='edge-start'><span class='term'><a href='/c/en/"), x["a"], F.lit("'><i>"), x["a"], F.lit("</i></a></span><td class='edge-rel'><div>"), F.when(i % 7 == 0, "").otherwise(said(x)),
+        F.lit("</div>"), F.when(i % 11 == 0, "").otherwise(F.concat(F.lit("<div class='weight'>Weight: <em>"), (i * 37 % 400 / 100).cast("string"), F.lit("</em></div>"))), F.lit("</td><td class='edge-end'><a href='/c/"), F.when(i % 5 == 0, "fr").otherwise("en"), F.lit("/"), x["b"], F.lit("/n/'>"), x["b"], F.lit("</a></td></tr>"),
+    )
+    table = F.concat(F.lit("<div><table><tr><th>Start<th>Relation<th>End</tr>"), F.array_join(F.transform("p", row), "\n"), F.lit("</table></div>"))
+    return t.filter("concept IS NOT NULL").select("page_id", "concept", table.alias("html"))
+
+
 def page_edges(spark, sf):
-    """Edges from tables of pages, which are made of the pages' titles."""
-    cell = lambda x: F.concat(F.lit("<td> "), x, F.lit("</td>"))
+    """Edges of the tables of concept pages, by page."""
+    return pagetables.page_edges(_edge_pages(spark, sf).drop("concept"))
+
+
+def page_concept_edges(spark, sf):
+    """The same turned away from each page's concept, the largest weight of each."""
+    return pagetables.concept_edges(pagetables.page_edges(_edge_pages(spark, sf)))
+
+
+def json_ld_fields(spark, sf):
+    """Fields of pages whose JSON-LD has a primary article behind, inside or beside others."""
     title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
-    row = F.concat(F.lit("<table><tr>"), cell(title), cell(F.when(F.col("page_id") % 2 == 0, "IsA").otherwise("")), cell(F.lit("<b>Page</b>")), F.when(F.col("page_id") % 3 == 0, cell(F.lit("2.5"))).otherwise(""), F.lit("</tr></table>"))
-    return files.page_edges(fx.table(spark, sf, "pages").select(row.alias("html")))
+    json = F.to_json(F.struct(title.alias("t")))
+    said = F.substring(json, F.lit(7), F.char_length(json) - 8)  # the title as JSON has it
+    block = lambda *parts: F.concat(F.lit('<script type="application/ld+json">'), *[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit("</script>"))
+    report = block('{"@type": ["Report", "Extra"], "articleSection": ["  ", " S ', said, '\\n"], "keywords": "k1, K1,k2", "author": [{"@type": "Person", "name": "', said, '"}, "Bob"]}')
+    graph = block('{"@context": "x", "@graph": [{"@type": "Organization", "description": "org"}, [{"@type": "BlogPosting", "description": "D ', said, '", "datePublished": "2020-01-01"}], {"@type": "WebPage"}]}')
+    kind = F.col("page_id") % 4
+    ld = F.when(kind == 1, F.concat(block('{"@type": "WebPage", "articleSection": "web"}'), report)).when(kind == 2, graph).when(kind == 3, F.concat(block('{"broken": '), block('["text", 5, {"type": "Thing", "articleSection": "T", "dateCreated": "2021"}, {"@type": "Other"}]'))).otherwise("")
+    pages = fx.table(spark, sf, "pages").select("page_id", F.concat(ld, "html").alias("html"))
+    m = extract.page_metadata(pages)
+    return m.select("page_id", "section", "news_type", "description", "published_date", *[F.array_join(c, ";").alias(c) for c in ("keywords", "author_name", "author_type")])
 
 
 def page_title(spark, sf):
@@ -316,16 +348,21 @@ _PAIRS = {
     "url_clean": _scalar("key", urls.clean_key, _clean),
     "url_exact": _scalar("key", urls.exact_key, _exact),
     "url_decode3": _scalar("decoded", lambda c: urls.decode_repeatedly(F.replace(c, F.lit("/en"), F.lit("%252Fen"))), lambda c: f"url_decode(url_decode(url_decode(replace({c}, '/en', '%252Fen'))))"),
-    "url_id": _scalar("id", lambda c: urls.article_id(c, 3), lambda c: _id(c, 3)),
+    "url_id": _scalar("id", lambda c: urls.article_id(c, ID_TIERS), _id),
     "url_repair": _scalar("url", lambda c: urls.repaired(F.concat(F.lit("https://www.example.com"), c), ALIAS), lambda c: f"regexp_replace('https://www.example.com' || {c}, '^https?://www[.]example[.]com(https?://)', '\\1')"),
 }
-QUERIES = {k: v[0] for k, v in _PAIRS.items()} | {f.__name__: f for f in (cascade_match, match_funnel, latest_capture, tiered_capture, variant_match, capture_log_parse, capture_window, first_wins_dedupe, load_stats, tagged_union, latest_run, todo_select, resume_anti, dead_letter, outcome_rollup, missing_links, merge_existing_wins, host_family, host_histogram, distinct_keys, distinct_links, unmatched_examples, domain_check, url_variants, capture_url, captures_per_day, stream_enrich, stream_latest, stream_per_day, jsonl_scan, json_array_scan, csv_round_trip, page_edges, host_check_valid, page_title, field_choice, page_candidates, page_text, page_metadata, dedupe_keep_order, tiered_variant_match, error_log, capture_variants)} | {"enrich": enriched}
+QUERIES = {k: v[0] for k, v in _PAIRS.items()} | {f.__name__: f for f in (cascade_match, match_funnel, latest_capture, tiered_capture, variant_match, capture_log_parse, capture_window, first_wins_dedupe, load_stats, tagged_union, latest_run, todo_select, resume_anti, dead_letter, outcome_rollup, missing_links, merge_existing_wins, host_family, host_histogram, distinct_keys, distinct_links, unmatched_examples, domain_check, url_variants, capture_url, captures_per_day, stream_enrich, stream_latest, stream_per_day, jsonl_scan, json_array_scan, csv_round_trip, page_edges, page_concept_edges, json_ld_fields, host_check_valid, page_title, field_choice, page_candidates, page_text, page_metadata, dedupe_keep_order, tiered_variant_match, error_log, capture_variants)} | {"enrich": enriched}
 
 _H = _host("article_link")
 _fam = lambda *ds: "(" + " OR ".join(f"{_H} = '{d}' OR ends_with({_H}, '.{d}')" for d in ds) + ")"
 _PER_DAY = f"SELECT {_host('url')} AS host, substr(ts, 1, 8) AS day, count(*) AS read, count(*) FILTER (status = '200' AND mimetype = 'text/html') AS kept FROM capture_log GROUP BY ALL"
 _TIERED = f"SELECT key, arg_max(ts, struct_pack(a := mimetype = 'text/html', b := ts, c := mimetype)) AS ts, arg_max(mimetype, struct_pack(a := mimetype = 'text/html', b := ts, c := mimetype)) AS mimetype FROM (SELECT *, {_canon('url')} AS key FROM capture_log WHERE status = '200') WHERE key IS NOT NULL GROUP BY key"
 _CHECK = "bad AS (SELECT DISTINCT article_link FROM links WHERE NOT {}) SELECT * FROM (SELECT article_link, false AS all_valid FROM bad ORDER BY 1 LIMIT 10) UNION ALL SELECT NULL, true WHERE NOT EXISTS (SELECT 1 FROM bad)"
+_EDGE_PAGES = '''WITH t AS (SELECT page_id, regexp_extract_all(lower(regexp_replace(html, '<[^>]*>', ' ', 'g')), '[\\p{L}\\p{N}_]{2,}') AS w FROM pages),
+p AS (SELECT page_id, w[1] AS concept, w, unnest(range(0, len(w) - 1)) AS i FROM t),
+x AS (SELECT page_id, concept, i, w[i + 1] AS a, w[i + 2] AS b FROM p),
+e AS (SELECT *, CASE WHEN i % 5 = 0 THEN '/c/fr/' ELSE '/c/en/' END AS lang, CASE WHEN i % 7 = 0 THEN 'RelatedTo' ELSE 'R' || substr(md5(a || ':' || b), 1, 1) END AS rel, i * 37 % 400 / 100::DOUBLE AS weight FROM x)
+'''
 ORACLE = {k: v[1] for k, v in _PAIRS.items()} | {
     "cascade_match": with_views(_CASCADE + "SELECT article_link, matched_by, CASE WHEN l_clean IS NOT NULL THEN coalesce(ts_exact, ts_ident, ts_clean) END AS ts, 'https://web.archive.org/web/' || coalesce(ts_exact, ts_ident, ts_clean) || '/' || l_clean AS wayback_url FROM m", "capture_log", "links"),
     "match_funnel": with_views(_CASCADE + """SELECT count(*) AS links, count(*) FILTER (l_clean IS NULL) AS invalid_clean, count(*) FILTER (matched_by = 'exact') AS matched_by_exact, count(*) FILTER (matched_by = 'id') AS matched_by_id,
@@ -361,7 +398,7 @@ SELECT l.article_link, hit.key, hit.ts FROM (SELECT DISTINCT article_link FROM l
     "merge_existing_wins": with_views(_DUMP + "SELECT article_link, arg_min(wayback_url, struct_pack(a := page_id >= 1000000, b := wayback_url)) AS wayback_url FROM dump GROUP BY 1", "links"),
     "host_family": with_views(f"SELECT page_id, CASE WHEN {_fam('example.com')} THEN 'a' WHEN {_fam('example.net', 'example.org')} THEN 'b' END AS source FROM links", "links"),
     "host_histogram": with_views(f"SELECT {_H} AS host, count(*) AS n FROM links GROUP BY 1", "links"),
-    "distinct_keys": with_views(f"SELECT count(DISTINCT {_exact('url')}) AS exact_keys, count(DISTINCT {_id('url', 3)}) AS ids, count(DISTINCT {_clean('url')}) AS clean_keys FROM capture_log", "capture_log"),
+    "distinct_keys": with_views(f"SELECT count(DISTINCT {_exact('url')}) AS exact_keys, count(DISTINCT {_id('url')}) AS ids, count(DISTINCT {_clean('url')}) AS clean_keys FROM capture_log", "capture_log"),
     "distinct_links": with_views("SELECT DISTINCT url FROM capture_log", "capture_log"),
     "unmatched_examples": with_views(_DUMP + "SELECT DISTINCT article_link FROM links WHERE article_link NOT IN (SELECT article_link FROM dump) ORDER BY 1 LIMIT 5", "links"),
     "domain_check": with_views(_CHECK.format(_fam("example.com", "example.net")), "links"),
@@ -369,7 +406,11 @@ SELECT l.article_link, hit.key, hit.ts FROM (SELECT DISTINCT article_link FROM l
     "jsonl_scan": "SELECT count(*) FILTER (doc_id % 11 <> 0 AND doc_id % 13 <> 0) AS rows, count(*) FILTER (doc_id % 11 <> 0 AND doc_id % 13 = 0) AS without_key, count(*) FILTER (doc_id % 11 = 0) AS invalid FROM documents",
     "json_array_scan": "SELECT page_id, url, kind FROM pages CROSS JOIN (VALUES ('array'), ('lines')) k(kind)",
     "csv_round_trip": "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents WHERE text <> ''",
-    "page_edges": """SELECT lower(trim(regexp_extract(html, '<title>(.*?)</title>', 1))) AS "start", 'page' AS "end", CASE WHEN page_id % 2 = 0 THEN 'IsA' ELSE 'RelatedTo' END AS rel, CASE WHEN page_id % 3 = 0 THEN 2.5 ELSE 1.0 END::DOUBLE AS weight FROM pages""",
+    "page_edges": _EDGE_PAGES + "SELECT page_id, '/c/en/' || a AS start_path, lang || b || '/n' AS end_path, rel, weight FROM e WHERE i % 11 <> 0",
+    "json_ld_fields": r"""WITH t AS (SELECT page_id, page_id % 4 AS kind, trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages)
+SELECT page_id, CASE kind WHEN 1 THEN 'S ' || title WHEN 3 THEN 'T' END AS section, CASE kind WHEN 1 THEN 'Report' WHEN 2 THEN 'BlogPosting' WHEN 3 THEN 'Thing' END AS news_type, CASE kind WHEN 2 THEN 'D ' || title END AS description,
+  CASE kind WHEN 2 THEN '2020-01-01' WHEN 3 THEN '2021' END AS published_date, CASE kind WHEN 1 THEN 'k1;k2' END AS keywords, CASE kind WHEN 1 THEN title || ';Bob' END AS author_name, CASE kind WHEN 1 THEN 'Person' END AS author_type FROM t""",
+    "page_concept_edges": _EDGE_PAGES + "SELECT concept, CASE WHEN a = concept THEN b ELSE a END AS other, rel, max(weight) AS weight FROM e WHERE i % 11 <> 0 AND weight >= 1 AND (a <> concept OR lang = '/c/en/') GROUP BY ALL",
     "stream_per_day": with_views(_PER_DAY, "capture_log"),
     "url_variants": with_views(_VARIANTS + "SELECT page_id, string_agg(x, ' ' ORDER BY i) AS variants FROM v4 GROUP BY page_id", "links"),
     "capture_url": with_views("SELECT page_id, 'https://web.archive.org/web/20240101000000/' || " + _quoted("article_link || '?q=é|\"<x y>*+~%41#z'") + " AS capture, '20240101000000' AS ts FROM links", "links"),

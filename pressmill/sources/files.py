@@ -87,12 +87,3 @@ def append_errors(failed: DataFrame, path: str, key: str, error: str = "error")
     from ..operators.enrich import error_log
 
     append_jsonl(error_log(failed, key, error), path)
-
-
-def page_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Edges from table rows ``start | relation | end | weight`` of pages; a missing
-    relation is ``RelatedTo`` and a missing weight 1."""
-    row = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit("(?is)<tr[^>]*>(.*?)</tr>"), 1)
-    cell = lambda r: F.transform(F.regexp_extract_all(r, F.lit("(?is)<td[^>]*>(.*?)</td>"), 1), lambda c: F.trim(F.regexp_replace(c, "<[^>]+>", "")))
-    c = pages.select(F.explode(F.transform(row, cell)).alias("c")).filter(F.size("c") >= 3)
-    return c.select(F.lower(F.get("c", F.lit(0))).alias("start"), F.lower(F.get("c", F.lit(2))).alias("end"), F.coalesce(F.nullif(F.get("c", F.lit(1)), F.lit("")), F.lit("RelatedTo")).alias("rel"), F.coalesce(F.get("c", F.lit(3)).try_cast("double"), F.lit(1.0)).alias("weight"))

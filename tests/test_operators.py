@@ -21,12 +21,17 @@ def test_canonical_key(spark, url, want):
     assert got == want and (got is None or one(spark, got, urls.canonical_key) == got)
 
 
+TIERS = [urls.IdTier("digits", 8, 10, after="-", ends=True), urls.IdTier("hex", 16, 16, after="__"), urls.IdTier("hex", 16, 16), urls.IdTier("digits", 4, prefix="n:")]
+
+
 @pytest.mark.parametrize("url, want", [
-    ("https://a.com/story-1819576123/amp?x", "1819576123"),  ("https://a.com/x/5B1C3D4e5f6a7b8c9d0e1f2a", "5b1c3d4e5f6a7b8c9d0e1f2a"),
-    ("https://a.com/p/123456", "num:123456"), ("https://a.com/5b1c3d4e5f6a7b8c9d0e1f2a/x_us_AAAAAAAAAAAAAAAAAAAAAAAA", "a" * 24), ("https://a.com/x-12345678901234", "num:12345678901234"), ("https://a.com/s-123456789?x-1", "123456789"), ("https://a.com/x?123456", None), ("https://a.com/a-1/b-987654321/c", "987654321"), ("https://a.com/p%2D1819576123", "1819576123"), ("https://a.com/p%252D1819576123", "1819576123"), ("https://a.com/1", None), (None, None),
+    ("https://press.example/2020/some-story-20201231/amp?x=1", "20201231"), ("https://press.example/a-12345678b/x", None), ("https://press.example/a-123456789012/x", "n:123456789012"),
+    ("https://press.example/0123456789abcdef/t__FEDCBA9876543210.html", "fedcba9876543210"), ("https://press.example/x_0123456789ABCDEF_y", "0123456789abcdef"), ("https://press.example/v1234567890123456789", None),
+    ("https://press.example/page/2020?id=7", "n:2020"), ("https://press.example/page?id=77777", "n:77777"), ("https://press.example/p%252D87654321", "87654321"), ("https://press.example/a-87654321-b/c-11112222/d-33334444", "11112222"),
+    ("https://press.example/1/22/333", None), ("", None), (None, None), ("-99999999", "99999999"),
 ])
 def test_article_id(spark, url, want):
-    assert one(spark, url, urls.article_id) == want
+    assert one(spark, url, lambda c: urls.article_id(c, TIERS)) == want
 
 
 def test_clean_exact_and_repair(spark):
@@ -108,8 +113,6 @@ def test_files(spark, tmp_path):
     files.append_dead_letters(failed, f"{at}/dead", "k")
     files.append_dead_letters(failed.union(spark.createDataFrame([("z",)], "k string")), f"{at}/dead", "k")
     assert sorted(json.loads(line)["k"] for p in (tmp_path / "dead").glob("*.json") for line in p.read_text().splitlines()) == ["x", "y", "z"]
-    html = spark.createDataFrame([("<table><tr><td>Dog</td><td></td><td>Cat</td><td>2.5</td></tr></table>",)], "html string")
-    assert files.page_edges(html).first()[:] == ("dog", "cat", "RelatedTo", 2.5)
 
 
 def test_streams_resume(spark, tmp_path):
