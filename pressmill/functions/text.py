@@ -12,9 +12,23 @@ STOP_WORDS = """a about above after again against all am an and any are as at be
 TOKEN = "[\\p{L}\\p{N}_]{2,}"
 
 
+#: What Unicode and Python take for white space.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def stripped(c: Column) -> Column:
+    """Without white space at its ends."""
+    return F.btrim(c, F.lit(WHITE))
+
+
+def is_blank(c: Column) -> Column:
+    """Null, empty or white space only."""
+    return F.coalesce(stripped(c), F.lit("")) == ""
+
+
 def clean_text(c: Column) -> Column:
     """White space collapsed and trimmed; blank becomes null."""
-    return F.nullif(F.trim(F.regexp_replace(c, "\\s+", " ")), F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(c, f"[{WHITE}]+", " ")), F.lit(""))
 
 
 def strip_dateline(c: Column) -> Column:
@@ -54,8 +68,8 @@ def parse_sections(c: Column) -> Column:
     """A list literal, or plain text (split at commas), as an array without blanks."""
     plain = F.split(c, ",")
     listed = F.from_json(c, "array<string>", {"allowSingleQuotes": "true"})
-    got = F.when(F.startswith(F.trim(c), F.lit("[")), F.coalesce(listed, F.array(c))).otherwise(plain)
-    return F.coalesce(F.filter(F.transform(got, lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
+    got = F.when(F.startswith(stripped(c), F.lit("[")), F.coalesce(listed, F.array(c))).otherwise(plain)
+    return F.coalesce(F.filter(F.transform(got, stripped), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def bag_of_words(c: Column, stop_words: list[str] | Column = STOP_WORDS, keep: list[str] = NEGATIONS, lemmas: Column | None = None) -> Column:

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import is_blank
 from .match import first_per
 
 
 def keyed_load(rows: DataFrame, key: str, value: str, ordinal: str) -> DataFrame:
     """Rows with key and value; the first row of a key wins."""
-    return first_per(rows.filter((F.trim(key) != "") & (F.trim(value) != "")), [key], [F.col(ordinal)])
+    return first_per(rows.filter(~is_blank(F.col(key)) & ~is_blank(F.col(value))), [key], [F.col(ordinal)])
 
 
 def load_stats(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Rows kept, invalid and repeated, without a distinct of whole rows."""
-    ok = (F.coalesce(F.trim(key), F.lit("")) != "") & (F.coalesce(F.trim(value), F.lit("")) != "")
+    ok = ~is_blank(F.col(key)) & ~is_blank(F.col(value))
     per = rows.groupBy(F.when(ok, F.col(key)).alias("k")).agg(F.count("*").alias("n"))
     return per.agg(F.count("k").alias("kept"), F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("n"))), F.lit(0)).alias("invalid"), F.coalesce(F.sum(F.when(F.col("k").isNotNull(), F.col("n") - 1)), F.lit(0)).alias("duplicates"))
 

@@ -6,12 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..functions.text import stripped
 
 
-def parse_capture_lines(lines: DataFrame, col: str = "value") -> DataFrame:
-    """``<timestamp> <url>`` lines; others are dropped. Timestamps are padded to 14."""
-    parts = F.split(F.trim(F.col(col)), "\\s+", 2)
-    return lines.select(F.get(parts, F.lit(0)).alias("ts"), F.trim(F.get(parts, F.lit(1))).alias("url")).filter(F.col("ts").rlike("^[0-9]{8,14}$") & (F.col("url") != "")).select(F.rpad("ts", 14, "0").alias("ts"), "url")
+def capture_fields(lines: DataFrame, col: str = "value", status: str = "200", mimetype: str = "text/html") -> DataFrame:
+    """``lines`` with a struct ``capture`` of ``ts, url, status, mimetype``, null if a line
+    isn't ``<timestamp> <url> [<status> [<mimetype>]]``.
+
+    Fields stand between white space; timestamps have 8 to 14 digits and are padded to 14;
+    what a short line lacks is ``status`` and ``mimetype``; further fields are passed over."""
+    parts = F.split(stripped(F.col(col)), "\\s+")
+    field = lambda n, other=None: F.coalesce(F.get(parts, F.lit(n)), F.lit(other))
+    good = field(0).rlike("^[0-9]{8,14}$") & (F.size(parts) > 1)
+    return lines.withColumn("capture", F.when(good, F.struct(F.rpad(field(0), 14, "0").alias("ts"), field(1).alias("url"), field(2, status).alias("status"), field(3, mimetype).alias("mimetype"))))
+
+
+def parse_capture_lines(lines: DataFrame, col: str = "value", status: str = "200", mimetype: str = "text/html") -> DataFrame:
+    """``ts, url, status, mimetype`` of the lines that are captures; others are dropped."""
+    return capture_fields(lines, col, status, mimetype).filter("capture IS NOT NULL").select("capture.*")
+
+
+def capture_line_counts(lines: DataFrame, col: str = "value") -> DataFrame:
+    """How many lines are captures, rejected and blank; one row."""
+    blank = F.coalesce(stripped(F.col(col)), F.lit("")) == ""
+    good = F.col("capture").isNotNull()
+    return capture_fields(lines, col).agg(F.count_if(good).alias("captures"), F.count_if(~good & ~blank).alias("rejected"), F.count_if(blank).alias("blank"))
 
 
 def capture_window(captures: DataFrame, start: str, end: str, status: str = "200", mimetype: str = "text/html") -> DataFrame:

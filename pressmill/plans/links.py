@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import enrich, extract, match, pagetables, scratch
-from ..sources import files
+from ..sources import capturelog, files
 from ..streaming import jobs
 from . import fixtures as fx
 from .fixtures import with_views
@@ -78,10 +78,37 @@ def tiered_variant_match(spark, sf):
     return match.tiered_variant_match(fx.links(spark, sf), fx.capture_log(spark, sf)).select("article_link", "key", "ts", "mimetype")
 
 
+def _log_lines(spark, sf):
+    """Lines with two to four fields, some with short or broken timestamps, some blank."""
+    n = F.col("event_id")
+    ts = F.when(n % 5 == 0, F.substring("ts", 1, 8)).when(n % 11 == 0, "bad").otherwise(F.col("ts"))
+    rest = F.when(n % 3 == 0, "").when(n % 3 == 1, F.concat(F.lit("\t"), "status")).otherwise(F.concat(F.lit(" "), "status", F.lit("  "), "mimetype"))
+    return fx.capture_log(spark, sf).select(F.when(n % 13 == 0, " \t ").otherwise(F.concat(F.lit(" "), ts, F.lit("  "), "url", rest)).alias("value"))
+
+
 def capture_log_parse(spark, sf):
-    log = fx.capture_log(spark, sf)
-    lines = log.select(F.concat(F.when(F.col("event_id") % 5 == 0, F.substring("ts", 1, 8)).when(F.col("event_id") % 11 == 0, F.lit("bad")).otherwise(F.col("ts")), F.lit("  "), "url").alias("value"))
-    return match.parse_capture_lines(lines)
+    return match.parse_capture_lines(_log_lines(spark, sf))
+
+
+def capture_log_source(spark, sf):
+    """The lines written as text files and read by byte ranges, through the data source."""
+    at = scratch.folder(spark)
+    _log_lines(spark, sf).write.text(at)
+    capturelog.register(spark)
+    return match.parse_capture_lines(spark.read.format("capture_log").option("splitBytes", 64 << 10).load(at))
+
+
+def capture_line_counts(spark, sf):
+    return match.capture_line_counts(_log_lines(spark, sf))
+
+
+def stream_log_latest(spark, sf):
+    """The latest capture per key, kept by a stream that follows log files; ties between
+    lines go to the first place."""
+    at = scratch.folder(spark)
+    fx.capture_log(spark, sf).orderBy("event_id").coalesce(1).select(F.concat_ws(" ", "ts", "url", "status", "mimetype").alias("value")).write.text(f"{at}/log")
+    jobs.latest_stream(spark, files.follow_capture_log(spark, f"{at}/log"), None, f"{at}/out", f"{at}/state", ordinal="at").awaitTermination()
+    return jobs.read_latest(spark, f"{at}/out").select("key", "ts", "url")
 
 
 def capture_window(spark, sf):
@@ -218,10 +245,17 @@ def captures_per_day(spark, sf):
 def stream_enrich(spark, sf):
     """Page metadata by a stream over the page files, until these are used up."""
     at, pages = scratch.folder(spark), f"{sf}/pages.parque[t]"  # a glob may be a file or a folder
-    jobs.enrich_stream(spark, pages, "page_id long, url string, html string", f"{at}/out", f"{at}/state").awaitTermination()
+    jobs.enrich_stream(spark, pages, "page_id long, url string, html string", f"{at}/out", f"{at}/state", progress=f"{at}/progress").awaitTermination()
     return spark.read.parquet(f"{at}/out").select("page_id", "title", "section", "description", "keywords", "parse_error")
 
 
+def stream_progress(spark, sf):
+    """Rows read, kept and failed of that stream, counted as they are written."""
+    at, pages = scratch.folder(spark), f"{sf}/pages.parque[t]"
+    jobs.enrich_stream(spark, pages, "page_id long, url string, html string", f"{at}/out", f"{at}/state", progress=f"{at}/progress").awaitTermination()
+    return jobs.read_progress(spark, f"{at}/progress").agg(*[F.sum(c).alias(c) for c in ("rows", "kept", "failed")])
+
+
 def stream_latest(spark, sf):
     """The latest capture per key, kept by a stream; equal to ``latest_capture``."""
     at = scratch.folder(spark)
@@ -235,7 +269,7 @@ def stream_per_day(spark, sf):
     at = scratch.folder(spark)
     fx.capture_log(spark, sf).write.parquet(f"{at}/log")
     jobs.per_day_stream(spark, f"{at}/log", "event_id long, ts string, status string, mimetype string, url string", f"{at}/out", f"{at}/state").awaitTermination()
-    return spark.read.parquet(f"{at}/out").groupBy("host", "day").agg(F.sum("read").alias("read"), F.sum("kept").alias("kept"))
+    return jobs.read_days(spark, f"{at}/out")
 
 
 def jsonl_scan(spark, sf):
@@ -351,13 +385,16 @@ _PAIRS = {
     "url_id": _scalar("id", lambda c: urls.article_id(c, ID_TIERS), _id),
     "url_repair": _scalar("url", lambda c: urls.repaired(F.concat(F.lit("https://www.example.com"), c), ALIAS), lambda c: f"regexp_replace('https://www.example.com' || {c}, '^https?://www[.]example[.]com(https?://)', '\\1')"),
 }
-QUERIES = {k: v[0] for k, v in _PAIRS.items()} | {f.__name__: f for f in (cascade_match, match_funnel, latest_capture, tiered_capture, variant_match, capture_log_parse, capture_window, first_wins_dedupe, load_stats, tagged_union, latest_run, todo_select, resume_anti, dead_letter, outcome_rollup, missing_links, merge_existing_wins, host_family, host_histogram, distinct_keys, distinct_links, unmatched_examples, domain_check, url_variants, capture_url, captures_per_day, stream_enrich, stream_latest, stream_per_day, jsonl_scan, json_array_scan, csv_round_trip, page_edges, page_concept_edges, json_ld_fields, host_check_valid, page_title, field_choice, page_candidates, page_text, page_metadata, dedupe_keep_order, tiered_variant_match, error_log, capture_variants)} | {"enrich": enriched}
+QUERIES = {k: v[0] for k, v in _PAIRS.items()} | {f.__name__: f for f in (cascade_match, match_funnel, latest_capture, tiered_capture, variant_match, capture_log_parse, capture_log_source, capture_line_counts, stream_log_latest, stream_progress, capture_window, first_wins_dedupe, load_stats, tagged_union, latest_run, todo_select, resume_anti, dead_letter, outcome_rollup, missing_links, merge_existing_wins, host_family, host_histogram, distinct_keys, distinct_links, unmatched_examples, domain_check, url_variants, capture_url, captures_per_day, stream_enrich, stream_latest, stream_per_day, jsonl_scan, json_array_scan, csv_round_trip, page_edges, page_concept_edges, json_ld_fields, host_check_valid, page_title, field_choice, page_candidates, page_text, page_metadata, dedupe_keep_order, tiered_variant_match, error_log, capture_variants)} | {"enrich": enriched}
 
 _H = _host("article_link")
 _fam = lambda *ds: "(" + " OR ".join(f"{_H} = '{d}' OR ends_with({_H}, '.{d}')" for d in ds) + ")"
 _PER_DAY = f"SELECT {_host('url')} AS host, substr(ts, 1, 8) AS day, count(*) AS read, count(*) FILTER (status = '200' AND mimetype = 'text/html') AS kept FROM capture_log GROUP BY ALL"
 _TIERED = f"SELECT key, arg_max(ts, struct_pack(a := mimetype = 'text/html', b := ts, c := mimetype)) AS ts, arg_max(mimetype, struct_pack(a := mimetype = 'text/html', b := ts, c := mimetype)) AS mimetype FROM (SELECT *, {_canon('url')} AS key FROM capture_log WHERE status = '200') WHERE key IS NOT NULL GROUP BY key"
 _CHECK = "bad AS (SELECT DISTINCT article_link FROM links WHERE NOT {}) SELECT * FROM (SELECT article_link, false AS all_valid FROM bad ORDER BY 1 LIMIT 10) UNION ALL SELECT NULL, true WHERE NOT EXISTS (SELECT 1 FROM bad)"
+_LOG_FIELDS = """SELECT rpad(CASE WHEN event_id % 5 = 0 THEN substr(ts, 1, 8) ELSE ts END, 14, '0') AS ts, url,
+  CASE WHEN event_id % 3 = 0 THEN '200' ELSE status END AS status, CASE WHEN event_id % 3 = 2 THEN mimetype ELSE 'text/html' END AS mimetype
+FROM capture_log WHERE event_id % 13 <> 0 AND (event_id % 5 = 0 OR event_id % 11 <> 0)"""
 _EDGE_PAGES = '''WITH t AS (SELECT page_id, regexp_extract_all(lower(regexp_replace(html, '<[^>]*>', ' ', 'g')), '[\\p{L}\\p{N}_]{2,}') AS w FROM pages),
 p AS (SELECT page_id, w[1] AS concept, w, unnest(range(0, len(w) - 1)) AS i FROM t),
 x AS (SELECT page_id, concept, i, w[i + 1] AS a, w[i + 2] AS b FROM p),
@@ -384,7 +421,11 @@ SELECT page_id, array_to_string(list_filter(v, lambda x, i: list_position(v, x)
 v5 AS (SELECT article_link, {_canon('x')} AS key, min(i) AS pos FROM v4 GROUP BY ALL),
 hit AS (SELECT article_link, arg_min(idx.key, pos) AS key, arg_min(ts, pos) AS ts FROM v5 JOIN idx ON idx.key = v5.key GROUP BY article_link)
 SELECT l.article_link, hit.key, hit.ts FROM (SELECT DISTINCT article_link FROM links) l LEFT JOIN hit ON hit.article_link = l.article_link""", "capture_log", "links"),
-    "capture_log_parse": with_views("x AS (SELECT CASE WHEN event_id % 5 = 0 THEN substr(ts, 1, 8) WHEN event_id % 11 = 0 THEN 'bad' ELSE ts END AS t, url FROM capture_log) SELECT rpad(t, 14, '0') AS ts, url FROM x WHERE regexp_full_match(t, '[0-9]{8,14}')", "capture_log"),
+    "capture_log_parse": with_views(_LOG_FIELDS, "capture_log"),
+    "capture_log_source": with_views(_LOG_FIELDS, "capture_log"),
+    "capture_line_counts": with_views("SELECT count(*) FILTER (event_id % 13 <> 0 AND (event_id % 5 = 0 OR event_id % 11 <> 0)) AS captures, count(*) FILTER (event_id % 13 <> 0 AND event_id % 5 <> 0 AND event_id % 11 = 0) AS rejected, count(*) FILTER (event_id % 13 = 0) AS blank FROM capture_log", "capture_log"),
+    "stream_log_latest": with_views(f"SELECT key, ts, url FROM ({_latest(_canon('url'))})", "capture_log"),
+    "stream_progress": 'SELECT count(*) AS "rows", count(*) AS kept, 0 AS failed FROM (SELECT DISTINCT page_id FROM pages)',
     "capture_window": with_views("SELECT event_id, ts, url FROM capture_log WHERE status = '200' AND mimetype = 'text/html' AND ts BETWEEN '20240102000000' AND '20240120000000'", "capture_log"),
     "first_wins_dedupe": with_views(_DUMP + "SELECT article_link, arg_min(wayback_url, page_id) AS wayback_url FROM dump WHERE trim(article_link) <> '' AND trim(wayback_url) <> '' GROUP BY article_link", "links"),
     "load_stats": with_views(_DUMP + "SELECT count(DISTINCT CASE WHEN trim(wayback_url) <> '' THEN article_link END) AS kept, count(*) FILTER (trim(wayback_url) = '') AS invalid, count(*) FILTER (trim(wayback_url) <> '') - count(DISTINCT CASE WHEN trim(wayback_url) <> '' THEN article_link END) AS duplicates FROM dump", "links"),

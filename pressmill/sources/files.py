@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.text import is_blank
+
 CORRUPT = "_corrupt"
 
 
@@ -13,7 +15,7 @@ def _parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines that aren't blank, as a struct ``j`` with what can't be parsed in ``_corrupt``."""
     given = spark.createDataFrame([], schema).schema
     shape = StructType([*given.fields, StructField(CORRUPT, StringType())])
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+    lines = spark.read.text(path).filter(~is_blank(F.col("value")))
     return lines.select(F.from_json("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("j"))
 
 
@@ -24,13 +26,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def jsonl_stats(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """Lines that hold a key, lack it, or aren't JSON; blank lines don't count."""
-    bad, has = F.col(f"j.{CORRUPT}").isNotNull(), F.coalesce(F.trim(F.col(f"j.{key}").cast("string")), F.lit("")) != ""
+    bad, has = F.col(f"j.{CORRUPT}").isNotNull(), ~is_blank(F.col(f"j.{key}").cast("string"))
     return _parsed(spark, path, schema).agg(F.count_if(~bad & has).alias("rows"), F.count_if(~bad & ~has).alias("without_key"), F.count_if(bad).alias("invalid"))
 
 
 def read_json_auto(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON array or JSON lines, told by the first character that isn't a space."""
-    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+    first = spark.read.text(path).filter(~is_blank(F.col("value"))).limit(1).collect()
     return spark.read.schema(schema).json(path, multiLine=bool(first) and first[0][0].lstrip().startswith("["))
 
 
@@ -39,11 +41,23 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_capture_log(spark: SparkSession, path: str) -> DataFrame:
+    """Captures of log files, by Spark's own text reader."""
     from ..operators.match import parse_capture_lines
 
     return parse_capture_lines(spark.read.text(path))
 
 
+def follow_capture_log(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of the captures of log files that are added or grow, with the place of
+    each line: ``ts, url, status, mimetype, path, at``."""
+    from ..operators.match import capture_fields
+    from . import capturelog
+
+    capturelog.register(spark)
+    lines = spark.readStream.format("capture_log").load(path)
+    return capture_fields(lines).filter("capture IS NOT NULL").select("capture.*", "path", "at")
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Stored page files as ``url`` (the path) and ``html``."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("url"), F.col("content").cast("string").alias("html"))
