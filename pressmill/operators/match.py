@@ -111,3 +111,14 @@ def host_check(links: DataFrame, col: str, domains: list[str], examples: int) ->
     bad = links.filter(~ok).select(col).distinct().orderBy(col).limit(examples).withColumn("all_valid", F.lit(False))
     whole = links.agg(F.coalesce(F.bool_and(ok), F.lit(True)).alias("all_valid")).filter("all_valid")
     return bad.union(whole.select(F.lit(None).cast("string").alias(col), "all_valid"))
+
+
+def key_sketches(captures: DataFrame, part: Column, keys: dict[str, Column], lg_k: int = 14) -> DataFrame:
+    """``part`` and a mergeable sketch of each key's distinct values, a row a part; with
+    ``lg_k`` 14 the standard error of an estimate is below 0.8 %."""
+    return captures.groupBy(part.alias("part")).agg(*[F.hll_sketch_agg(c, F.lit(lg_k)).alias(n) for n, c in keys.items()])
+
+
+def sketch_counts(sketches: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """Estimates of distinct keys over parts, kept sketches merged rather than rows read."""
+    return sketches.groupBy(*(by or [])).agg(*[F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(k)), F.lit(0)).alias(k) for k in keys])

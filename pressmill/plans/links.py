@@ -297,6 +297,39 @@ def csv_round_trip(spark, sf):
     return files.read_csv(spark, at, "doc_id long, lang string, text string").select("doc_id", "lang", F.md5("text").alias("text_md5"))
 
 
+def key_sketches(spark, sf):
+    """Distinct keys by day from sketches that are kept: is the merged estimate that of the
+    whole, and within 2 % of the exact count?"""
+    log = fx.capture_log(spark, sf)
+    keys = {"exact": urls.exact_key(F.col("url")), "clean": urls.clean_key(F.col("url")), "events": F.col("event_id").cast("string")}
+    days = scratch.stored(match.key_sketches(log, F.substring("ts", 1, 8), keys))
+    merged, whole = match.sketch_counts(days, list(keys)), match.sketch_counts(match.key_sketches(log, F.lit(""), keys), list(keys))
+    exact = log.agg(*[F.count_distinct(c).alias(n) for n, c in keys.items()])
+    row = lambda df, name: df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias(name)) for k in keys])))
+    out = row(merged, "merged").join(row(whole, "whole"), "key").join(row(exact, "n"), "key")
+    near = lambda c: F.abs(F.col(c) - F.col("n")) <= 0.02 * F.col("n")
+    return out.select("key", "n", (near("merged") & near("whole")).alias("near"), (F.abs(F.col("merged") - F.col("whole")) <= 0.01 * F.col("n")).alias("merged_as_whole"))
+
+
+def commit_rewrites(spark, sf):
+    """A list of links that is rewritten as a whole, twice; the last one counts."""
+    at, pages = scratch.folder(spark), fx.links(spark, sf)
+    files.commit_json(pages, at)
+    files.commit_json(files.read_committed(spark, at, "page_id long, article_link string").filter("page_id % 3 > 0"), at)
+    return files.read_committed(spark, at, "page_id long, article_link string")
+
+
+def latest_complete_run(spark, sf):
+    """The newest of three run folders that has its results; a later one lacks them."""
+    at = scratch.folder(spark)
+    for n, required in ((1, True), (2, True), (3, False)):
+        files.write_csv(fx.predictions(spark, sf).filter(F.col("sample_id") % 3 >= 3 - n), f"{at}/2024-01-0{n}", ["run", "model_path", "sample_id", "predicted_label"])
+        if not required:
+            files._delete(spark, f"{at}/2024-01-0{n}/_SUCCESS")
+    rows = files.read_latest_run(spark, at, "_SUCCESS", "run_kind string, model_path string, sample_id long, predicted_label int")
+    return rows.select("run", "run_kind", "model_path", "sample_id", "predicted_label")
+
+
 def _edge_pages(spark, sf):
     """Pages of concepts: a table row for each two neighbouring words of a page's text, with
     nested markup, links to words of two languages, and labels and weights that may lack."""
@@ -385,7 +418,7 @@ _PAIRS = {
     "url_id": _scalar("id", lambda c: urls.article_id(c, ID_TIERS), _id),
     "url_repair": _scalar("url", lambda c: urls.repaired(F.concat(F.lit("https://www.example.com"), c), ALIAS), lambda c: f"regexp_replace('https://www.example.com' || {c}, '^https?://www[.]example[.]com(https?://)', '\\1')"),
 }
-QUERIES = {k: v[0] for k, v in _PAIRS.items()} | {f.__name__: f for f in (cascade_match, match_funnel, latest_capture, tiered_capture, variant_match, capture_log_parse, capture_log_source, capture_line_counts, stream_log_latest, stream_progress, capture_window, first_wins_dedupe, load_stats, tagged_union, latest_run, todo_select, resume_anti, dead_letter, outcome_rollup, missing_links, merge_existing_wins, host_family, host_histogram, distinct_keys, distinct_links, unmatched_examples, domain_check, url_variants, capture_url, captures_per_day, stream_enrich, stream_latest, stream_per_day, jsonl_scan, json_array_scan, csv_round_trip, page_edges, page_concept_edges, json_ld_fields, host_check_valid, page_title, field_choice, page_candidates, page_text, page_metadata, dedupe_keep_order, tiered_variant_match, error_log, capture_variants)} | {"enrich": enriched}
+QUERIES = {k: v[0] for k, v in _PAIRS.items()} | {f.__name__: f for f in (cascade_match, match_funnel, latest_capture, tiered_capture, variant_match, capture_log_parse, capture_log_source, capture_line_counts, stream_log_latest, stream_progress, capture_window, first_wins_dedupe, load_stats, tagged_union, latest_run, todo_select, resume_anti, dead_letter, outcome_rollup, missing_links, merge_existing_wins, host_family, host_histogram, distinct_keys, distinct_links, unmatched_examples, domain_check, url_variants, capture_url, captures_per_day, stream_enrich, stream_latest, stream_per_day, jsonl_scan, json_array_scan, csv_round_trip, key_sketches, commit_rewrites, latest_complete_run, page_edges, page_concept_edges, json_ld_fields, host_check_valid, page_title, field_choice, page_candidates, page_text, page_metadata, dedupe_keep_order, tiered_variant_match, error_log, capture_variants)} | {"enrich": enriched}
 
 _H = _host("article_link")
 _fam = lambda *ds: "(" + " OR ".join(f"{_H} = '{d}' OR ends_with({_H}, '.{d}')" for d in ds) + ")"
@@ -448,6 +481,9 @@ SELECT l.article_link, hit.key, hit.ts FROM (SELECT DISTINCT article_link FROM l
     "json_array_scan": "SELECT page_id, url, kind FROM pages CROSS JOIN (VALUES ('array'), ('lines')) k(kind)",
     "csv_round_trip": "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents WHERE text <> ''",
     "page_edges": _EDGE_PAGES + "SELECT page_id, '/c/en/' || a AS start_path, lang || b || '/n' AS end_path, rel, weight FROM e WHERE i % 11 <> 0",
+    "key_sketches": with_views(f"SELECT key, n, true AS near, true AS merged_as_whole FROM (SELECT 'exact' AS key, count(DISTINCT {_exact('url')}) AS n FROM capture_log UNION ALL SELECT 'clean', count(DISTINCT {_clean('url')}) FROM capture_log UNION ALL SELECT 'events', count(DISTINCT event_id) FROM capture_log)", "capture_log"),
+    "commit_rewrites": with_views("SELECT page_id, article_link FROM links WHERE page_id % 3 > 0", "links"),
+    "latest_complete_run": with_views("SELECT '2024-01-02' AS run, run AS run_kind, model_path, sample_id, predicted_label FROM predictions WHERE sample_id % 3 >= 1", "predictions"),
     "json_ld_fields": r"""WITH t AS (SELECT page_id, page_id % 4 AS kind, trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages)
 SELECT page_id, CASE kind WHEN 1 THEN 'S ' || title WHEN 3 THEN 'T' END AS section, CASE kind WHEN 1 THEN 'Report' WHEN 2 THEN 'BlogPosting' WHEN 3 THEN 'Thing' END AS news_type, CASE kind WHEN 2 THEN 'D ' || title END AS description,
   CASE kind WHEN 2 THEN '2020-01-01' WHEN 3 THEN '2021' END AS published_date, CASE kind WHEN 1 THEN 'k1;k2' END AS keywords, CASE kind WHEN 1 THEN title || ';Bob' END AS author_name, CASE kind WHEN 1 THEN 'Person' END AS author_type FROM t""",

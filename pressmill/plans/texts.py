@@ -112,6 +112,13 @@ def section_replace(spark, sf):
     return out.select("doc_id", F.array_join("own", "|").alias("own"), F.array_join("replaced", "|").alias("replaced"))
 
 
+def section_draws(spark, sf):
+    """The same by draws from running sums, one label of all documents' words a section."""
+    words = fx.table(spark, sf, "documents").select(F.explode(text.tokens(F.col("text"))).alias("label")).groupBy("label").agg(F.count("*").alias("weight"))
+    out = perturb.draw_labels(fx.articles(spark, sf), "doc_id", text.parse_sections(F.col("section_raw")), words)
+    return out.select("doc_id", F.array_join("own", "|").alias("own"), F.array_join("replaced", "|").alias("replaced"))
+
+
 def binned_shuffle(spark, sf):
     return perturb.binned_shuffle(fx.articles(spark, sf), "doc_id", "description")
 
@@ -196,7 +203,7 @@ def batch_score(spark, sf):
     return models.batch_score(e, load, ["embedding"], 256, [[64]]).select("vec_id", "label", F.round("prob1", 9).alias("prob1"), "predicted_label", F.round("confidence", 9).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (clean_text, strip_dateline, mask_entities, mask_spans, section_parse, section_standardise, keywords_normalise, bow_clean, piece_text, safe_casts, compose_text, sample_projection, category_counts, label_pool, section_replace, binned_shuffle, seeded_split, seeded_sample, vocabulary, tfidf, nb_model, nb_predict, lr_predict, tune_trials, batch_score, annotated, section_totals, exact_split)}
+QUERIES = {f.__name__: f for f in (clean_text, strip_dateline, mask_entities, mask_spans, section_parse, section_standardise, keywords_normalise, bow_clean, piece_text, safe_casts, compose_text, sample_projection, category_counts, label_pool, section_replace, section_draws, binned_shuffle, seeded_split, seeded_sample, vocabulary, tfidf, nb_model, nb_predict, lr_predict, tune_trials, batch_score, annotated, section_totals, exact_split)}
 
 _PARSED = """parsed AS (SELECT *, CASE WHEN section_raw LIKE '[%' THEN from_json(section_raw, '["VARCHAR"]') WHEN section_raw = '' THEN [] ELSE [section_raw] END AS sections FROM articles)
 """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -68,6 +70,73 @@ def latest_run(runs: DataFrame, run_col: str = "run_id") -> DataFrame:
     return runs.join(F.broadcast(runs.agg(F.max(run_col).alias(run_col))), run_col)  # one row
 
 
+def run_folders(spark: SparkSession, root: str, required: str) -> list[str]:
+    """The run folders below ``root`` that have the file ``required``, the oldest first; the
+    names of runs sort by time.  A run that is being written, or was given up, lacks it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/{required}")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    return sorted({s.getPath().getParent().toString() for s in found})
+
+
+def read_latest_run(spark: SparkSession, root: str, required: str, schema: str, pattern: str = "*.csv") -> DataFrame:
+    """The rows of the files of the newest complete run, with its name as ``run``."""
+    runs = run_folders(spark, root, required)
+    if not runs:
+        raise FileNotFoundError(f"no run below {root} has {required}")
+    rows = spark.read.schema(schema).option("pathGlobFilter", pattern).csv(runs[-1], header=True, multiLine=True, escape='"')
+    return rows.select("*", F.element_at(F.split("_metadata.file_path", "/"), -2).alias("run"))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+POINTER = "current"
+
+
+def commit_json(df: DataFrame, path: str) -> str:
+    """Write rows as JSON lines in place of what ``read_committed`` gave before, or leave it.
+
+    The rows go to a version of their own; one pointer file, put in place by a rename, then
+    says which version counts, and versions before the last two are deleted.  A writer that
+    is killed leaves the old rows.  One writer at a time."""
+    spark = df.sparkSession
+    fs_of = lambda p: p.getFileSystem(spark._jsc.hadoopConfiguration())
+    place = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    before, version = _current(spark, path), f"v_{time.time_ns():020d}"
+    df.write.json(f"{path}/{version}")
+    fs, staged = fs_of(place(path)), place(f"{path}/{POINTER}.{version}")
+    out = fs.create(staged, True)
+    try:
+        out.write(bytearray(version.encode()))
+    finally:
+        out.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(staged.toUri(), spark._jsc.hadoopConfiguration())
+    rename = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    options = spark.sparkContext._gateway.new_array(getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = rename
+    context.rename(staged, place(f"{path}/{POINTER}"), options)
+    for status in fs.listStatus(place(path)):
+        name = status.getPath().getName()
+        if name.startswith("v_") and name not in (before, version) or name.startswith(f"{POINTER}."):
+            fs.delete(status.getPath(), True)
+    return version
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return bytes(spark.read.format("binaryFile").load(f"{path}/{POINTER}").first()["content"]).decode()
+
+
+def read_committed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of the version that the pointer names; none if there isn't one."""
+    version = _current(spark, path)
+    return spark.read.schema(schema).json(f"{path}/{version}") if version else spark.createDataFrame([], schema)
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
