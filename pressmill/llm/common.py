@@ -6,6 +6,9 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,7 +93,8 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
 
 
-_written: list[str] = []
+#: The stored tables of the run that is on in this thread.
+_written: ContextVar[list[str]] = ContextVar("written", default=[])
 
 
 def stored(df: DataFrame, **options: str) -> DataFrame:
@@ -102,7 +106,7 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    _written.append(path)
+    _written.get().append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -112,19 +116,28 @@ def dropped(*tables: DataFrame) -> None:
     """Delete stored tables of which no other table is still to be made."""
     for t in tables:
         _delete(t.sparkSession, t._stored_at)
-        _written.remove(t._stored_at)
-
-
-def mark() -> int:
-    """How many stored tables there are, for ``clear``."""
-    return len(_written)
-
-
-def clear(spark: SparkSession, since: int = 0) -> None:
-    """Delete the stored tables made after ``since`` tables (see ``mark``); call it when the
-    results that read them are written."""
-    while len(_written) > since:
-        _delete(spark, _written.pop())
+        if t._stored_at in _written.get():
+            _written.get().remove(t._stored_at)
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete what is stored inside, in this thread, at the end; results that read these
+    tables must be written by then."""
+    own: list[str] = []
+    token = _written.set(own)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in own:
+            _delete(spark, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what is stored outside of any such block, when all results are written."""
+    while _written.get():
+        _delete(spark, _written.get().pop())
 
 
 def fresh(name: str, taken: list[str]) -> str:

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pressmill.llm import queries, stages
+from pressmill.llm import common, queries, stages
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,3 +86,40 @@ def test_only_white_space_left_is_dropped(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: r["text"] for r in stages.line_dedup(spark, docs, SF).collect()}
     assert got == {1: block, 3: "\t\nmore", 4: "\n\t"}
+
+
+def test_a_stopped_run_goes_on_and_leaves_one_folder(spark, tmp_path, monkeypatch):
+    base, ran = f"file://{tmp_path}/run", []
+
+    def stage(name, fails=False):
+        def work(spark, docs, sf_dir):
+            ran.append(name)
+            if fails:
+                raise RuntimeError("stopped")
+            return common.stored(docs.filter("doc_id % 7 > 0")).filter("doc_id % 11 > 0")
+
+        return name, work
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("a"), stage("b"), stage("c", True)])
+    for _ in range(2):
+        try:
+            corpus_pipeline.run(spark, SF, base)
+        except RuntimeError:
+            pass
+    assert ran == ["a", "b", "c", "c"] and [p.name for p in (tmp_path / "run").iterdir()] == ["1_b"]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("a"), stage("b"), stage("c")])
+    assert corpus_pipeline.run(spark, SF, base).filter("doc_id % 7 = 0").count() == 0
+    assert ran[4:] == ["c"] and [p.name for p in (tmp_path / "run").iterdir()] == ["2_c"]
+
+
+def test_runs_clear_their_own_tables(spark):
+    df = spark.range(3).withColumnRenamed("id", "doc_id")
+    outer = common.stored(df)
+    with common.scratch_tables(spark):
+        inner = common.stored(df)
+        common.dropped(inner)
+        left = common.stored(df)
+        assert left.count() == 3
+    assert outer.count() == 3
+    common.clear(spark)
+    common.dropped(outer)  # after clear: nothing to do
