@@ -110,7 +110,10 @@ ORACLE = {
 SELECT CASE WHEN away THEN "start" ELSE "end" END AS concept, CASE WHEN away OR "start" = "end" THEN "end" ELSE "start" END AS other, rel, weight FROM o WHERE weight >= 1 AND length("start") % 5 <> 0 AND length("end") % 5 <> 0""", "concept_edges"),
     "concept_tokens": with_views("SELECT doc_id, tok, min(pos) AS pos FROM doc_tokens WHERE length(tok) % 3 <> 2 AND tok NOT IN ('the', 'of', 'and', 'in') GROUP BY 1, 2", "doc_tokens"),
     "sequential_edges": with_views(_SEQ + "SELECT * FROM seq", "doc_tokens"),
-    "concept_pairs": with_views(_F + "," + _PAIR + "SELECT * FROM pairs", "doc_tokens", "concept_edges"),
+    # Edges once, and of each document only the words that edges have: then the joins are narrow.
+    "concept_pairs": with_views("""e AS MATERIALIZED (SELECT * FROM concept_edges), f AS MATERIALIZED (SELECT doc_id, tok, min(pos) AS pos FROM doc_tokens WHERE tok IN (SELECT "start" FROM e UNION SELECT "end" FROM e) GROUP BY 1, 2),
+x AS MATERIALIZED (SELECT f.doc_id, e."start", e."end", e.rel, e.weight, f.pos AS i FROM e JOIN f ON f.tok = e."start")
+SELECT x.*, f.pos AS j FROM x JOIN f ON f.doc_id = x.doc_id AND f.tok = x."end" WHERE x.i < f.pos""", "doc_tokens", "concept_edges"),
     "concept_align": with_views(_F + """, p AS (SELECT doc_id, tok, unnest(list_transform(range(1, length(tok) + 1), lambda n: substr(tok, 1, n))) AS head FROM firsts),
 m AS (SELECT p.doc_id, p.tok AS concept, t.tok FROM p JOIN firsts t ON t.doc_id = p.doc_id AND t.tok = p.head UNION SELECT p.doc_id, c.tok, p.tok FROM p JOIN firsts c ON c.doc_id = p.doc_id AND c.tok = p.head)
 SELECT m.doc_id, m.concept, t.pos FROM m JOIN doc_tokens t ON t.doc_id = m.doc_id AND t.tok = m.tok""", "doc_tokens"),
