@@ -64,8 +64,10 @@ WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x
 
 
 def stripped(text: Column) -> Column:
-    """``text`` without white space at its ends."""
-    return F.btrim(text, F.lit(WHITE))
+    """``text`` without white space at its ends; trimming looks through a whole text, so it
+    is done only where there is some."""
+    ends = F.left(text, F.lit(1)).isin(list(WHITE)) | F.right(text, F.lit(1)).isin(list(WHITE))
+    return F.when(ends, F.btrim(text, F.lit(WHITE))).otherwise(text)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -149,12 +150,21 @@ def _keys(text):
     return F.transform(_lines(text), lambda x: F.unhex(F.md5(stripped(x))))
 
 
+#: White space that ``\\s`` lacks; looked for once a text.
+RARE_WHITE = [c for c in WHITE if c not in " \t\n\x0b\x0c\r"]
+
+
 def _words(text):
     """Words of each line."""
-    count = lambda x: F.when(stripped(x) == "", 0).otherwise(F.size(F.split(stripped(x), f"[{WHITE}]+")))
     letters = lambda x: F.char_length(x) - F.char_length(F.regexp_replace(x, f"[{SPACELESS}]", ""))
-    mixed = F.transform(_lines(text), lambda x: count(F.regexp_replace(x, f"[{SPACELESS}]+", " ")) + F.ceil(letters(x) / 2).cast("int"))
-    return F.when(text.rlike(f"[{SPACELESS}]"), mixed).otherwise(F.transform(_lines(text), count))
+
+    def counted(word):
+        count = lambda x: F.regexp_count(x, F.lit(word))
+        mixed = F.transform(_lines(text), lambda x: count(F.regexp_replace(x, f"[{SPACELESS}]+", " ")) + F.ceil(letters(x) / 2).cast("int"))
+        return F.when(text.rlike(f"[{SPACELESS}]"), mixed).otherwise(F.transform(_lines(text), count))
+
+    rare = reduce(lambda a, c: a | F.contains(text, F.lit(c)), RARE_WHITE, F.lit(False))
+    return F.when(rare, counted(f"[^{WHITE}]+")).otherwise(counted("\\S+"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_block_words: int = MIN_BLOCK_WORDS, out_col: str = "deduped") -> DataFrame:
