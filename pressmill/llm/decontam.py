@@ -68,28 +68,37 @@ def _once(df: DataFrame, keys: list[str], **columns: Column) -> DataFrame:
 
 
 def _any_of(words: list[str]) -> str:
-    """A pattern for any of the words whatever their case, told apart by first letters."""
+    """A pattern for any of the words whatever their case, told apart by first letters.
+
+    What can't begin one fails at its first letter; cases are spelt out, which is faster
+    than a flag."""
+    either = lambda c: f"[{c}{c.upper()}]" if len(c.upper()) == 1 and c.upper() != c else c
+    spelt = lambda w: "".join(map(either, w))
     heads: dict[str, list[str]] = {}
     for w in sorted(set(words), key=lambda w: (-len(w), w)):
         heads.setdefault(w[0], []).append(w[1:])
-    return "(?iu:" + "|".join(f"{h}(?:{'|'.join(rest)})" for h, rest in heads.items()) + ")"
+    first = "".join(h + (h.upper() if len(h.upper()) == 1 else "") for h in heads)
+    return f"(?=[{first}])(?<![{WORD}])(?:" + "|".join(f"{either(h)}(?:{'|'.join(map(spelt, rest))})" for h, rest in heads.items()) + ")"
 
 
 def _marked(text: Column, values: bool, number_words: list[str]) -> Column:
     """The text, lowered, with a mark for each number, name and unit.  The name follows its
     mark, and with ``values`` numbers and units do, too, else they are left out.  Other
-    capitalised words have a mark before them in any case."""
+    capitalised words have a mark before them in any case.
+
+    What stands before a match is looked at only where its first letter fits."""
     text = F.regexp_replace(F.coalesce(text, F.lit("")), "\\s+", " ")
-    in_words = f"{NUMBER}[\\p{{L}}\\p{{M}}]+"
+    letters = "[\\p{L}\\p{M}]"
+    in_words = f"{NUMBER}{letters}+"
     if number_words:
-        text = F.regexp_replace(text, f"(?<![{WORD}]){_any_of(number_words)}(?![{WORD}])", NUMBER + "$0")
-        text = F.regexp_replace(text, f"(?<={NUMBER}[\\p{{L}}\\p{{M}}]{{2,20}})[ -]{NUMBER}", "")  # forty-two is one number
+        text = F.regexp_replace(text, f"{_any_of(number_words)}(?![{WORD}])", NUMBER + "$0")
+        text = F.regexp_replace(text, f"[ -]{NUMBER}(?<={NUMBER}{letters}{{2,20}}[ -]{NUMBER})", "")  # forty-two is one number
         text = text if values else F.regexp_replace(text, in_words, NUMBER)
     text = F.regexp_replace(text, DIGITS, NUMBER + ("$0" if values else ""))
     number = f"(?:{NUMBER}{DIGITS}|{in_words})" if values else NUMBER
     text = F.regexp_replace(text, f"({number}) ?((?i:{'|'.join(UNITS)}))(?![{WORD}])", f"$1 {UNIT}{'$2' if values else ''}")
-    text = F.regexp_replace(text, f"(?<=[\\p{{L}}\\p{{N}}{NUMBER}{UNIT},;:] )\\p{{Lu}}[\\p{{L}}\\p{{M}}]*", NAME + "$0")
-    return F.lower(F.regexp_replace(text, f"(?<![\\p{{L}}\\p{{M}}\\p{{N}}{NUMBER}-{UNIT}])\\p{{Lu}}[\\p{{L}}\\p{{M}}]*", OPENER + "$0"))
+    text = F.regexp_replace(text, f"\\p{{Lu}}(?<=[\\p{{L}}\\p{{N}}{NUMBER}{UNIT},;:] .){letters}*", NAME + "$0")
+    return F.lower(F.regexp_replace(text, f"\\p{{Lu}}(?<![\\p{{L}}\\p{{M}}\\p{{N}}{NUMBER}-{UNIT}].){letters}*", OPENER + "$0"))
 
 
 #: The variants of a text: what becomes of the marks of names and of openers.
