@@ -6,7 +6,9 @@ DataFrame steps."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html import unescape
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from .markup import Walker, tidy
 
 #: Class names of rows and cells, and of what is in the middle cell.
 ROW, START, END, MIDDLE, LABEL, WEIGHT = "edge-main", "edge-start", "edge-end", "edge-rel", "rel-label", "weight"
+TAGS = {"tr", "td", "a", "span", "div"}
 ROWS = "start_path string, end_path string, label string, weight_text string"
 
 
@@ -31,6 +34,8 @@ class _Edges(Walker):
         self.depth = self.cell_depth = 0
 
     def opened(self, tag, attrs):
+        if tag not in TAGS or self.row is None and tag != "tr":
+            return
         classes = attrs.get("class", "").split()
         if tag == "tr" and ROW in classes:
             self.row, self.depth, self.cell, self.part = {}, len(self.stack), "", None
@@ -67,8 +72,49 @@ class _Edges(Walker):
             self.row = None
 
 
+#: Markup that needs no parser: tags with quoted values without references, and texts.
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[ \t\n]+[a-zA-Z][a-zA-Z-]*=(?:"[^"<>&]*"|'[^'<>&]*'))*)[ \t\n]*>|([^<]+)""")
+_ATTR = re.compile(r"""([a-zA-Z][a-zA-Z-]*)=(?:"([^"]*)"|'([^']*)')""")
+#: Elements whose content the parser reads in another way.
+_OTHER = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "noscript", "xmp", "plaintext", "svg", "math"}
+
+
+def _plain_rows(html: str) -> list[tuple[str, str, str | None, str | None]] | None:
+    """The rows of a page of plain markup, as the parser gives them; None for other markup."""
+    page, end, kinds = _Edges(), 0, {}
+    start, close, text = page.handle_starttag, page.handle_endtag, page.text
+    for m in _PLAIN.finditer(html):
+        if m.start() != end:
+            return None
+        end = m.end()
+        slash, tag, attrs, data = m.groups()
+        if data is not None:
+            if page.part:
+                text(unescape(data) if "&" in data else data)
+            continue
+        low = kinds.get(tag)
+        if low is None:
+            low = kinds[tag] = tag.lower()
+            if low in _OTHER:
+                return None
+        if slash:
+            if attrs:
+                return None
+            close(low)
+        else:
+            start(low, [(k.lower(), a or b) for k, a, b in _ATTR.findall(attrs)] if attrs and low in TAGS else ())
+    if end != len(html):
+        return None
+    while page.stack:
+        close(page.stack[-1])
+    return page.rows
+
+
 def edges_of(html: str | None) -> Iterator[tuple[str, str, str | None, str | None]]:
     """The rows of a page's edge tables; what is left open at its end is closed."""
+    if (rows := _plain_rows(html or "")) is not None:
+        yield from rows
+        return
     page = _Edges()
     page.feed(html or "")
     page.close()

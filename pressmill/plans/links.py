@@ -334,7 +334,9 @@ def _edge_pages(spark, sf):
     """Pages of concepts: a table row for each two neighbouring words of a page's text, with
     nested markup, links to words of two languages, and labels and weights that may lack."""
     words = F.regexp_extract_all(F.lower(F.regexp_replace("html", "<[^>]*>", " ")), F.lit(text.TOKEN), 0)
-    t = fx.table(spark, sf, "pages").select("page_id", words.alias("w")).select("page_id", F.get("w", F.lit(0)).alias("concept"), F.arrays_zip(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))).alias("b")).alias("p"))
+    # Spread while they are small: the tables are many times the size of their pages.
+    pages = fx.table(spark, sf, "pages").select("page_id", "html").repartition(8 * spark.sparkContext.defaultParallelism, "page_id")
+    t = pages.select("page_id", words.alias("w")).select("page_id", F.get("w", F.lit(0)).alias("concept"), F.arrays_zip(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))).alias("b")).alias("p"))
     said = lambda x: F.concat(F.lit("<span class='rel-label'><b>R"), F.substring(F.md5(F.concat(x["a"], F.lit(":"), x["b"])), 1, 1), F.lit("</b> </span>"))
     row = lambda x, i: F.concat(
         F.lit("<tr class='edge-main odd'><td class='edge-start'><span class='term'><a href='/c/en/"), x["a"], F.lit("'><i>"), x["a"], F.lit("</i></a></span><td class='edge-rel'><div>"), F.when(i % 7 == 0, "").otherwise(said(x)),
