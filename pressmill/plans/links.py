@@ -106,8 +106,10 @@ def stream_log_latest(spark, sf):
     """The latest capture per key, kept by a stream that follows log files; ties between
     lines go to the first place."""
     at = scratch.folder(spark)
-    fx.capture_log(spark, sf).orderBy("event_id").coalesce(1).select(F.concat_ws(" ", "ts", "url", "status", "mimetype").alias("value")).write.text(f"{at}/log")
-    jobs.latest_stream(spark, files.follow_capture_log(spark, f"{at}/log"), None, f"{at}/out", f"{at}/state", ordinal="at").awaitTermination()
+    fx.capture_log(spark, sf).orderBy("event_id").select(F.concat_ws(" ", "ts", "url", "status", "mimetype").alias("value")).write.text(f"{at}/log")
+    part = F.regexp_extract("path", "part-([0-9]+)[^/]*$", 1).cast("long")  # files are in order, too
+    log = files.follow_capture_log(spark, f"{at}/log").withColumn("at", F.shiftleft(part, 40) + F.col("at"))
+    jobs.latest_stream(spark, log, None, f"{at}/out", f"{at}/state", ordinal="at").awaitTermination()
     return jobs.read_latest(spark, f"{at}/out").select("key", "ts", "url")
 
 
