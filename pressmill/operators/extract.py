@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, distinct_ignoring_case
 from .markup import Walker, tidy
+from .scratch import small_batches
 
 #: Elements whose text isn't content, and attributes that mark content.
 NOISE = {"script", "style", "noscript", "header", "footer", "nav", "aside"}
@@ -296,6 +297,8 @@ def text_of(html: str | None, max_chars: int = 4000) -> tuple[str | None, str |
 
 
 def page_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_chars: int = 4000) -> DataFrame:
+    small_batches(pages.sparkSession)
+
     def run(batches):
         for pdf in batches:
             rows = []
