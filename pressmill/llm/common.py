@@ -142,6 +142,14 @@ def clear(spark: SparkSession) -> None:
         _delete(spark, _written.get().pop())
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that Spark must not broadcast of itself.
+
+    It takes a stored table for as large as its compressed files, and an exploded column for
+    one value a row, so it would send to the driver what is many times its estimate."""
+    return df.hint("merge")
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """``name``, or a longer one, that is no column of ``taken``, whatever the case."""
     low = {t.lower() for t in taken}
@@ -168,10 +176,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = mark
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(unsized(least), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
-            large.join(least, "a")
+            large.join(unsized(least), "a")
             .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b")
             .filter("a <> b")

@@ -39,7 +39,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, stored
+from .common import BROADCAST_BYTES, stored, unsized
 
 K = 8
 MIN_LITERALS = 4
@@ -220,7 +220,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     )
     totals = of_items.groupBy("item_id").agg(F.countDistinct("b_pos").alias("item_windows"), (F.max("b_pos") - F.min("b_pos") + 1).alias("width"))
     size_of = of_items.agg(F.sum(F.aggregate("b_slots", F.lit(80), lambda a, x: a + 16 + F.octet_length(x)))).first()[0] or 0
-    side = F.broadcast if size_of <= BROADCAST_BYTES else (lambda df: df)
+    side = F.broadcast if size_of <= BROADCAST_BYTES else unsized
 
     # 1. Which documents cover enough windows of an item?
     hashed, none = _templates(docs, ["doc_id"], words), F.array().cast("array<bigint>")
@@ -240,15 +240,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     # 2. Where the item has a value, what has the document?
     suspects = covered.select("doc_id").distinct()
-    few = suspects.count() * 64 <= BROADCAST_BYTES
-    texts = docs.join(F.broadcast(suspects) if few else suspects, _same(docs, suspects, "doc_id"), "left_semi")
+    few = suspects.count() * 256 <= BROADCAST_BYTES
+    texts = docs.join(F.broadcast(suspects) if few else unsized(suspects), _same(docs, suspects, "doc_id"), "left_semi")
     found = _detailed(_slotted(texts, ["doc_id"], words).drop("variant", "bare"), ["doc_id"], sizes, False).drop("words")
     found = found.withColumnRenamed("slots", "d_slots")
     hits = found.join(side(of_items), (F.col("h") == F.col("b_h")) & (F.col("size") == F.col("b_size")))
     values = F.filter(F.arrays_zip(F.col("b_slots").alias("b"), F.col("d_slots").alias("d")), lambda s: s["b"] != "")
     hits = hits.select("doc_id", "item_id", "b_pos", (F.col("pos") - F.col("b_pos")).alias("start"), values.alias("values"))
     wide = covered.join(totals, _same(covered, totals, "item_id")).select(covered["doc_id"], covered["item_id"], covered["item_windows"], totals["width"])
-    hits = hits.join(wide, _same(hits, wide, "doc_id", "item_id")).select(hits["doc_id"], hits["item_id"], "item_windows", "width", "b_pos", "start", "values")
+    hits = hits.join(unsized(wide), _same(hits, wide, "doc_id", "item_id")).select(hits["doc_id"], hits["item_id"], "item_windows", "width", "b_pos", "start", "values")
     step = lambda shift: F.floor((F.col("start") + shift) / F.col("width"))
     ways = [F.lit(0), F.col("start"), step(F.lit(0)), step(F.floor(F.col("width") / 2))]
     place = F.explode(F.array(*[F.struct(F.lit(n).alias("way"), at.cast("long").alias("at")) for n, at in enumerate(ways)]))
@@ -263,11 +263,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     one = pairs.groupBy(*keys, "b").agg(F.count("*").alias("n"), F.min("d").alias("d"))
     back = pairs.groupBy(*keys, "d").agg(F.count("*").alias("m"))
     slots = (
-        one.join(back, _same(one, back, *keys, "d"), "left").join(side(told), _same(one, told, "item_id", "b"), "left")
+        one.join(unsized(back), _same(one, back, *keys, "d"), "left").join(side(told), _same(one, told, "item_id", "b"), "left")
         .select(*[one[c] for c in keys], ((F.col("n") == 1) & (F.col("m") == 1)).alias("fits"), (one["d"] != F.col("value")).alias("changed"))
         .groupBy(*keys).agg(F.count("*").alias("n_slots"), F.count_if("changed").alias("changed_slots"), F.count_if("fits").alias("fitting"))
     )
-    out = occurrences.join(slots, _same(occurrences, slots, *keys), "left").select(
+    out = occurrences.join(unsized(slots), _same(occurrences, slots, *keys), "left").select(
         *[occurrences[c] for c in keys], "n_windows", "item_windows", "coverage", F.coalesce("n_slots", F.lit(0)).alias("n_slots"),
         F.coalesce("changed_slots", F.lit(0)).alias("changed_slots"), F.coalesce(F.col("fitting") / F.col("n_slots"), F.lit(1.0)).alias("consistency"),
     ).filter(F.col("consistency") >= min_consistency)

@@ -33,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, connected_components, dropped, no_model, resident, stored
+from .common import BROADCAST_BYTES, connected_components, dropped, no_model, resident, stored, unsized
 from .langid import _binary
 
 WORDS, THRESHOLD, RECALL, HASHES, BLOCK, BLOCK_BYTES = 5, 0.8, 0.999, 320, 1024, 8 << 20
+#: What a row of a key and a number takes in a broadcast table, with its place in the map.
+ROW_BYTES = 256
 #: Fixed odd multipliers: of bytes in a word, and of words in an n-gram.
 BYTE_BASE, WORD_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -233,15 +235,16 @@ def _units(classes: DataFrame, block: int) -> DataFrame:
     bucket is verified."""
     buckets = classes.select("node", F.explode("bands").alias("id"))  # a band's number is part of its hash
     heads = buckets.groupBy("id").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    shared = stored(buckets.join(heads, "id"))
+    shared = stored(buckets.join(unsized(heads), "id"))
     comps = stored(connected_components(shared.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))))
+    each = unsized(comps)
     sizes = comps.groupBy("root").agg((F.count("*") * F.ceil(F.count("*") / block)).alias("together"))
     apart = shared.groupBy("id").agg(F.first("head").alias("node"), (F.first("n") * F.ceil(F.first("n") / block)).alias("rows"))
-    apart = apart.join(comps, "node").groupBy("root").agg(F.sum("rows").alias("apart"))
-    split = sizes.join(apart, "root").filter("apart < together").select("root")
-    inside = comps.join(split, "root", "left_semi").select("node")
-    whole = comps.join(split, "root", "left_anti").select("node", F.struct(F.lit(False).alias("bucket"), F.col("root").alias("id")).alias("unit"))
-    units = stored(whole.union(shared.join(inside, "node", "left_semi").select("node", F.struct(F.lit(True).alias("bucket"), "id").alias("unit"))))
+    apart = apart.join(each, "node").groupBy("root").agg(F.sum("rows").alias("apart"))
+    split = sizes.join(unsized(apart), "root").filter("apart < together").select("root")
+    inside = each.join(split, "root", "left_semi").select("node")
+    whole = each.join(split, "root", "left_anti").select("node", F.struct(F.lit(False).alias("bucket"), F.col("root").alias("id")).alias("unit"))
+    units = stored(whole.union(unsized(shared).join(inside, "node", "left_semi").select("node", F.struct(F.lit(True).alias("bucket"), "id").alias("unit"))))
     dropped(shared, comps)
     return units
 
@@ -278,27 +281,27 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     # A class's set is made again from one of its texts, told by id and hash.
     kind = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "hash")).alias("from"), F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     classes = stored(kind.withColumn("node", F.monotonically_increasing_id()))
-    units = _units(classes, block)
-    wanted = units.select("node").distinct().join(classes, "node").select("node", F.col("from.doc_id").alias("w_id"), F.col("from.hash").alias("w_hash"))
+    units, each = _units(classes, block), unsized(classes)
+    wanted = units.select("node").distinct().join(each, "node").select("node", F.col("from.doc_id").alias("w_id"), F.col("from.hash").alias("w_hash"))
     same = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("hash") == F.col("w_hash"))
-    few = units.count() * 64 <= BROADCAST_BYTES  # beyond that, texts are shuffled to meet their classes
+    few = units.count() * ROW_BYTES <= BROADCAST_BYTES  # beyond that, texts are shuffled to meet their classes
     held = docs.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), same).select("node", gram_set(_clean(F.col("text"))).alias("grams"))
     sets = stored(held.groupBy("node").agg(F.first("grams").alias("grams")))
 
-    sized = units.join(classes.select("node", "size"), "node").groupBy("unit").agg(F.count("*").alias("n"), F.sum((8 * F.col("size")).cast("long")).alias("bytes"))
+    sized = units.join(each.select("node", "size"), "node").groupBy("unit").agg(F.count("*").alias("n"), F.sum((8 * F.col("size")).cast("long")).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).cast("int")
-    members = units.join(sized.select("unit", blocks.alias("blocks")), "unit").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = units.join(unsized(sized).select("unit", blocks.alias("blocks")), "unit").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("a"), F.greatest(j, F.col("block")).alias("b")))
-    tasks = members.join(sets, "node").join(classes.select("node", "copies", "bands"), "node").select("unit", F.explode(pairs).alias("pair"), "block", "node", "copies", "bands", "grams")
+    tasks = members.join(unsized(sets), "node").join(each.select("node", "copies", "bands"), "node").select("unit", F.explode(pairs).alias("pair"), "block", "node", "copies", "bands", "grams")
     tasks = tasks.repartition(F.col("unit"), F.col("pair")).sortWithinPartitions("unit", "pair", "node")
     found = stored(tasks.mapInArrow(_verify(threshold), "node long, root long, links long"))
     dropped(sets, units)
     linked = found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     labels = connected_components(linked)
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = classes.select("node", "digest", "copies", "first_id").join(labels, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = stored(named)
+    named = each.select("node", "digest", "copies", "first_id").join(labels, "node", "left").join(unsized(counts), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = unsized(stored(named))
     dropped(found, classes)
     ids = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
     named = named.join(ids, "root").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
-    return rows.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
+    return rows.select("doc_id", "digest").join(unsized(named), "digest", "left").select("doc_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"))

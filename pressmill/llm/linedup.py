@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, WHITE, dropped, no_model, stored, stripped
+from .common import BROADCAST_BYTES, WHITE, dropped, no_model, stored, stripped, unsized
 
 MIN_BLOCK_WORDS = 5
 #: Blocks of scripts that are written without spaces between words (Thai and
@@ -188,11 +188,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = stored(lines.groupBy("key").agg(F.count("*").alias("texts"), F.min(F.struct("id", "seq")).alias("holder")).filter("texts > 1").select("key", "texts", F.col("holder.seq").alias("early")))
     hot = F.col("texts") > max(HOT_TEXTS, lines.count() // HOT_PART)
     many = F.broadcast(held.filter(hot).select("key", "early"))  # HOT_PART rows at most
-    pairs = lines.join(many, "key", "left_anti").select("seq", "key").join(held.filter(~hot).select("key", "early"), "key")
+    pairs = lines.join(many, "key", "left_anti").select("seq", "key").join(unsized(held).filter(~hot).select("key", "early"), "key")
     pairs = pairs.union(lines.select("seq", "key").join(many, "key").select(pairs.columns))
     pairs = pairs.filter("seq <> early").groupBy("seq", "early").agg(F.count("*").alias("shared"))
-    earlier = texts.select(F.col("seq").alias("early"), F.col("keys").alias("early_keys"))
-    aligned = pairs.join(earlier, "early").join(texts.select("seq", "keys", "words"), "seq").select("seq", "keys", "words", "early_keys")
+    each = unsized(texts)
+    earlier = each.select(F.col("seq").alias("early"), F.col("keys").alias("early_keys"))
+    aligned = pairs.join(earlier, "early").join(each.select("seq", "keys", "words"), "seq").select("seq", "keys", "words", "early_keys")
 
     def align(batches):
         no_model()
@@ -203,13 +204,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.binary()), pa.array([c for _, c in got], pa.list_(pa.int32()))], ["seq", "cut"])
 
     cuts = aligned.mapInArrow(align, "seq binary, cut array<int>").groupBy("seq").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
-    known = stored(texts.select("seq", "id", "copies", F.size("keys").alias("n_lines")).join(cuts, "seq", "left").filter("copies > 1 OR cut IS NOT NULL"))
+    known = stored(each.select("seq", "id", "copies", F.size("keys").alias("n_lines")).join(cuts, "seq", "left").filter("copies > 1 OR cut IS NOT NULL"))
     dropped(texts, lines, held)
-    size = known.agg(F.sum(64 + 4 * F.coalesce(F.size("cut"), F.lit(0)).cast("long"))).first()[0] or 0
+    size = known.agg(F.sum(192 + 4 * F.coalesce(F.size("cut"), F.lit(0)).cast("long"))).first()[0] or 0
     known = known.select(F.col("seq").alias("k_seq"), F.col("id").alias("k_id"), "cut")
     kept = [c for c in docs.columns if c.lower() != out_col.lower()]
     out = docs.select(F.struct(*kept).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = out.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, seq(F.col("text")) == F.col("k_seq"), "left")
+    out = out.join(F.broadcast(known) if size <= BROADCAST_BYTES else unsized(known), seq(F.col("text")) == F.col("k_seq"), "left")
     first = F.col("k_id").isNull() | F.col("k_id.id").eqNullSafe(F.col("id"))
     n_lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(_lines(F.col("text"))))
     # Behind a generator the lines are split once, not for each line that stays.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, jaccard, langid, linedup
-from .common import fresh, small_batches, stored, stripped
+from .common import BROADCAST_BYTES, fresh, small_batches, stored, stripped, unsized
 
 #: A text whose best language is less sure than this is rejected.
 MIN_SCORE = 0.3
@@ -60,15 +60,21 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
     return docs.withColumn(key, own), key, fresh("_other_key", docs.columns)
 
 
+def _sized(keys: DataFrame) -> DataFrame:
+    """Keys that texts meet: broadcast if their number allows."""
+    return F.broadcast(keys) if keys.count() * 256 <= BROADCAST_BYTES else unsized(keys)
+
+
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies, nulls
     last; one text, if several have that id."""
     small_batches(spark)
     keyed, key, other = _keyed(docs)
     found = stored(jaccard.similar(keyed, id_col=key).filter("n_links > 0").select(F.col("doc_id").alias(other), "class_id"))
-    drop = found.filter(F.col(other) != F.col("class_id")).select(other).distinct()
+    drop = _sized(found.filter(F.col(other) != F.col("class_id")).select(other).distinct())
     kept = keyed.join(drop, F.col(key) == F.col(other), "left_anti")
     again = found.filter(F.col(other) == F.col("class_id")).groupBy(other).count().filter("count > 1").select(other)
+    again = _sized(again)
     if not again.isEmpty():  # equal rows: one of each stays
         one = kept.join(again, F.col(key) == F.col(other), "left_semi").dropDuplicates([key])
         kept = kept.join(again, F.col(key) == F.col(other), "left_anti").union(one)
@@ -78,7 +84,8 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
     keyed, key, other = _keyed(docs)
-    bad = decontam.leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key).select(F.col("doc_id").alias(other)).distinct()
+    bad = stored(decontam.leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key).select(F.col("doc_id").alias(other)).distinct())
+    bad = _sized(bad)
     return keyed.join(bad, F.col(key) == F.col(other), "left_anti").select(docs.columns)
 
 

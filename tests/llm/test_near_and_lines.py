@@ -224,3 +224,20 @@ def test_moved_and_repeated_blocks_are_cut(spark):
     rows = [(1, f"{a}\nbetween them\n{b}"), (2, f"two\n{b}\nand then\n{a}\nend two"), (3, f"three\n{a}\nonce more\n{a}\nagain\n{a}\nend three")]
     got = {r["doc_id"]: r["deduped"]["text"] for r in linedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: rows[0][1], 2: "two\nand then\nend two", 3: "three\nonce more\nagain\nend three"}
+
+
+def test_exploded_bands_are_not_broadcast_for_their_estimate(spark, monkeypatch):
+    plans, keep = [], common.stored
+
+    def noted(df, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, **options)
+
+    # 40 bands a class, of which Spark takes one for an estimate far below its threshold.
+    rows = [(n, [n // 2 * 40 + b if b < 3 else n * 1000 + b for b in range(40)]) for n in range(300)]
+    classes = keep(spark.createDataFrame(rows, "node long, bands array<long>"))
+    for module in (common, jaccard):
+        monkeypatch.setattr(module, "stored", noted)
+    units = jaccard._units(classes, 1024)
+    assert len(plans) > 3 and not [p for p in plans if "Broadcast" in p]
+    assert units.select("node").distinct().count() == 300 and units.select("unit").distinct().count() == 150
