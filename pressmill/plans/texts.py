@@ -163,8 +163,7 @@ def _labels(spark, sf):
 
 
 def nb_model(spark, sf):
-    w, v = _weights(spark, sf)
-    m = features.nb_long(features.nb_fit(stored(w), _labels(spark, sf), v, "doc_id"))
+    m = features.nb_long(termblocks.nb_model(_texts(spark, sf), _labels(spark, sf)))
     return m.select("label", "term", F.round("log_prior", 6).alias("log_prior"), F.round("log_prob", 5).alias("log_prob"))
 
 
