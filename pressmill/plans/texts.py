@@ -168,11 +168,7 @@ def nb_model(spark, sf):
 
 
 def nb_predict(spark, sf):
-    w, v = _weights(spark, sf)
-    w = stored(w)
-    m = stored(features.nb_fit(w, _labels(spark, sf), v, "doc_id"))
-    found = features.nb_predict(fx.table(spark, sf, "documents"), w, features.small(m), "doc_id")
-    return found.select("doc_id", "predicted", F.round("score", 4).alias("score"))
+    return termblocks.nb_predict(_texts(spark, sf), _labels(spark, sf)).select("doc_id", "predicted", F.round("score", 4).alias("score"))
 
 
 def _labelled(spark, sf):
