@@ -1,8 +1,8 @@
 """Concept edges from the tables of pages.
 
-A table function reads the rows of one page; it is joined laterally, so pages stream
-through it, and which end of an edge counts, and which of several weights, are ordinary
-DataFrame steps."""
+Rows of the usual shape are read by patterns, natively; a page with any other markup of rows,
+or with markup that hides some, goes whole to the parser.  For SQL there is a table function.
+Which end of an edge counts, and which of several weights, are ordinary DataFrame steps."""
 
 from __future__ import annotations
 
@@ -10,11 +10,13 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from .markup import Walker, tidy
+from .scratch import small_batches
 
 #: Class names of rows and cells, and of what is in the middle cell.
 ROW, START, END, MIDDLE, LABEL, WEIGHT = "edge-main", "edge-start", "edge-end", "edge-rel", "rel-label", "weight"
@@ -123,6 +125,64 @@ def edges_of(html: str | None) -> Iterator[tuple[str, str, str | None, str | Non
     yield from page.rows
 
 
+def _row_pattern() -> tuple[str, str]:
+    """A pattern for rows that parse in one way wherever they stand, and what is kept of them.
+
+    All that such a row opens it closes itself, but for cells; repetitions are bounded, as
+    the JVM's patterns recurse in them."""
+    groups = 0
+
+    def kept(*forms: str) -> tuple[str, str]:
+        """Either of ``forms``, each with one group, and these groups."""
+        nonlocal groups
+        groups += len(forms)
+        return f"(?:{'|'.join(forms)})", "".join(f"${n}" for n in range(groups - len(forms) + 1, groups + 1))
+
+    quoted = lambda v: f"(?:'{v}'|\"{v}\")"
+    said = "[^<&\\x01-\\x03]*"
+    marked = f"{said}(?:(?:" + "|".join(f"<{t}>{said}</{t}>" for t in ("i", "b", "em", "strong")) + f"){said}){{0,4}}"
+    extra = "(?: (?:class|title|rel|target)=(?:'[^'<>&]*'|\"[^\"<>&]*\")){0,3}"
+
+    def end(name: str) -> tuple[str, str]:
+        path, own = kept(*(f"{q}([^{q}<>&\\x01-\\x03]+){q}" for q in "'\""))
+        link = f"<a{extra} href={path}{extra}>{marked}</a>"
+        path, other = kept(*(f"{q}([^{q}<>&\\x01-\\x03]+){q}" for q in "'\""))
+        inside = f"<span{extra}>{marked}<a{extra} href={path}{extra}>{marked}</a>{marked}</span>"
+        return f"<td class={quoted(name)}>{marked}(?:{link}|{inside}){marked}(?:</td>)?{said}", own + other
+
+    word = "[^<&\\p{Z}\\p{Cc}]+"  # no white space of any kind
+    words = f"{word}(?: {word}){{0,8}}"
+    start, first = end(START)
+    labels = []
+    for _ in range(2):
+        form, own = kept(f"({words})", f"<b> *({words}) *</b>", f"<i> *({words}) *</i>")
+        labels.append((f"<span class={quoted(LABEL)}> *{form} *</span>", own))
+    form, weight = kept(f"({word})", f"<em> *({word}) *</em>", f"<b> *({word}) *</b>")
+    middle = f"<td class={quoted(MIDDLE)}>{said}(?:<div(?: class={quoted('rel')})?>{said}(?:{labels[0][0]})?{said}</div>|{labels[1][0]})?{said}"
+    middle += f"(?:<div class={quoted(WEIGHT)}> *(?:Weight:)? *{form} *</div>)?{said}(?:</td>)?{said}"
+    last, second = end(END)
+    main = quoted(f"{ROW}(?: [a-z0-9-]+){{0,4}}")
+    return f"<tr class={main}>{said}{start}{middle}{last}</tr>", f"\x02{first}\x01{second}\x01{labels[0][1]}{labels[1][1]}\x01{weight}\x03"
+
+
+#: Tags that hide nothing: with quoted values without references or rows, and not of ``_OTHER``.
+_TAG = "</[a-z][a-z0-9]*>|<(?!(?:" + "|".join(sorted(_OTHER)) + """)[^a-z0-9])[a-z][a-z0-9]*(?:[ \\t\\n]+[a-zA-Z][a-zA-Z-]*=(?:"[^"<>&\\x02]*"|'[^'<>&\\x02]*')){0,20}[ \\t\\n]*>"""
+
+
+def native_rows(pages: DataFrame, html_col: str = "html", out_col: str = "rows") -> DataFrame:
+    """``pages`` with the rows of ``edges_of`` (a label or weight that lacks is empty), or null
+    if the page needs the parser."""
+    pattern, kept = _row_pattern()
+    html = F.col(html_col)
+    read = pages.withColumn("_read", F.regexp_replace(html, F.lit(pattern), F.lit(kept)))
+    read = read.withColumn("_rest", F.regexp_replace("_read", "\x02[^\x03]*\x03", "\x02"))
+    left = F.regexp_replace("_rest", _TAG, "")
+    plain = ~left.rlike("[<&]") & ~F.contains("_rest", F.lit(ROW)) & ~html.rlike("[\x01-\x03]")
+    parts = F.transform(F.filter(F.split("_read", "[\x02\x03]"), lambda x, i: i % 2 == 1), lambda x: F.split(x, "\x01"))
+    rows = F.transform(parts, lambda v: F.struct(*(F.get(v, F.lit(n)).alias(c.split()[0]) for n, c in enumerate(ROWS.split(", ")))))
+    return read.withColumn(out_col, F.when(plain, rows)).drop("_read", "_rest")
+
+
 def edge_rows(html: Column):
     """The table function of a page, for a lateral join; see ``page_edges``."""
 
@@ -153,8 +213,16 @@ def page_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     empty page has none."""
     made = {"start_path", "end_path", "rel", "weight", html_col.lower()}
     kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in made]  # columns of these names are replaced
-    rows = pages.select(F.struct(*kept, F.lit(0).alias("_")).alias("row"), F.col(html_col).alias("html"))
-    rows = rows.lateralJoin(edge_rows(F.col("html").outer()))
+    rows = native_rows(pages.select(F.struct(*kept, F.lit(0).alias("_")).alias("row"), F.coalesce(html_col, F.lit("")).alias("html")))
+
+    @F.arrow_udf("array<struct<start_path: string, end_path: string, label: string, weight_text: string>>")
+    def parsed(pages: pa.Array) -> pa.Array:
+        names = [c.split()[0] for c in ROWS.split(", ")]
+        return pa.array([[dict(zip(names, r)) for r in edges_of(h)] if h else None for h in pages.to_pylist()], pa.list_(pa.struct([(n, pa.string()) for n in names])))
+
+    small_batches(pages.sparkSession)
+    rows = rows.select("row", "rows", parsed(F.when(F.col("rows").isNull(), F.col("html"))).alias("parsed"))
+    rows = rows.select("row", F.inline(F.coalesce("rows", "parsed")))
     path = lambda c: F.rtrim(c, F.lit("/"))
     weight = F.trim(F.regexp_replace("weight_text", "Weight:", "")).try_cast("double")
     own = [F.col(f"row.`{c}`") for c in pages.columns if c.lower() not in made]
