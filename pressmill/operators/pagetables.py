@@ -162,7 +162,7 @@ def _row_pattern() -> tuple[str, str]:
     middle += f"(?:<div class={quoted(WEIGHT)}> *(?:Weight:)? *{form} *</div>)?{said}(?:</td>)?{said}"
     last, second = end(END)
     main = quoted(f"{ROW}(?: [a-z0-9-]+){{0,4}}")
-    return f"<tr class={main}>{said}{start}{middle}{last}</tr>", f"\x02{first}\x01{second}\x01{labels[0][1]}{labels[1][1]}\x01{weight}\x03"
+    return f"<tr class={main}>{said}{start}{middle}{last}</tr>", f"\x02{first}\x01{second}\x01{labels[0][1]}{labels[1][1]}\x01{weight}\x02"
 
 
 #: Tags that hide nothing: with quoted values without references or rows, and not of ``_OTHER``.
@@ -174,11 +174,12 @@ def native_rows(pages: DataFrame, html_col: str = "html", out_col: str = "rows")
     if the page needs the parser."""
     pattern, kept = _row_pattern()
     html = F.col(html_col)
-    read = pages.withColumn("_read", F.regexp_replace(html, F.lit(pattern), F.lit(kept)))
-    read = read.withColumn("_rest", F.regexp_replace("_read", "\x02[^\x03]*\x03", "\x02"))
-    left = F.regexp_replace("_rest", _TAG, "")
-    plain = ~left.rlike("[<&]") & ~F.contains("_rest", F.lit(ROW)) & ~html.rlike("[\x01-\x03]")
-    parts = F.transform(F.filter(F.split("_read", "[\x02\x03]"), lambda x, i: i % 2 == 1), lambda x: F.split(x, "\x01"))
+    # What stands between rows and the rows take turns.
+    read = pages.withColumn("_read", F.split(F.regexp_replace(html, F.lit(pattern), F.lit(kept)), "\x02"))
+    read = read.withColumn("_rest", F.array_join(F.filter("_read", lambda x, i: i % 2 == 0), "\x02"))
+    marks = F.contains(html, F.lit("\x01")) | F.contains(html, F.lit("\x02"))
+    plain = ~F.regexp_replace("_rest", _TAG, "").rlike("[<&]") & ~F.contains("_rest", F.lit(ROW)) & ~marks
+    parts = F.transform(F.filter("_read", lambda x, i: i % 2 == 1), lambda x: F.split(x, "\x01"))
     rows = F.transform(parts, lambda v: F.struct(*(F.get(v, F.lit(n)).alias(c.split()[0]) for n, c in enumerate(ROWS.split(", ")))))
     return read.withColumn(out_col, F.when(plain, rows)).drop("_read", "_rest")
 
